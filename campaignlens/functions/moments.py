@@ -22,7 +22,5 @@ def sample_kurtosis(c: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation over the rows where both are present; null without spread."""
-    both = a.isNotNull() & b.isNotNull()
-    a, b = F.when(both, a), F.when(both, b)
+    """Pearson correlation, null without spread; both must be null wherever one is."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

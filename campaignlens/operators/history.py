@@ -15,6 +15,8 @@ HOT_ROWS = 5_000_000
 
 def hot_keys(df: DataFrame, key: str, limit: int) -> list:
     """Keys with more than ``limit`` rows; at most ``rows / limit`` of them exist."""
+    if df.count() <= limit:
+        return []
     counts = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
     return [r[0] for r in counts.select(key).collect()]
 

@@ -49,7 +49,7 @@ def smote(
     found = found.select("query", "neighbour", "rank", known.alias("known"))
 
     rounds = minor.select(key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(each))))
-    extra = first_by_draw(minor.select(key), F.lit(odd), key, seed).withColumn("copy", F.lit(each))
+    extra = first_by_draw(minor.select(key), lambda classes: F.lit(odd), key, seed).withColumn("copy", F.lit(each))
     rounds = rounds.filter(F.col("copy") < each).unionByName(extra)
     tag = F.concat_ws("/", F.col(key).cast("string"), F.col("copy").cast("string"))
     rounds = rounds.withColumn("_tag", tag)

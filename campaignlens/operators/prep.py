@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,73 +16,79 @@ from campaignlens.operators.sizing import rows_if_small, small_side
 # Draw order by threshold
 
 CELL_DIGITS = 4  # 65,536 equal cells of the draw
+FEW_CLASSES = 200
 
 
-def draw_thresholds(df: DataFrame, wanted: Column, key: str, seed: int, by: str | None = None) -> DataFrame:
-    """Rows ``(level, wanted, cut)``: per class, the draw value of its ``wanted``-th row.
+def _level(by: str | None) -> Column:
+    return F.col(by).cast("string") if by else F.lit("all")
+
+
+def _drawn(df: DataFrame, key: str, seed: int, by: str | None) -> DataFrame:
+    """Class, draw and cell of the draw of every row that has a class."""
+    slim = df.select(_level(by).alias("level"), draw(key, seed).alias("draw")).filter(F.col("level").isNotNull())
+    return slim.withColumn("cell", F.substring("draw", 1, CELL_DIGITS))
 
-    ``wanted`` is an expression over the class table ``(level, rows, smallest)``.
-    Rows are counted by cell of the draw first; only the cell that holds the
-    wanted rank is sorted. ``cut`` is null where no row is wanted and beyond every
-    draw where all are.
-    """
-    level = F.col(by).cast("string") if by else F.lit("all")
-    slim = df.select(level.alias("level"), draw(key, seed).alias("draw")).filter(F.col("level").isNotNull())
-    cells = (
-        slim.groupBy("level", F.substring("draw", 1, CELL_DIGITS).alias("cell"))
-        .agg(F.count("*").alias("n"))
-    )
-    sizes = cells.groupBy("level").agg(F.sum("n").alias("rows"))
-    smallest = sizes.agg(F.min("rows")).scalar()
-    goals = sizes.withColumn("smallest", smallest).withColumn("wanted", wanted.cast("long"))
-    goals = small_side(goals.select("level", "rows", "wanted"))
 
+def _boundaries(drawn: DataFrame, wanted: Callable[[DataFrame], Column]) -> DataFrame:
+    """Per class: its size, the rows wanted, and the cell and place in it of the last wanted row."""
+    cells = drawn.groupBy("level", "cell").agg(F.count("*").alias("n"))
+    classes = cells.groupBy("level").agg(F.sum("n").alias("rows"))
+    goals = classes.withColumn("wanted", F.least(wanted(classes).cast("long"), F.col("rows")))
     upto = F.sum("n").over(W.partitionBy("level").orderBy("cell"))
-    marked = cells.withColumn("upto", upto).join(goals, "level")
-    target = small_side(
-        marked.filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
-        .select("level", "cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rank"))
-    )
-    in_cell = slim.withColumn("cell", F.substring("draw", 1, CELL_DIGITS)).join(target, ["level", "cell"])
-    ranked = in_cell.withColumn("at", F.row_number().over(W.partitionBy("level").orderBy("draw")))
-    cuts = ranked.filter(F.col("at") == F.col("rank")).select("level", F.col("draw").alias("cut"))
-    # "g" sorts after every hex digit.
-    everything = F.when(F.col("wanted") >= F.col("rows"), F.lit("g"))
-    return goals.join(cuts, "level", "left").select(
-        "level", "wanted", F.when(F.col("wanted") > 0, F.coalesce(everything, F.col("cut"))).alias("cut")
-    )
+    placed = cells.withColumn("upto", upto).join(goals.select("level", "wanted"), "level")
+    last = placed.filter((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted")))
+    last = last.select("level", "cell", (F.col("wanted") - F.col("upto") + F.col("n")).alias("place"))
+    return goals.join(last, "level", "left")
+
 
+def _cuts(drawn: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Per class the draw of its last wanted row, from a sort of the boundary cells alone."""
+    inside = drawn.join(boundaries.select("level", "cell", "place"), ["level", "cell"])
+    ranked = inside.withColumn("at", F.row_number().over(W.partitionBy("level").orderBy("draw")))
+    return ranked.filter(F.col("at") == F.col("place")).select("level", F.col("draw").alias("cut"))
 
-def _chosen(df: DataFrame, cuts: DataFrame, key: str, seed: int, by: str | None) -> tuple[DataFrame, Column]:
-    """The frame and a test for the rows within their class's threshold.
 
-    With few classes the thresholds become part of the test, so it is a plain
-    filter; with very many they are joined.
+def within_draw(
+    df: DataFrame, wanted: Callable[[DataFrame], Column], key: str, seed: int, by: str | None = None
+) -> tuple[DataFrame, Column]:
+    """The frame and a test for the first ``wanted`` rows of each class in draw order.
+
+    ``wanted`` gets the class table ``(level, rows)`` and returns a column over it.
+    Rows are counted by class and cell of the draw, then one cell per class is
+    sorted to find the draw of the last wanted row. The test compares draws, so
+    the table itself is neither sorted nor shuffled. With very many classes the
+    thresholds are joined instead of written into the test.
     """
-    rows = rows_if_small(cuts)
-    mine = draw(key, seed)
-    if rows is not None and len(rows) <= 200:
-        level = F.col(by).cast("string") if by else F.lit("all")
-        test = F.lit(False)
-        for r in rows:
-            if r["cut"] is not None:
-                test = F.when(level == F.lit(r["level"]), mine <= F.lit(r["cut"])).otherwise(test)
-        return df, test
-    cuts = cuts.select(F.col("level").alias("_level"), F.col("cut").alias("_cut"))
-    joined = df.join(small_side(cuts), F.col(by).cast("string") == F.col("_level"), "left")
-    return joined, F.coalesce(mine <= F.col("_cut"), F.lit(False))
-
-
-def first_by_draw(df: DataFrame, wanted: Column, key: str, seed: int, by: str | None = None) -> DataFrame:
-    """The first ``wanted`` rows of each class in draw order; exact, without sorting the table."""
-    cuts = draw_thresholds(df, wanted, key, seed, by)
-    frame, test = _chosen(df, cuts, key, seed, by)
+    drawn = _drawn(df, key, seed, by)
+    boundaries = _boundaries(drawn, wanted)
+    known = rows_if_small(boundaries, FEW_CLASSES)
+    if known is None:
+        cuts = _cuts(drawn, boundaries).select(F.col("level").alias("_level"), F.col("cut").alias("_cut"))
+        joined = df.join(small_side(cuts), _level(by) == F.col("_level"), "left")
+        return joined, F.coalesce(draw(key, seed) <= F.col("_cut"), F.lit(False))
+    partial = [r for r in known if 0 < r["wanted"] < r["rows"]]
+    test = F.lit(False)
+    for r in known:
+        if r["wanted"] == r["rows"]:
+            test = test | (_level(by) == F.lit(r["level"]))
+    if partial:
+        table = F.broadcast(df.sparkSession.createDataFrame(partial, boundaries.schema))
+        for r in _cuts(drawn, table).collect():
+            test = test | ((_level(by) == F.lit(r["level"])) & (draw(key, seed) <= F.lit(r["cut"])))
+    return df, F.coalesce(test, F.lit(False))
+
+
+def first_by_draw(
+    df: DataFrame, wanted: Callable[[DataFrame], Column], key: str, seed: int, by: str | None = None
+) -> DataFrame:
+    """The first ``wanted`` rows of each class in draw order."""
+    frame, test = within_draw(df, wanted, key, seed, by)
     return frame.filter(test).select(*df.columns)
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """All rows of the smallest class and as many drawn from every other class."""
-    return first_by_draw(df, F.col("smallest"), key, seed, label)
+    return first_by_draw(df, lambda classes: classes.agg(F.min("rows")).scalar(), key, seed, label)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -90,22 +96,17 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
 
     Rounding gives the odd rows to the classes with the largest remainders.
     """
-    sizes = df.groupBy(F.col(label).cast("string").alias("level")).agg(F.count("*").alias("rows"))
-    rows = rows_if_small(sizes.filter(F.col("level").isNotNull()), 200)
-    if rows is None:
-        raise ValueError(f"{label} has too many classes to stratify by")
-    total = sum(r["rows"] for r in rows)
-    goal = -(-total * round(test * 10**9) // 10**9)
-    share = {r["level"]: r["rows"] * goal / total for r in rows} if total else {}
-    taken = {level: int(s) for level, s in share.items()}
-    odd = goal - sum(taken.values())
-    for level in sorted(share, key=lambda v: (-(share[v] - taken[v]), v))[: int(odd)]:
-        taken[level] += 1
-    wanted = F.lit(0)
-    for level, n in taken.items():
-        wanted = F.when(F.col("level") == F.lit(level), F.lit(n)).otherwise(wanted)
-    cuts = draw_thresholds(df, wanted, key, seed, label)
-    frame, chosen = _chosen(df, cuts, key, seed, label)
+
+    def share(classes: DataFrame) -> Column:
+        # Windows over the class table, one row per class.
+        every = W.partitionBy()
+        goal = F.ceil(F.round(F.sum("rows").over(every) * F.lit(float(test)), 6))
+        exact = F.col("rows") * goal / F.sum("rows").over(every)
+        whole = F.floor(exact)
+        place = F.row_number().over(every.orderBy((exact - whole).desc(), "level"))
+        return whole + F.when(place <= goal - F.sum(whole).over(every), 1).otherwise(0)
+
+    frame, chosen = within_draw(df, share, key, seed, label)
     return frame.select(*df.columns, F.when(chosen, "test").otherwise("train").alias("split"))
 
 
@@ -215,24 +216,19 @@ def fit_standard(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def apply_standard(df: DataFrame, fitted: DataFrame, cols: Sequence[str]) -> DataFrame:
+def apply_standard(df: DataFrame, moments: Row, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / deviation with the fitted row; a column without spread is only centred."""
-    held = df.withColumn("_fit", fitted.select(F.struct(*cols)).scalar())
     scaled = {}
     for c in cols:
-        std = F.col(f"_fit.{c}.std")
-        scaled[c] = (F.col(c).cast("double") - F.col(f"_fit.{c}.mean")) / F.when(std == 0, 1.0).otherwise(std)
-    return held.withColumns(scaled).drop("_fit")
+        mean, std = moments[c]["mean"], moments[c]["std"]
+        scaled[c] = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std if std else 1.0)
+    return df.withColumns(scaled)
 
 
 def standardize(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str]) -> list[DataFrame]:
-    """Train and the other frames scaled with the moments of train alone.
-
-    The moments are computed once here: one row.
-    """
-    fitted = fit_standard(train, cols)
-    fixed = train.sparkSession.createDataFrame(fitted.collect(), fitted.schema)
-    return [apply_standard(f, fixed, cols) for f in (train, *others)]
+    """Train and the other frames scaled with the moments of train alone: one row, found here."""
+    moments = fit_standard(train, cols).head()
+    return [apply_standard(f, moments, cols) for f in (train, *others)]
 
 
 def scaling_check(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:

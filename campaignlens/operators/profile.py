@@ -45,7 +45,7 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """
     if n <= 10_000:
         return df.orderBy(draw(key, seed)).limit(n)
-    return first_by_draw(df, F.lit(n), key, seed)
+    return first_by_draw(df, lambda classes: F.lit(n), key, seed)
 
 
 # Structure
@@ -193,30 +193,34 @@ def _with_quantiles(summary: DataFrame, found: DataFrame, by: Sequence[str]) ->
 def value_modes(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Most frequent value per column, the smallest of tied ones, with its count.
 
-    Numbers are compared as numbers and returned as text along with everything else.
+    Rows ``(by..., column, num, txt, rows)``: a number in ``num``, anything else as
+    text in ``txt``. Values are counted before the choice, so no task holds them all.
     """
-    by = list(by)
     types = dict(df.dtypes)
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (number(c, types[c]) if types[c].startswith(NUMERIC) else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if types[c].startswith(NUMERIC) else F.col(c).cast("string")).alias("txt"),
-        )
-        for c in cols
-    ]
+    numbers = [c for c in cols if types[c].startswith(NUMERIC)]
+    texts = [c for c in cols if c not in numbers]
+    parts = []
+    if numbers:
+        found = _modes(df, {c: number(c, types[c]) for c in numbers}, list(by))
+        parts.append(found.select(*by, "column", F.col("v").alias("num"), F.lit(None).cast("string").alias("txt"), "rows"))
+    if texts:
+        found = _modes(df, {c: F.col(c).cast("string") for c in texts}, list(by))
+        parts.append(found.select(*by, "column", F.lit(None).cast("double").alias("num"), F.col("v").alias("txt"), "rows"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _modes(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in values])
+    entries = [F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values.values())]
     counted = (
         df.select(*by, F.inline(F.array(*entries)))
-        .filter(F.col("num").isNotNull() | F.col("txt").isNotNull())
-        .groupBy(*by, "column", "num", "txt")
-        .agg(F.count("*").alias("rows"))
-    )
-    best = F.min(F.struct((-F.col("rows")).alias("r"), "num", "txt"))
-    return (
-        counted.groupBy(*by, "column")
-        .agg(best.alias("b"))
-        .select(*by, "column", F.col("b.num").alias("num"), F.col("b.txt").alias("txt"), (-F.col("b.r")).alias("rows"))
+        .filter(F.col("v").isNotNull())
+        .groupBy(*by, "i", "v")
+        .agg(F.count("*").alias("n"))
     )
+    best = F.min(F.struct((-F.col("n")).alias("n"), "v"))
+    found = counted.groupBy(*by, "i").agg(best.alias("b"))
+    return found.select(*by, names[F.col("i")].alias("column"), F.col("b.v").alias("v"), (-F.col("b.n")).alias("rows"))
 
 
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -294,21 +298,36 @@ def transpose_summary(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame
 # Correlation
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair, each over the rows where both are present.
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows ``(f1, f2, r)`` for the given pairs, each over the rows where both are present.
 
-    One pass, no shuffle but that of the single result row. For more than about
-    sixty columns without missing values use ``correlation_matrix_wide``.
+    A row becomes one small record per pair, summed on the map side by pair number;
+    one wide aggregate over all pairs would grow past what the JVM compiles.
     """
     types = dict(df.dtypes)
-    values = {c: number(c, types[c]) for c in cols}
-    pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
-    row = df.agg(*[pearson(values[a], values[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            out.append(F.struct(F.lit(x).alias("f1"), F.lit(y).alias("f2"), F.col(f"r{i}").alias("r")))
-    return row.select(F.inline(F.array(*out)))
+    values = {c: number(c, types[c]) for pair in pairs for c in pair}
+    slim = df.select(*[v.alias(c) for c, v in values.items()])
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)
+    ]
+    long = slim.select(F.inline(F.array(*entries)))
+    long = long.select("i", F.when(F.col("b").isNotNull(), F.col("a")).alias("a"), F.when(F.col("a").isNotNull(), F.col("b")).alias("b"))
+    found = long.groupBy("i").agg(pearson(F.col("a"), F.col("b")).alias("r"))
+    first, second = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
+    return found.select(first[F.col("i")].alias("f1"), second[F.col("i")].alias("f2"), "r")
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every ordered pair, null without spread.
+
+    One pass. For more than about sixty columns without missing values use
+    ``correlation_matrix_wide``.
+    """
+    half = _correlations(df, [(a, a) for a in cols] + list(combinations(cols, 2)))
+    mirrored = F.when(F.col("f1") == F.col("f2"), F.array(F.struct("f1", "f2", "r"))).otherwise(
+        F.array(F.struct("f1", "f2", "r"), F.struct(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r"))
+    )
+    return half.select(F.inline(mirrored))
 
 
 def correlation_matrix_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -321,11 +340,7 @@ def correlation_matrix_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def high_correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
     """Pairs, each once, whose correlation exceeds the threshold in size."""
-    place = {c: i for i, c in enumerate(cols)}
-    position = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
-    return correlation_matrix(df, cols).filter(
-        (position[F.col("f1")] < position[F.col("f2")]) & (F.abs("r") > threshold)
-    )
+    return _correlations(df, list(combinations(cols, 2))).filter(F.abs("r") > threshold)
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:
@@ -333,11 +348,8 @@ def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int =
 
     ``lowest`` lists the last ones whatever their sign.
     """
-    values = {c: number(c, t) for c, t in df.dtypes if c in cols or c == target}
-    others = [c for c in cols if c != target]
-    row = df.agg(*[pearson(values[target], values[c]).alias(c) for c in others])
-    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in others]
-    found = row.select(F.inline(F.array(*pairs)))
+    pairs = [(c, target) for c in cols if c != target]
+    found = _correlations(df, pairs).select(F.col("f1").alias("feature"), "r")
     top = found.orderBy(F.col("r").desc_nulls_last(), "feature").limit(k).withColumn("side", F.lit("highest"))
     low = found.orderBy(F.col("r").asc_nulls_last(), "feature").limit(k).withColumn("side", F.lit("lowest"))
     return top.unionByName(low)

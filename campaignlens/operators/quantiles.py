@@ -1,23 +1,25 @@
-"""Exact quantiles with linear interpolation, without a per-group value table.
+"""Exact quantiles with linear interpolation at any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here a sketch
-pass first brackets each wanted rank. A second pass counts rows by value inside
-the brackets and only by region outside, so the rows that reach the rank search
-are a fixed small share of a large group. The answer is the exact one: the
-brackets are wider than the error of the sketch.
+``percentile`` keeps every distinct value of a group in one task, which is right
+for a table known to be small. Beyond that size a sketch pass first brackets each
+wanted rank. A second pass counts rows by value inside the brackets and only by
+region outside, so a small fixed share of a large group reaches the rank search.
+The answer is the exact one: the brackets are wider than the sketch's error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.scalars import number
 from campaignlens.operators.sizing import small_side
 
+SMALL_TABLE = 2_000_000  # rows up to which the value tables of all groups fit easily
+SMALL_GROUP = 1_000_000  # values of a group counted one by one within the large form
 ACCURACY = 10_000
 MARGIN = 3.0  # bracket half-width in units of the sketch error
 
@@ -27,94 +29,83 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
+    small_table: int = SMALL_TABLE,
+    small_group: int = SMALL_GROUP,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Rows ``(by..., column, prob, value)``; a group without values has no row."""
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     types = dict(df.dtypes)
-    base = df.select(*by, *[number(c, types[c]).alias(f"v{i}") for i, c in enumerate(cols)])
+    values = df.select(*by, *[number(c, types[c]).alias(f"v{i}") for i, c in enumerate(cols)])
+    if df.count() <= small_table:
+        found = _by_value_table(values, len(cols), probs, by)
+    else:
+        found = _by_brackets(values, len(cols), probs, by, small_group, accuracy)
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = [F.struct(F.lit(p).alias("prob"), F.col("q")[j].alias("value")) for j, p in enumerate(probs)]
+    return found.select(*by, names[F.col("i")].alias("column"), F.inline(F.array(*pairs)))
+
+
+def _by_value_table(values: DataFrame, count: int, probs: list[float], by: list[str]) -> DataFrame:
+    """Rows ``(by..., i, q)`` with the quantiles of column i in order of ``probs``."""
+    row = values.groupBy(*by).agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in range(count)])
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("q")) for i in range(count)]
+    return row.select(*by, F.inline(F.array(*entries))).filter(F.col("q").isNotNull())
+
+
+def _by_brackets(
+    values: DataFrame, count: int, probs: list[float], by: list[str], small_group: int, accuracy: int
+) -> DataFrame:
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(count)]
+    long = values.select(*by, F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
 
     half = MARGIN / accuracy
-    lows = [max(0.0, p - half) for p in probs]
-    highs = [min(1.0, p + half) for p in probs]
-    sketch = base.groupBy(*by).agg(
-        *[
-            F.struct(
-                F.count(f"v{i}").alias("n"),
-                F.percentile_approx(f"v{i}", lows + highs, accuracy).alias("b"),
-            ).alias(f"s{i}")
-            for i in range(len(cols))
-        ]
+    marks = [max(0.0, p - half) for p in probs] + [min(1.0, p + half) for p in probs]
+    sketch = long.groupBy(*by, "i").agg(
+        F.count("*").alias("n"), F.percentile_approx("v", marks, accuracy).alias("b")
     )
-    if by:
-        # Null-safe join: a null in a grouping column is a group of its own.
-        keyed = sketch.select(*[F.col(c).alias(f"k_{c}") for c in by], *[f"s{i}" for i in range(len(cols))])
-        match = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by]
-        on = match[0]
-        for m in match[1:]:
-            on = on & m
-        marked = base.join(small_side(keyed), on, "inner")
-    else:
-        one = sketch.select(F.struct(*[f"s{i}" for i in range(len(cols))]).alias("s"))
-        marked = base.select("*", one.scalar().alias("s")).select("*", "s.*")
-
-    # Up to this many values are counted one by one; beyond, the brackets apply.
-    exact_up_to = 100 * accuracy if accuracy <= ACCURACY else accuracy * 10
-    entries = []
-    for i, c in enumerate(cols):
-        v, s = F.col(f"v{i}"), F.col(f"s{i}")
-        reached = sum(
-            (F.when(s["b"][j] <= v, 1).otherwise(0) for j in range(len(probs))), F.lit(0)
-        )
-        passed = sum(
-            (F.when(s["b"][len(probs) + j] < v, 1).otherwise(0) for j in range(len(probs))), F.lit(0)
-        )
-        small = s["n"] <= F.lit(exact_up_to)
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.when(small, 0).otherwise(reached + passed).alias("region"),
-                F.when(small | (reached > passed), v).alias("value"),
-                v.isNotNull().alias("present"),
-            )
-        )
+    # Null-safe join: a null in a grouping column is a group of its own.
+    keys = [*by, "i"]
+    keyed = sketch.select(*[F.col(k).alias(f"k_{k}") for k in keys], "n", "b")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    marked = long.join(small_side(keyed), on)
+
+    v, b = F.col("v"), F.col("b")
+    reached = sum((F.when(b[j] <= v, 1).otherwise(0) for j in range(len(probs))), F.lit(0))
+    passed = sum((F.when(b[len(probs) + j] < v, 1).otherwise(0) for j in range(len(probs))), F.lit(0))
+    whole = F.col("n") <= F.lit(small_group)
     counted = (
-        marked.select(*by, F.inline(F.array(*entries)))
-        .filter("present")
-        .groupBy(*by, "column", "region", "value")
-        .agg(F.count("*").alias("rows"))
-    )
-    order = W.partitionBy(*by, "column").orderBy("region", "value")
-    ranked = counted.withColumn(
-        "upto", F.sum("rows").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ).withColumn("n", F.sum("rows").over(W.partitionBy(*by, "column")))
-
-    # Interpolate between the ranks around p * (n - 1).
-    picks = []
-    for j, p in enumerate(probs):
-        at = F.lit(p) * (F.col("n") - 1)
-        lo = F.floor(at)
-        first = F.min(F.when(F.col("upto") > lo, F.struct("upto", "value")))["value"]
-        second = F.min(F.when(F.col("upto") > lo + 1, F.struct("upto", "value")))["value"]
-        part = F.max(at - lo)
-        picks.append(
-            F.struct(
-                F.lit(p).alias("prob"),
-                F.when(part > 0, first + (second - first) * part).otherwise(first).alias("value"),
-            ).alias(f"q{j}")
+        marked.select(
+            *keys,
+            F.when(whole, 0).otherwise(reached + passed).alias("region"),
+            F.when(whole | (reached > passed), v).alias("v"),
         )
-    return (
-        ranked.groupBy(*by, "column")
-        .agg(*picks)
-        .select(*by, "column", F.inline(F.array(*[f"q{j}" for j in range(len(probs))])))
+        .groupBy(*keys, "region", "v")
+        .agg(F.count("*").alias("rows"))
     )
+    order = W.partitionBy(*keys).orderBy("region", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.withColumn("upto", F.sum("rows").over(order))
+    ranked = ranked.withColumn("n", F.sum("rows").over(W.partitionBy(*keys)))
+
+    def at(p: float) -> Column:
+        """The value at p, between the ranks around p * (n - 1)."""
+        spot = F.lit(p) * (F.col("n") - 1)
+        low = F.floor(spot)
+        first = F.min(F.when(F.col("upto") > low, F.struct("upto", "v")))["v"]
+        second = F.min(F.when(F.col("upto") > low + 1, F.struct("upto", "v")))["v"]
+        part = F.max(spot - low)
+        return F.when(part > 0, first + (second - first) * part).otherwise(first)
+
+    return ranked.groupBy(*keys).agg(F.array(*[at(p) for p in probs]).alias("q"))
 
 
 def quantile_columns(
-    df: DataFrame, cols: Sequence[str], probs: dict[str, float], by: Sequence[str] = (), accuracy: int = ACCURACY
+    df: DataFrame, cols: Sequence[str], probs: dict[str, float], by: Sequence[str] = (), **limits: int
 ) -> DataFrame:
     """One row per group and column, with one output column per named probability."""
-    long = quantiles(df, cols, list(probs.values()), by, accuracy)
+    long = quantiles(df, cols, list(probs.values()), by, **limits)
     return long.groupBy(*by, "column").agg(
         *[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("value"))).alias(name) for name, p in probs.items()]
     )

@@ -28,6 +28,23 @@ def fit_kmeans(
     return best
 
 
+def sweep_models(
+    df: DataFrame, ks: Sequence[int], features: str, starts: int, seed: int, max_iter: int
+) -> tuple[DataFrame, dict[int, KMeansModel]]:
+    """Inertia and silhouette for each k, and the fitted models."""
+    held = df.select(features).persist()
+    try:
+        rows, found = [], {}
+        judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
+        for k in ks:
+            found[k] = fit_kmeans(held, k, features, starts, seed, max_iter)
+            silhouette = judge.evaluate(found[k].transform(held))
+            rows.append((k, float(found[k].summary.trainingCost), float(silhouette)))
+    finally:
+        held.unpersist()
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), found
+
+
 def kmeans_sweep(
     df: DataFrame,
     ks: Sequence[int] = range(2, 11),
@@ -37,16 +54,7 @@ def kmeans_sweep(
     max_iter: int = 300,
 ) -> DataFrame:
     """Inertia and silhouette (squared Euclidean) for each k."""
-    held = df.select(features).persist()
-    try:
-        rows = []
-        judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
-        for k in ks:
-            model = fit_kmeans(held, k, features, starts, seed, max_iter)
-            rows.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(held)))))
-    finally:
-        held.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return sweep_models(df, ks, features, starts, seed, max_iter)[0]
 
 
 def choose_k(sweep: DataFrame) -> DataFrame:

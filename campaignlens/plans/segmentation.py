@@ -31,8 +31,7 @@ def segment(
     """The sweep over k, and the rows with the cluster of the best k."""
     df = written(df, "segment-input")
     vectors = cluster_input(df, key, numeric, categorical)
-    sweep = segments.kmeans_sweep(vectors, ks, starts=starts, seed=seed)
+    sweep, models = segments.sweep_models(vectors, ks, "features", starts, seed, max_iter=300)
     k = segments.choose_k(sweep).head()["k"]
-    model = segments.fit_kmeans(vectors, k, starts=starts, seed=seed)
-    assigned = segments.assign_clusters(model, vectors).select(key, "cluster")
+    assigned = segments.assign_clusters(models[k], vectors).select(key, "cluster")
     return sweep, df.join(assigned, key)

@@ -10,9 +10,11 @@ import math
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -152,11 +154,13 @@ def train_rbf_svm(
     folds: int = 3,
     seed: int = 42,
     max_iter: int = 100,
+    parallelism: int = 4,
 ) -> Fitted:
     """An approximation of the RBF support vector classifier.
 
     Random Fourier features, a linear SVM on them, and a logistic fit of the
-    margins of held-out folds for the probability.
+    margins of held-out folds for the probability. The fits are independent and
+    ``parallelism`` of them are submitted at a time.
     """
     start = time.time()
     values = [F.col(c).cast("double") for c in features]
@@ -185,13 +189,15 @@ def train_rbf_svm(
     fold = F.floor(draw_unit(key, seed + 1) * folds).cast("int")
     held = lift(train.select(key, label, *features)).select(label, "_z", fold.alias("_fold")).persist()
     try:
+        train_sets = [held.filter(F.col("_fold") != i) for i in range(folds)] + [held]
+        with ThreadPool(parallelism) as pool:
+            *partial, model = pool.map(inheritable_thread_target(lambda rows: svm().fit(rows)), train_sets)
         margins = None
-        for i in range(folds):
-            part = svm().fit(held.filter(F.col("_fold") != i)).transform(held.filter(F.col("_fold") == i))
+        for i, fold_model in enumerate(partial):
+            part = fold_model.transform(held.filter(F.col("_fold") == i))
             part = part.select(label, array_to_vector(F.array(vector_to_array("_raw")[1])).alias("_m"))
             margins = part if margins is None else margins.unionByName(part)
         platt = LogisticRegression(labelCol=label, featuresCol="_m", predictionCol="_p").fit(margins)
-        model = svm().fit(held)
     finally:
         held.unpersist()
 

@@ -190,7 +190,15 @@ def histogram(
         placed = slim.withColumn("_b", one).select("v", "_b.*")
     inside = placed.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
     spot = F.least(F.lit(bins - 1), F.floor(ratio(F.col("v") - F.col("lo"), F.col("w")))).cast("int")
-    counts = inside.groupBy(*by, spot.alias("bin")).agg(F.count("*").alias("rows"))
+    inside = inside.withColumn("_at", spot)
+    # The division can be off by one bin at an edge; the edges themselves decide.
+    low, high = (F.col("lo") + F.col("w") * (F.col("_at") + i) for i in (0, 1))
+    settled = (
+        F.when(F.col("v") < low, F.col("_at") - 1)
+        .when((F.col("v") >= high) & (F.col("_at") < bins - 1), F.col("_at") + 1)
+        .otherwise(F.col("_at"))
+    )
+    counts = inside.groupBy(*by, settled.alias("bin")).agg(F.count("*").alias("rows"))
     return _bin_rows(counts, bounds, bins, by)
 
 

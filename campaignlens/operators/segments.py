@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
@@ -17,15 +19,25 @@ HIGH, MODERATE, LOW = "HIGH-VALUE PROSPECTS", "MODERATE PROSPECTS", "LOW ENGAGEM
 
 
 def fit_kmeans(
-    df: DataFrame, k: int, features: str = "features", starts: int = 10, seed: int = 42, max_iter: int = 300
+    df: DataFrame,
+    k: int,
+    features: str = "features",
+    starts: int = 10,
+    seed: int = 42,
+    max_iter: int = 300,
+    parallelism: int = 4,
 ) -> KMeansModel:
-    """The best of several seeded starts by within-cluster squared distance."""
-    best = None
-    for i in range(starts):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    """The best of several seeded starts by within-cluster squared distance.
+
+    The starts are independent; ``parallelism`` of them are submitted at a time.
+    """
+
+    def start(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(inheritable_thread_target(start), range(starts))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def sweep_models(

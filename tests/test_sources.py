@@ -41,7 +41,7 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
     df = written(spark.range(5), "five")
-    assert df.count() == 5 and df.schema == spark.range(1).schema
+    assert df.count() == 5 and df.dtypes == spark.range(1).dtypes
 
 
 def test_view_plans_only_what_it_needs(spark):

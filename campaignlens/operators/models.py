@@ -180,6 +180,7 @@ def train_rbf_svm(
             labelCol=label,
             featuresCol="_z",
             maxIter=max_iter,
+            tol=1e-3,
             regParam=1.0 / max(rows, 1),
             standardization=False,
             predictionCol="_svm",
@@ -191,7 +192,7 @@ def train_rbf_svm(
     try:
         train_sets = [held.filter(F.col("_fold") != i) for i in range(folds)] + [held]
         with ThreadPool(parallelism) as pool:
-            *partial, model = pool.map(inheritable_thread_target(lambda rows: svm().fit(rows)), train_sets)
+            *partial, model = pool.map(inheritable_thread_target(train.sparkSession)(lambda rows: svm().fit(rows)), train_sets)
         margins = None
         for i, fold_model in enumerate(partial):
             part = fold_model.transform(held.filter(F.col("_fold") == i))
@@ -279,7 +280,13 @@ def importance_or_coefficients(fitted: Fitted, df: DataFrame) -> DataFrame:
 
 
 def permutation_importance(
-    fitted: Fitted, df: DataFrame, key: str, label: str = LABEL, seed: int = 42, parts: int | None = None
+    fitted: Fitted,
+    df: DataFrame,
+    key: str,
+    label: str = LABEL,
+    seed: int = 42,
+    parts: int | None = None,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Loss of ROC AUC when one feature at a time is exchanged between rows.
 
@@ -296,12 +303,15 @@ def permutation_importance(
     paired = placed("", 1).join(placed("_other_", 2), "_at").persist()
     try:
         columns = [key, label, *fitted.features]
-        base = roc_auc(fitted.score(paired.select(*columns)), label).head()["roc_auc"]
-        rows = []
-        for f in fitted.features:
-            swapped = paired.select(*[F.col(f"_other_{c}" if c == f else c).alias(c) for c in columns])
-            auc = roc_auc(fitted.score(swapped), label).head()["roc_auc"]
-            rows.append((f, float(base), float(base - auc)))
+
+        def auc(shuffled: str | None) -> float:
+            rows = paired.select(*[F.col(f"_other_{c}" if c == shuffled else c).alias(c) for c in columns])
+            return float(roc_auc(fitted.score(rows), label).head()["roc_auc"])
+
+        base = auc(None)
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(df.sparkSession)(auc), fitted.features)
     finally:
         paired.unpersist()
+    rows = [(f, base, base - a) for f, a in zip(fitted.features, found)]
     return df.sparkSession.createDataFrame(rows, "feature string, roc_auc double, loss double")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from campaignlens.functions.draws import draw
 from campaignlens.functions.scalars import number, ratio, signed_log
 from campaignlens.operators.sizing import rows_if_small, small_side
+from campaignlens.session import written
 
 # Draw order by threshold
 
@@ -132,8 +133,31 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows ``(column, level, code)``; codes follow the sorted levels, from 0."""
     entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols]
     levels = df.select(F.inline(F.array(*entries))).filter(F.col("level").isNotNull()).distinct()
+    rows = rows_if_small(levels)
+    if rows is None:
+        return _codes_by_sort(levels)
+    known = df.sparkSession.createDataFrame(rows, levels.schema)
     order = W.partitionBy("column").orderBy("level")
-    return levels.withColumn("code", (F.row_number().over(order) - 1).cast("long"))
+    return known.withColumn("code", (F.row_number().over(order) - 1).cast("long"))
+
+
+def _codes_by_sort(levels: DataFrame) -> DataFrame:
+    """The same codes for any number of levels.
+
+    The levels are sorted across partitions and written with their place, so that
+    the place is fixed; the rows per partition and column then give the offsets.
+    """
+    placed = levels.orderBy("column", "level").withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "levels")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    placed = placed.select("column", "level", part.alias("_part"), row.alias("_row"))
+    sizes = placed.groupBy("column", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy("column").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "column", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    )
+    found = placed.join(small_side(offsets), ["column", "_part"])
+    return found.select("column", "level", (F.col("_offset") + F.col("_row") - F.col("_first")).alias("code"))
 
 
 def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], strict: bool = False) -> DataFrame:

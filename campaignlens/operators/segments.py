@@ -36,7 +36,7 @@ def fit_kmeans(
         return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
 
     with ThreadPool(parallelism) as pool:
-        models = pool.map(inheritable_thread_target(start), range(starts))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(start), range(starts))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

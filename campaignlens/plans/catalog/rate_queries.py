@@ -132,24 +132,29 @@ def overall_rate(df: DataFrame) -> DataFrame:
     return plain(rates.overall_rate(df))
 
 
-ORDERED = ", ".join(f"({i}::BIGINT, '{m}')" for i, m in enumerate(MONTHS))
-SPARSE = f"""SELECT pos, o.level, n, rate FROM (VALUES {ORDERED}) o(pos, level)
-  %s JOIN (SELECT month AS level, count(*) AS n, {RATE} AS rate FROM contacts
-    WHERE month NOT IN ('feb', 'nov') GROUP BY month) r ON o.level = r.level"""
+def ordered_sql(column: str, order: list[str], kind: str) -> str:
+    wanted = ", ".join(f"({i}::BIGINT, '{v}')" for i, v in enumerate(order))
+    return f"""SELECT pos, o.level, n, rate FROM (VALUES {wanted}) o(pos, level)
+  {kind} JOIN (SELECT {column} AS level, count(*) AS n, {RATE} AS rate FROM contacts GROUP BY {column}) r ON o.level = r.level"""
 
 
-def _sparse(df: DataFrame) -> DataFrame:
-    return rates.response_rate(df.filter(~F.col("month").isin("feb", "nov")), "month")
+# "S" does not occur and "P" is not asked for.
+OUTCOMES = ["unknown", "S", "F", "O"]
 
 
-@on_contacts("month_order_present", "month y", SPARSE % "INNER")
-def month_order_present(df: DataFrame) -> DataFrame:
-    return plain(rates.reorder_levels(_sparse(df), MONTHS))
+@on_contacts("month_order", "month y", ordered_sql("month", MONTHS, "INNER"))
+def month_order(df: DataFrame) -> DataFrame:
+    return plain(rates.reorder_levels(rates.response_rate(df, "month"), MONTHS))
 
 
-@on_contacts("month_order_complete", "month y", SPARSE % "LEFT")
-def month_order_complete(df: DataFrame) -> DataFrame:
-    return plain(rates.reorder_levels(_sparse(df), MONTHS, keep_missing=True))
+@on_contacts("level_order_present", "poutcome y", ordered_sql("poutcome", OUTCOMES, "INNER"))
+def level_order_present(df: DataFrame) -> DataFrame:
+    return plain(rates.reorder_levels(rates.response_rate(df, "poutcome"), OUTCOMES))
+
+
+@on_contacts("level_order_complete", "poutcome y", ordered_sql("poutcome", OUTCOMES, "LEFT"))
+def level_order_complete(df: DataFrame) -> DataFrame:
+    return plain(rates.reorder_levels(rates.response_rate(df, "poutcome"), OUTCOMES, keep_missing=True))
 
 
 @on_contacts(

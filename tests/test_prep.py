@@ -70,6 +70,15 @@ def test_codes_follow_sorted_levels(spark):
     )
 
 
+def test_codes_of_very_many_levels(spark):
+    df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id")).alias("s"), (F.col("id") % 7).alias("t"))
+    got = prep._codes_by_sort(prep.fit_label_dictionary(df, ["s", "t"]).select("column", "level")).collect()
+    assert got and {(r["column"], r["level"]): r["code"] for r in got} == {
+        **{("s", v): i for i, v in enumerate(sorted(f"v{i}" for i in range(5000)))},
+        **{("t", str(i)): i for i in range(7)},
+    }
+
+
 def test_unseen_level(spark):
     dictionary = prep.fit_label_dictionary(spark.createDataFrame([("a",)], "s string"), ["s"])
     new = spark.createDataFrame([("z",)], "s string")

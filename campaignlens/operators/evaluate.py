@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from campaignlens.functions.scalars import or_zero, percent, ratio, relative_change, safe_metric
 from campaignlens.operators.running import running
+from campaignlens.session import written
 
 
 def _cell(label: str, prediction: str, actual: int, predicted: int) -> Column:
@@ -146,6 +147,11 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", digit
     )
 
 
+def _collapsed(df: DataFrame, label: str, score: str, digits: int | None) -> DataFrame:
+    """The score table worked out once: the rows behind it may come from a model."""
+    return written(score_table(df, label, score, digits), "score-table")
+
+
 def _totals(table: DataFrame) -> Column:
     return table.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
 
@@ -154,7 +160,7 @@ def threshold_table(
     df: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, parts: int | None = None
 ) -> DataFrame:
     """Per distinct score as threshold: tp, fp, fn, tn when rows at or above it are targeted."""
-    table = score_table(df, label, score, digits)
+    table = _collapsed(df, label, score, digits)
     out = running(table, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, parts=parts)
     out = out.withColumn("_t", _totals(table))
     return out.select(
@@ -183,7 +189,7 @@ def roc_auc(
     df: DataFrame, label: str = "label", score: str = "score", digits: int | None = None, parts: int | None = None
 ) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null when a class is absent."""
-    table = score_table(df, label, score, digits)
+    table = _collapsed(df, label, score, digits)
     below = running(table, "score", {"upto": F.col("neg")}, parts=parts)
     wins = F.sum(F.col("pos") * (F.col("upto") - F.col("neg") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from campaignlens.functions.scalars import ratio
 from campaignlens.operators.running import running
+from campaignlens.session import written
 
 
 def cumulative_share(df: DataFrame, key: str, measure: str, seed: int = 0) -> DataFrame:
     """Running total of the measure, largest first, and its share of the whole."""
-    slim = df.select(key, measure)
+    slim = written(df.select(key, measure), "measures")
     total = slim.agg(F.sum(measure)).scalar()
     out = running(slim, measure, {"cumulative": F.col(measure)}, descending=True, key=key, seed=seed)
     return out.select(key, measure, "position", "cumulative", ratio(F.col("cumulative"), total).alias("share"))
@@ -63,7 +64,7 @@ def rank_prospects(scored: DataFrame, score: str, key: str, tiles: int = 10, see
 
     Equal scores share a percentile rank and are placed in draw order.
     """
-    slim = scored.select(key, score)
+    slim = written(scored.select(key, score), "scores")
     rows = slim.agg(F.count(score)).scalar()
     out = running(slim, score, {}, descending=True, key=key, seed=seed).withColumn("_n", rows)
     return out.select(
@@ -77,6 +78,7 @@ def rank_prospects(scored: DataFrame, score: str, key: str, tiles: int = 10, see
 
 def top_share(scored: DataFrame, score: str, key: str, share: float, seed: int = 0) -> DataFrame:
     """The best-scored part of the table: the first ceil(share * rows) rows."""
-    ranked = rank_prospects(scored, score, key, seed=seed)
-    rows = scored.agg(F.count(score)).scalar()
+    slim = written(scored.select(key, score), "scores")
+    rows = slim.agg(F.count(score)).scalar()
+    ranked = running(slim, score, {}, descending=True, key=key, seed=seed)
     return ranked.filter(F.col("position") <= F.ceil(rows * F.lit(share))).select(key, score, "position")

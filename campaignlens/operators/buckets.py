@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,9 @@ def bucket_of(df: DataFrame, order: str, splits: list[float], name: str) -> Data
     """Adds the bucket number of the value as an int; it grows with the value."""
     out = Bucketizer(splits=splits, inputCol=order, outputCol=name, handleInvalid="keep").transform(df)
     return out.withColumn(name, F.col(name).cast("int"))
+
+
+def hot_share(splits: list[float], hot: dict[float, int], bucket: str) -> Column:
+    """How many buckets' worth of rows the bucket holds: above 1 for that of a hot value."""
+    shares = [hot.get(low, 1) for low in splits[:-1]] + [1]  # the last is the bucket of NaN
+    return F.element_at(F.expr(f"array({','.join(str(n) for n in shares)})"), F.col(bucket) + 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.times import micros
-from campaignlens.operators.buckets import bucket_of, quantile_splits
+from campaignlens.operators.buckets import bucket_of, hot_share, quantile_splits
 from campaignlens.operators.sizing import shuffle_width
 
 HOT_ROWS = 5_000_000
@@ -75,7 +75,7 @@ def _sliced(df: DataFrame, client: str, when: str, key: str, outcome: str) -> Da
     work = work.withColumn("_k", F.col(key).cast("double"))
     if crowded:
         # A moment that holds very many rows is cut by key range as well.
-        at_crowded = F.col("_at").isin(*crowded)
+        at_crowded = hot_share(splits, crowded, "_b") > 1
         key_splits, _ = quantile_splits(work.filter(at_crowded), "_k", parts)
         work = bucket_of(work, "_k", key_splits, "_s").withColumn("_s", F.when(at_crowded, F.col("_s")).otherwise(0))
     else:

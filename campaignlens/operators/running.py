@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.draws import draw, draw_unit
-from campaignlens.operators.buckets import bucket_of, quantile_splits
+from campaignlens.operators.buckets import bucket_of, hot_share, quantile_splits
 from campaignlens.operators.sizing import shuffle_width
 
 
@@ -40,15 +40,13 @@ def running(
     df = df.withColumn("_v", F.col(order).cast("double")).filter(F.col("_v").isNotNull())
     splits, hot = quantile_splits(df, "_v", parts)
     work = bucket_of(df, "_v", splits, "_b")
-    sub = F.lit(0)
-    if key is not None:
-        work = work.withColumn("_t", draw(key, seed))
-        for value, share in hot.items():
-            # Equal rows are split evenly by their uniform draw.
-            sub = F.when(
-                F.col("_v") == F.lit(value), F.floor(draw_unit(key, seed) * F.lit(2 * share)).cast("int")
-            ).otherwise(sub)
-    work = work.withColumn("_s", sub)
+    share = hot_share(splits, hot, "_b")
+    if key is None:
+        work = work.withColumn("_s", F.lit(0))
+    else:
+        # Equal rows are split evenly by their uniform draw.
+        spread = F.floor(draw_unit(key, seed) * share * 2).cast("int")
+        work = work.withColumn("_t", draw(key, seed)).withColumn("_s", F.when(share > 1, spread).otherwise(0))
     for name, c in sums.items():
         work = work.withColumn(f"_x_{name}", c)
 
@@ -77,12 +75,11 @@ def running(
         out = out.withColumn(f"_r_{name}", F.sum(f"_x_{name}").over(rows))
     # Offsets have a bounded number of rows by construction, whatever the input.
     out = out.join(F.broadcast(offsets), ["_b", "_s"])
-    hot_value = F.col("_v").isin(*hot) if hot else F.lit(False)
     return out.select(
         *[c for c in df.columns if c != "_v"],
         *[(F.col(f"_off_{name}") + F.col(f"_r_{name}")).alias(name) for name in sums],
         (F.col("_off") + F.col("_pos")).alias("position"),
-        F.when(hot_value, F.col("_bfirst"))
+        F.when(share > 1, F.col("_bfirst"))
         .otherwise(F.col("_off") + F.col("_rank") - 1)
         .cast("long")
         .alias("before"),

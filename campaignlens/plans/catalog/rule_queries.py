@@ -9,6 +9,7 @@ from campaignlens.operators import rules
 from campaignlens.plans import reports
 from campaignlens.plans.catalog.common import neat, on_contacts, on_scored
 from campaignlens.plans.catalog.rate_queries import RATE, binned_sql, many_sql
+from campaignlens.session import written
 from campaignlens.schema import BALANCE_EDGES, BALANCE_LABELS, CAMPAIGN_EDGES, CAMPAIGN_LABELS
 
 VERDICT = "CASE WHEN ratio > 3 THEN 'severe' WHEN ratio > 1.5 THEN 'moderate' ELSE 'balanced' END AS verdict"
@@ -130,7 +131,8 @@ SUMMARY = (
 
 @on_contacts("eda_summary", " ".join([*SUMMARY_NUMERIC, *SUMMARY_TEXT, "y"]), SUMMARY)
 def eda_summary(df: DataFrame) -> DataFrame:
-    return neat(reports.eda_summary(df, "y", SUMMARY_NUMERIC, SUMMARY_TEXT), 4)
+    view = written(df, "summary-input")  # read by every part of the report
+    return neat(reports.eda_summary(view, "y", SUMMARY_NUMERIC, SUMMARY_TEXT), 4)
 
 
 FACTORS = (
@@ -158,7 +160,7 @@ FACTORS = (
 def top_factors(df: DataFrame) -> DataFrame:
     return neat(
         reports.top_factors(
-            df,
+            written(df, "factor-input"),
             contact="contact",
             outcome="poutcome",
             outcome_levels=("F", "P"),

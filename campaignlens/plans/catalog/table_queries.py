@@ -50,9 +50,26 @@ def dataset_shape(df: DataFrame) -> DataFrame:
     return profile.dataset_shape(df).toDF("n", "c")
 
 
-@query("schema_table")
-def schema_table(spark: SparkSession, directory: str) -> DataFrame:
-    return profile.schema_table(contacts(spark, directory))
+TYPES = dict(
+    zip(
+        COLUMNS,
+        "bigint bigint string string string bigint double double bigint bigint string bigint bigint string string".split(),
+    )
+)
+
+
+@on_contacts(
+    "schema_table",
+    ALL,
+    " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS pos, '{c}' AS name, '{t}' AS kind, count({c}) AS non_null FROM contacts"
+        for i, (c, t) in enumerate(TYPES.items(), 1)
+    ),
+)
+def schema_table(df: DataFrame) -> DataFrame:
+    present = profile.column_profile(df).select("column", "non_null")
+    found = profile.schema_table(df).join(present, "column")
+    return neat(found.select(F.col("position").alias("pos"), F.col("column").alias("name"), F.col("type").alias("kind"), "non_null"))
 
 
 HOLES = """,

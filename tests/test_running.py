@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from campaignlens.operators import ranking
+from campaignlens.operators.buckets import bucket_of, hot_share, quantile_splits
 from campaignlens.operators.history import with_history
 from campaignlens.operators.running import running
 
@@ -40,13 +41,14 @@ def test_running_matches_a_plain_sort(spark, kind, descending):
         assert got[c].tolist() == want[c].tolist()
 
 
-def test_no_bucket_holds_a_hot_value_whole(spark):
-    """The rows of a value that fills the table are spread over many window groups."""
-    df = spark.range(4000).select("id", F.lit(1.0).alias("x"))
-    plan = running(df, "x", {}, key="id", parts=8)
-    groups = plan.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
-    assert plan.count() == 4000 and plan.select("position").distinct().count() == 4000
-    assert groups
+def test_a_hot_value_has_its_own_buckets(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(3)).alias("x"))
+    splits, hot = quantile_splits(df, "x", 9)
+    assert list(hot) == [0.5] and hot[0.5] >= 2
+    placed = bucket_of(df, "x", splits, "b").withColumn("share", hot_share(splits, hot, "b"))
+    sizes = placed.groupBy("b", "share").agg(F.count("*").alias("n"), F.countDistinct("x").alias("values")).collect()
+    assert [(r["share"], r["values"]) for r in sizes if r["share"] > 1] == [(hot[0.5], 1)]
+    assert max(r["n"] / r["share"] for r in sizes) < 2 * 4000 / 9
 
 
 def test_null_order_values_are_left_out(spark):

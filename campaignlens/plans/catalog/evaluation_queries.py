@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlens.operators import evaluate
-from campaignlens.plans.catalog.common import CONTACTS, neat, on_scored, query, with_score
+from campaignlens.plans.catalog.common import CONTACTS, neat, on_scored, query
 from campaignlens.plans.contacts import contacts
+from campaignlens.sources.readers import read_table
 
 COUNTS = """, m AS (SELECT count(*) FILTER (label = 0 AND prediction = 0)::DOUBLE AS tn,
   count(*) FILTER (label = 0 AND prediction = 1)::DOUBLE AS fp,
@@ -186,8 +187,6 @@ def scaling_improvement(spark: SparkSession, directory: str) -> DataFrame:
 @query("roc_auc_of_labelled_documents", """WITH scored AS (
     SELECT ln(1 + n_chars) AS score, quality AS label FROM documents JOIN labels USING (doc_id))""" + POINTS + AUC)
 def roc_auc_documents(spark: SparkSession, directory: str) -> DataFrame:
-    from campaignlens.sources.readers import read_table
-
     docs = read_table(spark, directory, "documents").select("doc_id", F.log1p("n_chars").alias("score"))
     labels = read_table(spark, directory, "labels").select("doc_id", F.col("quality").alias("label"))
     return neat(evaluate.roc_auc(docs.join(labels, "doc_id")))

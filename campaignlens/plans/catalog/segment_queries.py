@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlens.operators import segments
-from campaignlens.plans.catalog.common import CONTACTS, neat, on_contacts, query
+from campaignlens.plans.catalog.common import neat, on_contacts, query
 from campaignlens.plans.contacts import contacts
 from campaignlens.plans.segmentation import segment
 from campaignlens.sources.readers import read_table

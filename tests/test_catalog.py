@@ -11,9 +11,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from campaignlens.plans.catalog import ORACLES, QUERIES
 
 DIRECTORY = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 # Neighbours run vector code in Python on purpose.
 PYTHON = {"nearest_neighbours", "knn_classify"}
 
@@ -52,6 +52,8 @@ def test_query_agrees_with_sql(spark, db, name):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 def test_entry(spark):

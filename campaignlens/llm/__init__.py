@@ -1,4 +1,4 @@
 """Operators for preparing training data: mixing, archives, chat, language, tokens, quality and duplicates."""
 
-from campaignlens.llm import dedup_queries, mixing_queries, model_queries  # noqa: F401
+from campaignlens.llm import dedup_queries, learned_queries, mixing_queries, model_queries  # noqa: F401
 from campaignlens.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,4 +1,11 @@
 """Operators for preparing training data: mixing, archives, chat, language, tokens, quality and duplicates."""
 
-from campaignlens.llm import dedup_queries, learned_queries, mixing_queries, model_queries, token_queries  # noqa: F401
+from campaignlens.llm import (  # noqa: F401
+    dedup_queries,
+    learned_queries,
+    mixing_queries,
+    model_queries,
+    token_queries,
+    warc_queries,
+)
 from campaignlens.llm.registry import ORACLES, QUERIES  # noqa: F401

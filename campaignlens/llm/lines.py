@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlens.llm.texts import BLANKS, fold_case, free_name
+from campaignlens.session import written
 
 
 def line_key(line: Column) -> Column:
@@ -50,17 +51,19 @@ def dedup_lines(
         F.unhex(F.md5(text)).alias("print"),
         F.posexplode(F.transform(lines, line_key)).alias("at", "key"),
     ).where(F.char_length("key") >= min_chars)
-    hashed = placed.select("id", "print", "at", F.unhex(F.md5("key")).alias("hash"))
+    hashed = written(placed.select("id", "print", "at", F.unhex(F.md5("key")).alias("hash")), "lines")
 
     # Documents per hash: first one row per hash and document, so that a hash found
-    # everywhere is counted in parts before its parts meet.
-    frequent = (
+    # everywhere is counted in parts before its parts meet. Both tables are written, so
+    # that texts are hashed once and a join of plain tables can split a frequent hash.
+    frequent = written(
         hashed.groupBy("hash", "id")
         .agg(F.lit(1).alias("one"))
         .groupBy("hash")
         .agg(F.count("one").alias("held_by"), F.max("id").alias("owner"))
         .where(F.col("held_by") >= min_docs)
-        .select(F.col("hash").alias("frequent_hash"), "owner")
+        .select(F.col("hash").alias("frequent_hash"), "owner"),
+        "frequent",
     )
     dropped = (
         hashed.join(frequent, F.col("hash") == F.col("frequent_hash"))

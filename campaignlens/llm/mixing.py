@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from campaignlens.llm.texts import free_name
 
 # Rows of a hash cell in which ranks are counted in one task.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 # Bounds of the schedule's table: phases x cycle length.
 MAX_SOURCES, MAX_CYCLE = 1_000, 10_000
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,16 +12,15 @@ from pyspark.sql import Window as W
 from campaignlens.functions.times import micros
 from campaignlens.operators.buckets import bucket_of, hot_share, quantile_splits
 from campaignlens.operators.sizing import shuffle_width
+from campaignlens.session import written
 
 HOT_ROWS = 5_000_000
 
 
-def hot_keys(df: DataFrame, key: str, limit: int) -> list:
-    """Keys with more than ``limit`` rows; at most ``rows / limit`` of them exist."""
-    if df.count() <= limit:
-        return []
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
-    return [r[0] for r in counts.select(key).collect()]
+def hot_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys (column ``_hot``, null may be one) with more than ``limit`` rows; at most ``rows / limit`` of them exist."""
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    return written(counts.select("_hot", F.lit(True).alias("_is_hot")), "hot-keys")
 
 
 def with_history(
@@ -34,16 +36,18 @@ def with_history(
     """Adds ``previous``, ``pdays`` and ``poutcome`` from the client's earlier rows.
 
     Rows of a client run by ``when`` and then ``key``, which must be unique and
-    numeric. Clients with more than ``hot_rows`` rows are worked in slices of
-    their timeline, so that no task holds a whole such client.
+    numeric. Clients with more than ``hot_rows`` rows, the missing client among
+    them, are worked in slices of their timeline, so that no task holds a whole
+    such client.
     """
     hot = hot_keys(df, client, hot_rows)
-    if not hot:
+    if hot.isEmpty():
         joined = _whole(df, client, when, key, outcome)
     else:
-        is_hot = F.coalesce(F.col(client).isin(hot), F.lit(False))
-        joined = _whole(df.filter(~is_hot), client, when, key, outcome).unionByName(
-            _sliced(df.filter(is_hot), client, when, key, outcome)
+        # Hot keys meet their rows in a join: there may be too many of them for a list.
+        of_hot = F.col(client).eqNullSafe(F.col("_hot"))
+        joined = _whole(df.join(hot, of_hot, "left_anti"), client, when, key, outcome).unionByName(
+            _sliced(df.join(hot, of_hot, "left_semi"), client, when, key, outcome)
         )
     days = F.datediff(F.col(when).cast("date"), F.col("_when").cast("date")).cast("long")
     return joined.select(
@@ -93,7 +97,9 @@ def _sliced(df: DataFrame, client: str, when: str, key: str, outcome: str) -> Da
         F.lag("_last").over(order).alias("_prior"),
     )
     first = F.col("_earlier") == 0
-    return local.join(slices, cut).select(
+    slices = slices.withColumnsRenamed({c: f"_cut_{c}" for c in cut})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in cut])
+    return local.join(slices, same).select(
         *df.columns,
         (F.col("_ahead") + F.col("_earlier")).alias("_earlier"),
         F.when(first, F.col("_prior.t")).otherwise(F.col("_when")).alias("_when"),

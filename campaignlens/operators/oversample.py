@@ -23,16 +23,17 @@ def smote(
     seed: int = 42,
     block: int = BLOCK,
 ) -> DataFrame:
-    """The rows of ``df`` and synthetic minority rows until the classes are even.
+    """The rows of ``df`` and synthetic minority rows until that class has as many as the largest one.
 
     Every minority row gives the same number of synthetic rows, give or take one,
     each on the line to one of its k nearest minority rows. Synthetic rows have a
     null key and ``synthetic`` set.
     """
     minor = df.filter(F.col(label) == minority)
-    counts = df.agg(
-        F.count(F.when(F.col(label) == minority, 1)).alias("few"),
-        F.count(F.when(F.col(label) != minority, 1)).alias("many"),
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    counts = sizes.agg(
+        F.coalesce(F.sum(F.when(F.col("class") == minority, F.col("n"))), F.lit(0)).alias("few"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("many"),
     ).head()
     own = [*features, label]
     kept = df.select(key, *own, F.lit(False).alias("synthetic"))

@@ -95,7 +95,8 @@ def undersample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFram
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: 'test' for ceil(test * rows) rows with class shares kept, else 'train'.
 
-    Rounding gives the odd rows to the classes with the largest remainders.
+    Rounding gives the odd rows to the classes with the largest remainders. Rows without
+    a label belong to neither part: their ``split`` is null.
     """
 
     def share(classes: DataFrame) -> Column:
@@ -108,7 +109,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
         return whole + F.when(place <= goal - F.sum(whole).over(every), 1).otherwise(0)
 
     frame, chosen = within_draw(df, share, key, seed, label)
-    return frame.select(*df.columns, F.when(chosen, "test").otherwise("train").alias("split"))
+    return frame.select(*df.columns, F.when(F.col(label).isNotNull(), F.when(chosen, "test").otherwise("train")).alias("split"))
 
 
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
@@ -160,8 +161,8 @@ def _codes_by_sort(levels: DataFrame) -> DataFrame:
     return found.select("column", "level", (F.col("_offset") + F.col("_row") - F.col("_first")).alias("code"))
 
 
-def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], strict: bool = False) -> DataFrame:
-    """Levels replaced by their codes; an unseen level gives null, or an error if strict."""
+def encode(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], strict: bool = True) -> DataFrame:
+    """Levels replaced by their codes; an unseen level is an error, or null if not strict."""
     return _look_up(df, dictionary, cols, "level", "code", strict)
 
 

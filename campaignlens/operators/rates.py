@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,10 +149,17 @@ def group_means(df: DataFrame, dim: str, cols: Sequence[str]) -> DataFrame:
 # Histograms and box statistics
 
 
+def same_group(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on the columns ``by`` in which null is a group like any other."""
+    renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in by})
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by])
+    return left.join(renamed, match, how).drop(*[f"_same_{c}" for c in by])
+
+
 def _bin_rows(counts: DataFrame, bounds: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
     """Every bin of every group with its edges; bins without rows count 0."""
     frame = bounds.select(*by, "lo", "w", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return frame.join(counts, [*by, "bin"], "left").select(
+    return same_group(frame, counts, [*by, "bin"], "left").select(
         *by,
         "bin",
         (F.col("lo") + F.col("w") * F.col("bin")).alias("from"),
@@ -184,7 +193,7 @@ def histogram(
     bounds = found.select(*by, a.alias("lo"), ((b - a) / bins).alias("w"), b.alias("hi"))
     if by:
         bounds = small_side(bounds)
-        placed = slim.join(bounds, by)
+        placed = same_group(slim, bounds, by)
     else:
         one = bounds.select(F.struct("lo", "w", "hi")).scalar()
         placed = slim.withColumn("_b", one).select("v", "_b.*")
@@ -211,7 +220,7 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str] = (), reach: float = 1.5)
     span = (F.col("q3") - F.col("q1")) * reach
     fences = found.withColumn("_lo", F.col("q1") - span).withColumn("_hi", F.col("q3") + span)
     if by:
-        placed = slim.join(small_side(fences), by)
+        placed = same_group(slim, small_side(fences), by)
     else:
         one = fences.select(F.struct("q1", "median", "q3", "_lo", "_hi")).scalar()
         placed = slim.withColumn("_f", one).select("v", "_f.*")

@@ -41,6 +41,10 @@ def running(
     splits, hot = quantile_splits(df, "_v", parts)
     work = bucket_of(df, "_v", splits, "_b")
     share = hot_share(splits, hot, "_b")
+    # Whole numbers beyond 2^53 that share a double: how far each is from it, at most 1,024 values.
+    kind = dict(df.dtypes)[order]
+    apart = F.coalesce(F.col(order) - F.col("_v").try_cast("long"), F.lit(0)) if kind == "bigint" else F.lit(0)
+    work = work.withColumn("_d", F.when(share > 1, apart).otherwise(0).cast("long"))
     if key is None:
         work = work.withColumn("_s", F.lit(0))
     else:
@@ -51,30 +55,32 @@ def running(
         work = work.withColumn(f"_x_{name}", c)
 
     bucket_order = F.col("_b").desc() if descending else F.col("_b").asc()
-    along = W.orderBy(bucket_order, "_s").rowsBetween(W.unboundedPreceding, -1)
-    # A few rows per bucket: at most three per shuffle partition.
-    totals = work.groupBy("_b", "_s").agg(
+    apart_order = F.col("_d").desc() if descending else F.col("_d").asc()
+    cut = ["_b", "_d", "_s"]
+    along = W.orderBy(bucket_order, apart_order, "_s").rowsBetween(W.unboundedPreceding, -1)
+    # A few rows per bucket: at most three per shuffle partition, more only where values share a double.
+    totals = work.groupBy(*cut).agg(
         F.count("*").alias("_n"),
         *[F.sum(f"_x_{name}").alias(f"_o_{name}") for name in sums],
     )
     zero = F.lit(0)
     offsets = totals.select(
-        "_b",
-        "_s",
+        *cut,
         F.coalesce(F.sum("_n").over(along), zero).alias("_off"),
         *[F.coalesce(F.sum(f"_o_{name}").over(along), zero).alias(f"_off_{name}") for name in sums],
-    ).withColumn("_bfirst", F.min("_off").over(W.partitionBy("_b")))
+    ).withColumn("_bfirst", F.min("_off").over(W.partitionBy("_b", "_d")))
 
-    value_order = F.col("_v").desc() if descending else F.col("_v").asc()
+    # The double only finds the bucket, it never decreases as the value grows; the value itself orders the rows.
+    value_order = F.col(order).desc() if descending else F.col(order).asc()
     ordering = [value_order, F.col("_t").asc()] if key is not None else [value_order]
-    inside = W.partitionBy("_b", "_s").orderBy(*ordering)
+    inside = W.partitionBy(*cut).orderBy(*ordering)
     rows = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = work.withColumn("_pos", F.row_number().over(inside))
-    out = out.withColumn("_rank", F.rank().over(W.partitionBy("_b", "_s").orderBy(value_order)))
+    out = out.withColumn("_rank", F.rank().over(W.partitionBy(*cut).orderBy(value_order)))
     for name in sums:
         out = out.withColumn(f"_r_{name}", F.sum(f"_x_{name}").over(rows))
     # Offsets have a bounded number of rows by construction, whatever the input.
-    out = out.join(F.broadcast(offsets), ["_b", "_s"])
+    out = out.join(F.broadcast(offsets), cut)
     return out.select(
         *[c for c in df.columns if c != "_v"],
         *[(F.col(f"_off_{name}") + F.col(f"_r_{name}")).alias(name) for name in sums],

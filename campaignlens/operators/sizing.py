@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from campaignlens.session import written
+
 SMALL_ROWS = 10_000
 SMALL_BYTES = 8 << 20
 
 
 def rows_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> list[Row] | None:
-    """The rows when there are at most ``max_rows``, otherwise None.
+    """The rows when there are at most ``max_rows`` and they hold at most SMALL_BYTES, otherwise None.
 
-    Never brings more than ``max_rows + 1`` rows to the driver.
+    Rows and bytes are counted in Spark, on at most ``max_rows + 1`` rows, before
+    any row comes to the driver; the rows are written once in between.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    size = sum(len(v) if isinstance(v, (str, bytes, list)) else 8 for r in rows for v in r)
-    return rows if size <= SMALL_BYTES else None
+    few = written(df.limit(max_rows + 1), "small")
+    size = F.octet_length(F.to_json(F.struct(*few.columns))) if few.columns else F.lit(0)
+    rows, held = few.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return few.collect() if rows <= max_rows and held <= SMALL_BYTES else None
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

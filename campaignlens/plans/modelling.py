@@ -39,13 +39,14 @@ def prepare(
 
     ``balance='all'`` undersamples before the split, so the test rows are balanced
     too; ``'train'`` leaves the test rows at their natural class shares; ``'none'``
-    keeps every row.
+    keeps every row. Rows without a label are left out.
     """
     df = written(df.select(key, *numeric, *categorical, label), "contacts")
     dictionary = prep.fit_label_dictionary(df, categorical)
     coded = prep.encode(df, dictionary, categorical)
     # Balancing, splitting, scaling and every fit read these rows again.
-    coded = written(coded.withColumn("label", yes_no(label)).drop(label), "coded")
+    coded = coded.withColumn("label", yes_no(label)).drop(label)
+    coded = written(coded.filter(F.col("label").isNotNull()), "coded")
     if balance == "all":
         coded = prep.undersample(coded, "label", key, seed)
     parts = prep.stratified_split(coded, "label", key, test, seed + 1)

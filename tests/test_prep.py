@@ -82,7 +82,7 @@ def test_codes_of_very_many_levels(spark):
 def test_unseen_level(spark):
     dictionary = prep.fit_label_dictionary(spark.createDataFrame([("a",)], "s string"), ["s"])
     new = spark.createDataFrame([("z",)], "s string")
-    assert prep.encode(new, dictionary, ["s"]).head()["s"] is None
+    assert prep.encode(new, dictionary, ["s"], strict=False).head()["s"] is None
     with pytest.raises(Exception, match="unseen value in s: z"):
         prep.encode(new, dictionary, ["s"], strict=True).collect()
 
@@ -118,3 +118,37 @@ def test_weights_distribution_and_min_max(spark):
 def test_assemble_leaves_columns_out(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
     assert prep.assemble(df, ["c", "b", "a"], without=["b"]).head()["features"].toArray().tolist() == [3.0, 1.0]
+
+
+def test_rows_without_a_label_are_in_neither_part(spark):
+    df = spark.createDataFrame([(i, None if i < 20 else "ab"[i % 2]) for i in range(100)], "id long, y string")
+    parts = prep.stratified_split(df, "y", "id")
+    counts = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert counts == {None: 20, "test": 16, "train": 64}
+    assert parts.filter("y IS NULL AND split IS NOT NULL").count() == 0
+
+
+def test_unseen_levels_are_an_error_unless_asked_for(spark):
+    seen, new = (spark.createDataFrame([(x,)], "s string") for x in ("a", "b"))
+    dictionary = prep.fit_label_dictionary(seen, ["s"])
+    with pytest.raises(Exception, match="unseen value in s"):
+        prep.encode(new, dictionary, ["s"]).collect()
+    assert prep.encode(new, dictionary, ["s"], strict=False).first()["s"] is None
+
+
+def test_long_texts_are_not_collected(spark):
+    from campaignlens.operators.sizing import rows_if_small
+
+    long = spark.range(300).select(F.repeat(F.lit("x"), 100_000).alias("s"))
+    assert rows_if_small(long) is None
+    assert rows_if_small(spark.createDataFrame([(["x" * 9_000_000],)], "a array<string>")) is None
+    assert len(rows_if_small(long.limit(3))) == 3
+
+
+def test_smote_reaches_the_largest_class(spark):
+    from campaignlens.operators.oversample import smote
+
+    rows = [(i, float(i % 13), float(i % 7), 0 if i < 40 else 2 if i < 90 else 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    counts = {r["y"]: r["count"] for r in smote(df, ["a", "b"], "id", "y", minority=1).groupBy("y").count().collect()}
+    assert counts == {0: 40, 1: 50, 2: 50}

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from campaignlens.operators import rates as R
 from campaignlens.operators import rules
@@ -100,3 +101,10 @@ def test_projection(spark):
     df = spark.createDataFrame([("yes",)] + [("no",)] * 9, "y string")
     got = {r["plan"]: tuple(r)[1:] for r in rules.campaign_projection(df).collect()}
     assert got["everyone"] == pytest.approx((10, 1, 10)) and got["targeted"] == pytest.approx((5, 1, 20))
+
+
+def test_missing_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), ("a", 5.0)], "g string, v double")
+    bins = R.histogram(df, "v", 4, by=["g"]).groupBy("g").agg(F.sum("rows").alias("n")).collect()
+    assert {r["g"]: r["n"] for r in bins} == {None: 3, "a": 1}
+    assert {r["g"]: r["rows"] for r in R.box_stats(df, "v", ["g"]).collect()} == {None: 3, "a": 1}

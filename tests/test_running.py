@@ -103,3 +103,25 @@ def test_hot_clients_get_the_same_history(spark, crowded):
     pdf["pdays"] = gap.astype(int)
     want = pdf.sort_values("id")[["previous", "pdays", "poutcome"]].values.tolist()
     assert [[r["previous"], r["pdays"], r["poutcome"]] for r in plain] == want
+
+
+def test_whole_numbers_that_share_a_double(spark):
+    big = 2**53
+    values = [big, big, big + 1, big + 2, big + 3] + [big + 1] * 400 + [big] * 400 + [5]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long")
+    rows = running(df, "v", {"n": F.lit(1)}, key="id").collect()
+    assert {(r["v"], r["before"]) for r in rows} == {(v, sum(x < v for x in values)) for v in values}
+    assert sorted(r["position"] for r in rows) == list(range(1, len(values) + 1))
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["position"])] == sorted(values)
+    down = running(df, "v", {"n": F.lit(1)}, key="id", descending=True).collect()
+    assert [r["v"] for r in sorted(down, key=lambda r: r["position"])] == sorted(values, reverse=True)
+
+
+def test_history_of_very_many_rows_without_a_client(spark):
+    rows = [(i, None if i % 3 else 7, i // 2, f"o{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, c long, d int, o string").withColumn("t", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, d)")).drop("d")
+    from campaignlens.operators.history import hot_keys, with_history
+
+    assert {r[0] for r in hot_keys(df, "c", 90).collect()} == {None, 7}
+    whole, sliced = (with_history(df, "c", "t", "id", "o", hot_rows=n).collect() for n in (10**6, 90))
+    assert sorted(map(repr, whole)) == sorted(map(repr, sliced))

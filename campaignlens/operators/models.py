@@ -31,6 +31,7 @@ from campaignlens.operators.evaluate import binary_metrics, roc_auc
 from campaignlens.operators.neighbors import knn_classify
 from campaignlens.operators.prep import assemble
 from campaignlens.operators.running import running
+from campaignlens.session import written
 
 LABEL = "label"
 
@@ -119,15 +120,16 @@ def train_boosting(
 
 
 def train_neighbors(train: DataFrame, features: Sequence[str], key: str, label: str = LABEL, k: int = 5) -> Fitted:
-    """k nearest neighbours; the work happens at scoring time."""
-    slim = train.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), label)
+    """k nearest neighbours; training keeps the rows, in the shared folder, and the search happens at scoring time."""
+    start = time.time()
+    slim = written(train.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), label), "neighbours")
 
     def run(df: DataFrame) -> DataFrame:
         asked = df.select(key, F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
         votes = knn_classify(slim, asked, key, "_v", label, k)
         return df.join(votes.select(key, F.col("prediction").cast("int").alias("prediction"), "score"), key)
 
-    return Fitted("K-Nearest Neighbors", list(features), run, None, 0.0, {"n_neighbors": k})
+    return Fitted("K-Nearest Neighbors", list(features), run, None, time.time() - start, {"n_neighbors": k})
 
 
 def _fourier(dims: int, inputs: int, gamma: float, seed: int):

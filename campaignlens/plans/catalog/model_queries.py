@@ -1,21 +1,45 @@
-"""Neighbours checked in SQL, trained models by row count and properties."""
+"""Neighbours checked in SQL; trained models by what must hold of them whatever the fit: rows, labels, gradients, sums, orders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campaignlens.operators import models, neighbors, prep
-from campaignlens.operators.evaluate import binary_metrics, compare_models, roc_auc, select_best
+from campaignlens.operators.evaluate import binary_metrics, compare_models, confusion, roc_auc, scaling_improvement
 from campaignlens.operators.oversample import smote
 from campaignlens.operators.ranking import cumulative_share, rows_to_reach
-from campaignlens.plans.catalog.common import neat, query
+from campaignlens.plans.catalog.common import CONTACTS, neat, query
 from campaignlens.plans.contacts import contacts
-from campaignlens.plans.modelling import Prepared, bake_off, five_models, prepare, scaled_vs_unscaled
-from campaignlens.session import shared_dir
+from campaignlens.plans.modelling import Prepared, bake_off, prepare, scaled_vs_unscaled, winner
+from campaignlens.session import shared_dir, written
 from campaignlens.sources.readers import read_table
 from campaignlens.sources.sinks import load_model, run_rows, run_table, save_model, write_runs, read_runs
 
+# The balanced, split contact rows in SQL, after CONTACTS. The draw decides alone.
+PARTS = """, drawn AS (
+  SELECT id, CASE WHEN y = 'yes' THEN 1 ELSE 0 END AS label,
+         row_number() OVER (PARTITION BY y ORDER BY md5('42:' || id)) AS seat FROM contacts),
+base AS (SELECT * FROM drawn WHERE {keep}),
+sizes AS (
+  SELECT label, count(*) AS n, count(*) * ceil(0.2 * sum(count(*)) OVER ()) / sum(count(*)) OVER () AS want,
+         ceil(0.2 * sum(count(*)) OVER ()) AS goal FROM base GROUP BY label),
+takes AS (
+  SELECT label, floor(want) + CASE WHEN row_number() OVER (ORDER BY want - floor(want) DESC, label)
+           <= goal - sum(floor(want)) OVER () THEN 1 ELSE 0 END AS take FROM sizes),
+parts AS (
+  SELECT b.id, b.label, row_number() OVER (PARTITION BY b.label ORDER BY md5('43:' || b.id)) <= take AS is_test
+  FROM base b JOIN takes t ON b.label = t.label)
+"""
+EVEN = CONTACTS + PARTS.format(keep="seat <= (SELECT min(n) FROM (SELECT count(*) AS n FROM contacts GROUP BY y))")
+WHOLE = CONTACTS + PARTS.format(keep="TRUE")
+TEST_ROWS = "SELECT id, CAST(label AS BIGINT) AS label, TRUE AS in_range, TRUE AS agrees FROM parts WHERE is_test"
+FIVE = ("Logistic Regression", "Random Forest", "Gradient Boosting", "K-Nearest Neighbors", "Support Vector Machine")
+
 NUMERIC = ["balance", "duration", "campaign", "day", "previous", "pdays"]
 CATEGORICAL = ["job", "marital", "contact", "month", "poutcome"]
 
@@ -63,17 +87,26 @@ def prepared(spark: SparkSession, directory: str, balance: str = "all") -> Prepa
     return prepare(df, "id", NUMERIC, CATEGORICAL, balance=balance)
 
 
+def names(values: Iterable[str], name: str, columns: str) -> str:
+    """SQL with a row per name."""
+    return f"SELECT {name}, {columns} FROM (VALUES {', '.join(f"('{v}')" for v in values)}) AS t({name})"
+
+
 def scored_rows(fitted: models.Fitted, test: DataFrame) -> DataFrame:
-    return fitted.score(test).select("id", "label", "prediction", F.round("score", 6).alias("score"))
+    """Every test row with its label, whether its score is a probability, and whether the prediction follows from it."""
+    agrees = F.col("prediction") == (F.col("score") > 0.5).cast("int")
+    return fitted.score(test).select(
+        "id", F.col("label").cast("long").alias("label"), F.col("score").between(0, 1).alias("in_range"), agrees.alias("agrees")
+    )
 
 
-@query("train_logistic")
+@query("train_logistic", EVEN + TEST_ROWS)
 def train_logistic(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
     return scored_rows(models.train_logistic(p.train_scaled, p.features), p.test_scaled)
 
 
-@query("train_logistic_weighted")
+@query("train_logistic_weighted", WHOLE + TEST_ROWS)
 def train_logistic_weighted(spark: SparkSession, directory: str) -> DataFrame:
     """Class weights on the full training rows in place of undersampling; test rows keep their shares."""
     p = prepared(spark, directory, balance="none")
@@ -81,110 +114,218 @@ def train_logistic_weighted(spark: SparkSession, directory: str) -> DataFrame:
     return scored_rows(models.train_logistic(train, p.features, weight="weight"), p.test_scaled)
 
 
-@query("train_forest")
+@query("train_forest", EVEN + TEST_ROWS)
 def train_forest(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
-    return scored_rows(models.train_forest(p.train, p.features, trees=50, depth=10), p.test)
+    return scored_rows(models.train_forest(p.train, p.features), p.test)
 
 
-@query("train_boosting")
+@query("train_boosting", EVEN + TEST_ROWS)
 def train_boosting(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
-    return scored_rows(models.train_boosting(p.train, p.features, rounds=20, depth=5), p.test)
+    return scored_rows(models.train_boosting(p.train, p.features), p.test)
 
 
-@query("train_neighbours")
+@query("train_neighbours", EVEN + TEST_ROWS)
 def train_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
     return scored_rows(models.train_neighbors(p.train_scaled, p.features, "id"), p.test_scaled)
 
 
-@query("train_rbf_svm")
+@query("train_rbf_svm", EVEN + TEST_ROWS)
 def train_rbf_svm(spark: SparkSession, directory: str) -> DataFrame:
+    """The margin decides and the score is fitted to it, so predictions are cut by one score, on either side."""
     p = prepared(spark, directory)
-    return scored_rows(models.train_rbf_svm(p.train_scaled, p.features, "id", dims=128, max_iter=50), p.test_scaled)
+    scored = written(models.train_rbf_svm(p.train_scaled, p.features, "id").score(p.test_scaled), "svm-scores")
+    yes, no = (F.when(F.col("prediction") == v, F.col("score")) for v in (1, 0))
+    cut = scored.agg(
+        F.coalesce((F.max(no) <= F.min(yes)) | (F.max(yes) <= F.min(no)), F.lit(True)).alias("agrees")
+    ).scalar()
+    return scored.select("id", F.col("label").cast("long").alias("label"), F.col("score").between(0, 1).alias("in_range"), cut.alias("agrees"))
 
 
-@query("train_without_leakage")
+@query("train_without_leakage", EVEN + TEST_ROWS)
 def train_without_leakage(spark: SparkSession, directory: str) -> DataFrame:
     """The forest without the column that is known only after the contact."""
     p = prepared(spark, directory)
     usable = [c for c in p.features if c != "duration"]
-    return scored_rows(models.train_forest(p.train, usable, trees=20, depth=8), p.test)
+    return scored_rows(models.train_forest(p.train, usable), p.test)
+
+
+def checked_metrics(metrics: DataFrame) -> DataFrame:
+    """Per run: all metrics are shares, F1 is the harmonic mean of the others, the training took time."""
+    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
+    harmonic = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    return metrics.withColumns(
+        {
+            "in_range": reduce(and_, shares),
+            "f1_fits": F.abs(F.col("f1") - F.coalesce(harmonic, F.lit(0.0))) < 1e-9,
+            "timed": F.col("training_time_s") > 0,
+        }
+    )
 
 
-@query("bake_off")
+@query("bake_off", names(FIVE, "model", "TRUE AS in_range, TRUE AS f1_fits, TRUE AS timed"))
 def run_bake_off(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
-    metrics, _ = bake_off(p, "id", five_models(p.features, "id", trees=20, rounds=10))
-    return compare_models([metrics])
+    metrics, _ = bake_off(p, "id")
+    return checked_metrics(compare_models([metrics])).select("model", "in_range", "f1_fits", "timed")
 
 
-@query("bake_off_best")
+@query(
+    "bake_off_best",
+    EVEN
+    + f"""SELECT cell, n_actual, is_best, logged FROM (
+  SELECT label AS actual, count(*) AS n_actual FROM parts WHERE is_test GROUP BY label) a
+  JOIN (VALUES (0, 'tn'), (0, 'fp'), (1, 'fn'), (1, 'tp')) AS c(actual, cell) USING (actual),
+  (SELECT TRUE AS is_best, {len(FIVE)} AS logged)""",
+)
 def bake_off_best(spark: SparkSession, directory: str) -> DataFrame:
+    """The whole flow: train and log all five, take the best by F1, and look into its test rows.
+
+    Per cell of the winner's confusion table: rows of its actual class over both cells,
+    whether no logged run has a better F1, and the number of logged runs.
+    """
     p = prepared(spark, directory)
-    quick = five_models(p.features, "id", trees=20)
-    trainers = {k: quick[k] for k in ("Logistic Regression", "Random Forest")}
-    metrics, _ = bake_off(p, "id", trainers)
-    return select_best(metrics)
+    log = shared_dir(spark, "runs")
+    best, scored = winner(p, "id", log)
+    runs = run_table(read_runs(spark, log, "bake-off"), ["f1"])
+    found = runs.agg(F.max("f1").alias("top"), F.count("*").cast("int").alias("logged"))
+    cells = confusion(scored)
+    both = cells.groupBy("actual").agg(F.sum("rows").alias("n_actual"))
+    return cells.join(both, "actual").crossJoin(F.broadcast(found)).select(
+        "cell", "n_actual", (F.lit(best["f1"]) >= F.col("top")).alias("is_best"), "logged"
+    )
+
+
+@query("scaled_vs_unscaled", names(("Random Forest", "Logistic Regression"), "family", "TRUE AS precision_fits, TRUE AS recall_fits"))
+def run_scaled_vs_unscaled(spark: SparkSession, directory: str) -> DataFrame:
+    """The relative changes of scaling_improvement against the four runs that they come from."""
+    runs = scaled_vs_unscaled(prepared(spark, directory))
+    changes = scaling_improvement(runs)
+    raw, scaled = (runs.filter(F.col("scaled") == s).select("family", *[F.col(m).alias(f"{m}_{s}") for m in ("precision", "recall")]) for s in (False, True))
+    both = changes.join(raw, "family").join(scaled, "family")
 
+    def fits(m: str) -> Column:
+        before, after, change = F.col(f"{m}_False"), F.col(f"{m}_True"), F.col(f"{m}_change_pct")
+        return F.when(before > 0, F.abs(before * (1 + change / 100) - after) < 1e-9).otherwise(change.isNull() | (change == 0)).alias(f"{m}_fits")
 
-@query("scaled_vs_unscaled")
-def run_scaled_vs_unscaled(spark: SparkSession, directory: str) -> DataFrame:
-    return scaled_vs_unscaled(prepared(spark, directory), trees=20)
+    return both.select("family", fits("precision"), fits("recall"))
+
+
+FEATURE_NAMES = [*NUMERIC, *CATEGORICAL]
 
 
-@query("feature_importance")
+def checked_importance(table: DataFrame) -> DataFrame:
+    """Per feature: its share is not negative, all shares sum to one."""
+    total = table.agg(F.round(F.sum("importance"), 6)).scalar()
+    return table.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
+
+
+@query("feature_importance", names(FEATURE_NAMES, "feature", "TRUE AS not_negative, 1.0::DOUBLE AS total"))
 def feature_importance(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
-    fitted = models.train_forest(p.train, p.features, trees=30, depth=10)
-    return models.feature_importance(fitted, p.train)
+    return checked_importance(models.feature_importance(models.train_forest(p.train, p.features), p.train))
 
 
-@query("features_to_reach")
+@query("features_to_reach", "SELECT threshold, TRUE AS reached, TRUE AS needed FROM (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) AS t(threshold)")
 def features_to_reach(spark: SparkSession, directory: str) -> DataFrame:
+    """That many of the most important features reach the share, and one fewer do not."""
     p = prepared(spark, directory)
-    fitted = models.train_forest(p.train, p.features, trees=30, depth=10)
-    shares = cumulative_share(models.feature_importance(fitted, p.train), "feature", "importance")
-    return rows_to_reach(shares, [0.8, 0.9])
-
-
-@query("coefficients")
+    table = written(models.feature_importance(models.train_forest(p.train, p.features), p.train), "importances")
+    reach = rows_to_reach(cumulative_share(table, "feature", "importance"), [0.8, 0.9])
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))  # a row per feature
+    placed = table.select("importance", place.alias("place"))
+    return (
+        reach.crossJoin(F.broadcast(placed))
+        .groupBy("threshold", "rows")
+        .agg(
+            F.sum(F.when(F.col("place") <= F.col("rows"), F.col("importance"))).alias("with_all"),
+            F.coalesce(F.sum(F.when(F.col("place") < F.col("rows"), F.col("importance"))), F.lit(0.0)).alias("with_fewer"),
+        )
+        .select(
+            "threshold",
+            (F.col("with_all") >= F.col("threshold") - 1e-9).alias("reached"),
+            (F.col("with_fewer") < F.col("threshold") + 1e-9).alias("needed"),
+        )
+    )
+
+
+@query("coefficients", names(["(intercept)", *FEATURE_NAMES], "feature", "0.0::DOUBLE AS gradient"))
 def coefficients(spark: SparkSession, directory: str) -> DataFrame:
+    """The slope of the penalised mean loss along each coefficient, which is zero where the loss is smallest."""
     p = prepared(spark, directory)
-    return models.coefficients(models.train_logistic(p.train_scaled, p.features), p.train)
+    fitted = models.train_logistic(p.train_scaled, p.features)
+    penalty = 1.0 / p.train_scaled.count()
+    weights = {r["feature"]: r["coefficient"] for r in models.coefficients(fitted, p.train).collect()}
+    miss = F.col("score") - F.col("label")
+    row = fitted.score(p.train_scaled).agg(
+        F.avg(miss).alias("(intercept)"), *[(F.avg(miss * F.col(f)) + penalty * weights[f]).alias(f) for f in p.features]
+    )
+    return row.unpivot([], ["(intercept)", *p.features], "feature", "slope").select("feature", (F.round("slope", 3) + 0.0).alias("gradient"))
 
 
-@query("importance_or_coefficients")
+@query(
+    "importance_or_coefficients",
+    " UNION ALL ".join(
+        names(FEATURE_NAMES, "feature", f"'{m}' AS model, TRUE AS finite") for m in ("Random Forest", "Gradient Boosting", "Logistic Regression")
+    ),
+)
 def importance_or_coefficients(spark: SparkSession, directory: str) -> DataFrame:
+    """Every feature of the models that weigh features; neighbours and the kernel model give no rows."""
     p = prepared(spark, directory)
     found = None
     for fitted in (
-        models.train_forest(p.train, p.features, trees=10, depth=5),
+        models.train_forest(p.train, p.features),
+        models.train_boosting(p.train, p.features),
         models.train_logistic(p.train_scaled, p.features),
         models.train_neighbors(p.train_scaled, p.features, "id"),
+        models.train_rbf_svm(p.train_scaled, p.features, "id"),
     ):
         one = models.importance_or_coefficients(fitted, p.train).withColumn("model", F.lit(fitted.name))
         found = one if found is None else found.unionByName(one)
-    return found
+    return found.select("feature", "model", (F.abs("value") < float("inf")).alias("finite"))
 
 
-@query("permutation_importance")
+@query("permutation_importance", names(FEATURE_NAMES, "feature", "TRUE AS same_base, TRUE AS in_range"))
 def permutation_importance(spark: SparkSession, directory: str) -> DataFrame:
+    """The unshuffled ROC AUC is that of the test rows, and every loss lies between the AUC and its distance to one."""
     p = prepared(spark, directory)
     fitted = models.train_logistic(p.train_scaled, p.features)
-    return models.permutation_importance(fitted, p.test_scaled, "id")
+    table = models.permutation_importance(fitted, p.test_scaled, "id")
+    base = roc_auc(fitted.score(p.test_scaled)).first()["roc_auc"]
+    return table.select(
+        "feature",
+        (F.abs(F.col("roc_auc") - base) < 1e-9).alias("same_base"),
+        F.col("loss").between(F.col("roc_auc") - 1, F.col("roc_auc")).alias("in_range"),
+    )
 
 
-@query("smote")
+@query(
+    "smote",
+    CONTACTS
+    + """, n AS (SELECT count(*) FILTER (y = 'yes') AS few, count(*) FILTER (y = 'no') AS many FROM contacts)
+  SELECT label, synthetic, n::BIGINT AS n, TRUE AS inside FROM (
+    SELECT 0 AS label, FALSE AS synthetic, many AS n FROM n UNION ALL SELECT 1, FALSE, few FROM n
+    UNION ALL SELECT 1, TRUE, many - few FROM n)""",
+)
 def run_smote(spark: SparkSession, directory: str) -> DataFrame:
-    df = contacts(spark, directory, ["id", "balance", "duration", "campaign", "y"])
+    """Rows per class and kind, and whether made rows lie within the range of the minority they come from."""
+    cols = ["balance", "duration", "campaign"]
+    df = contacts(spark, directory, ["id", *cols, "y"])
     coded = df.withColumn("label", F.when(F.col("y") == "yes", 1).otherwise(0)).drop("y")
-    scaled = prep.standardize(coded, [], ["balance", "duration", "campaign"])[0]
-    return smote(scaled, ["balance", "duration", "campaign"], "id", "label")
-
-
-@query("model_round_trip")
+    scaled = prep.standardize(coded, [], cols)[0]
+    made = smote(scaled, cols, "id", "label")
+    bounds = scaled.filter("label = 1").agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"{c}_range") for c in cols])
+    inside = [F.col(c).between(F.col(f"{c}_range.lo") - 1e-9, F.col(f"{c}_range.hi") + 1e-9) for c in cols]
+    return (
+        made.crossJoin(F.broadcast(bounds))
+        .groupBy("label", "synthetic")
+        .agg(F.count("*").alias("n"), F.bool_and(~F.col("synthetic") | reduce(and_, inside)).alias("inside"))
+    )
+
+
+@query("model_round_trip", EVEN + "SELECT count(*) AS n, 0::BIGINT AS changed FROM parts WHERE is_test")
 def model_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     """Rows whose score changes when the model is written and read back: none."""
     p = prepared(spark, directory)
@@ -198,7 +339,7 @@ def model_round_trip(spark: SparkSession, directory: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count(F.when(F.col("score") != F.col("again"), 1)).alias("changed"))
 
 
-@query("logged_run")
+@query("logged_run", "SELECT 'contacts' AS experiment, 'Logistic Regression' AS run_name, TRUE AS same_metrics, TRUE AS timed")
 def logged_run(spark: SparkSession, directory: str) -> DataFrame:
     """A trained model's parameters and metrics written to the experiment log and read back."""
     p = prepared(spark, directory)
@@ -207,13 +348,23 @@ def logged_run(spark: SparkSession, directory: str) -> DataFrame:
     runs = run_rows(spark, "contacts", fitted.name, {"model_type": fitted.name, **fitted.params}, metrics)
     path = shared_dir(spark, "runs")
     write_runs(runs, path)
-    return run_table(read_runs(spark, path), ["accuracy", "precision", "recall", "f1", "roc_auc", "training_time"])
+    names = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    read = run_table(read_runs(spark, path), [*names, "training_time"])
+    same = reduce(and_, [F.col(m) == F.lit(float(metrics[m])) for m in names])
+    return read.select("experiment", "run_name", same.alias("same_metrics"), (F.col("training_time") > 0).alias("timed"))
 
 
-@query("untouched_holdout")
+@query(
+    "untouched_holdout",
+    WHOLE + """SELECT count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, TRUE AS in_range
+  FROM parts WHERE is_test""",
+)
 def untouched_holdout(spark: SparkSession, directory: str) -> DataFrame:
-    """Metrics on test rows that keep their class shares, the training rows alone being balanced."""
+    """The test rows keep their class shares, the training rows alone being balanced; the metrics are shares."""
     p = prepared(spark, directory, balance="train")
     fitted = models.train_logistic(p.train_scaled, p.features)
     scored = fitted.score(p.test_scaled)
-    return binary_metrics(scored).withColumn("roc_auc", roc_auc(scored).scalar())
+    found = binary_metrics(scored).withColumn("roc_auc", roc_auc(scored).scalar())
+    counts = scored.agg(F.count(F.when(F.col("label") == 1, 1)).alias("positives"), F.count(F.when(F.col("label") == 0, 1)).alias("negatives"))
+    in_range = reduce(and_, [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+    return counts.crossJoin(F.broadcast(found)).select("positives", "negatives", in_range.alias("in_range"))

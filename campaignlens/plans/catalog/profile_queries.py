@@ -102,9 +102,16 @@ def nunique(df: DataFrame) -> DataFrame:
     return named(profile.nunique(df, LEVELS))
 
 
-@on_contacts("nunique_sketch", " ".join(LEVELS))
+@on_contacts(
+    "nunique_sketch",
+    " ".join(LEVELS),
+    " UNION ALL ".join(f"SELECT '{c}' AS name, TRUE AS close FROM contacts HAVING count(DISTINCT {c}) > 0" for c in LEVELS),
+)
 def nunique_sketch(df: DataFrame) -> DataFrame:
-    return named(profile.nunique(df, LEVELS, exact=False))
+    """Whether the sketch is within five of its standard errors (0.01) of the exact count."""
+    sketch, exact = (profile.nunique(df, LEVELS, exact=e) for e in (False, True))
+    both = sketch.join(exact.withColumnRenamed("distinct_values", "exact"), "column")
+    return both.select(F.col("column").alias("name"), (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
 
 
 MATRIX = " UNION ALL ".join(

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campaignlens.operators import segments
-from campaignlens.plans.catalog.common import neat, on_contacts, query
+from campaignlens.plans.catalog.common import CONTACTS, neat, on_contacts, query
 from campaignlens.plans.contacts import contacts
 from campaignlens.plans.segmentation import segment
+from campaignlens.session import written
 from campaignlens.sources.readers import read_table
 
 MEANS = ["balance", "duration", "campaign", "previous"]
@@ -113,27 +116,63 @@ def embedding_vectors(spark: SparkSession, directory: str) -> DataFrame:
     return vectors.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-@query("kmeans_sweep")
+KS = range(2, 11)
+
+
+@query("kmeans_sweep", f"SELECT k, TRUE AS sums_fit, TRUE AS in_range FROM (VALUES {', '.join(f'({k})' for k in KS)}) AS t(k)")
 def kmeans_sweep(spark: SparkSession, directory: str) -> DataFrame:
-    return segments.kmeans_sweep(embedding_vectors(spark, directory), range(2, 11), starts=2, max_iter=50)
+    """Per k: the inertia is the sum of squared distances to the nearest centre, the silhouette lies in [-1, 1]."""
+    vectors = written(embedding_vectors(spark, directory), "vectors")
+    sweep, found = segments.sweep_models(vectors, KS, "features", starts=10, seed=42, max_iter=300)
+    sums = [inertia_by_hand(model, vectors).select(F.lit(k).alias("k"), "inertia_again") for k, model in found.items()]
+    checked = sweep.join(reduce(DataFrame.union, sums), "k")
+    close = F.abs(F.col("inertia") - F.col("inertia_again")) <= 1e-6 * F.col("inertia_again")
+    return checked.select("k", close.alias("sums_fit"), F.col("silhouette").between(-1, 1).alias("in_range"))
+
+
+def distances(model, vectors: DataFrame) -> DataFrame:
+    """Squared distance of every vector to every centre (an array), by SQL functions."""
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    squared = F.transform(
+        centres,
+        lambda c: F.aggregate(F.zip_with(c, F.col("_x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d),
+    )
+    return vectors.withColumn("_x", vector_to_array("features")).withColumn("_d", squared)
 
 
-@query("choose_k")
+def inertia_by_hand(model, vectors: DataFrame) -> DataFrame:
+    return distances(model, vectors).agg(F.sum(F.array_min("_d")).alias("inertia_again"))
+
+
+@query("choose_k", "SELECT TRUE AS largest, TRUE AS among_ks")
 def choose_k(spark: SparkSession, directory: str) -> DataFrame:
-    sweep = segments.kmeans_sweep(embedding_vectors(spark, directory), range(2, 6), starts=2, max_iter=50)
-    return segments.choose_k(sweep)
+    """No k of the sweep has a larger silhouette than the chosen one."""
+    sweep = written(segments.kmeans_sweep(embedding_vectors(spark, directory), KS), "sweep")
+    top = sweep.agg(F.max("silhouette")).scalar()
+    return segments.choose_k(sweep).select((F.col("silhouette") == top).alias("largest"), F.col("k").between(min(KS), max(KS)).alias("among_ks"))
 
 
-@query("segment_contacts")
+@query("segment_contacts", CONTACTS + f"SELECT count(*) AS n, {RATE} AS response_rate, round(avg(balance), 6) AS mean_balance FROM contacts")
 def segment_contacts(spark: SparkSession, directory: str) -> DataFrame:
-    """The whole flow on the contact view: sweep, choice of k, profile of each segment."""
+    """The whole flow on the contact view; the segments' sizes and rates add up to those of all contacts."""
     df = contacts(spark, directory, ["id", *NUMERIC, *CATEGORICAL, "y"])
-    _, assigned = segment(df, "id", NUMERIC, CATEGORICAL, ks=range(2, 5), starts=2)
-    return segments.profile_clusters(assigned, MEANS, MODES, FLAGS)
+    _, assigned = segment(df, "id", NUMERIC, CATEGORICAL)
+    profiles = segments.profile_clusters(assigned, MEANS, MODES, FLAGS)
+    share = F.col("rows") / F.sum("rows").over(Window.partitionBy())  # a row per segment
+    shares = profiles.withColumn("_s", share)
+    return neat(
+        shares.agg(
+            F.sum("rows").alias("n"),
+            F.sum(F.col("response_rate") * F.col("_s")).alias("response_rate"),
+            F.sum(F.col("mean_balance") * F.col("_s")).alias("mean_balance"),
+        )
+    )
 
 
-@query("assign_clusters")
+@query("assign_clusters", "SELECT vec_id, TRUE AS nearest FROM embeddings")
 def assign_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    """Every vector is in the cluster of its nearest centre."""
     vectors = embedding_vectors(spark, directory)
-    model = segments.fit_kmeans(vectors, 10, starts=3)
-    return segments.assign_clusters(model, vectors).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
+    model = segments.fit_kmeans(vectors, 10)
+    found = distances(model, segments.assign_clusters(model, vectors))
+    return found.select("vec_id", (F.get("_d", F.col("cluster")) <= F.array_min("_d") + 1e-9).alias("nearest"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from campaignlens.functions.scalars import yes_no
 from campaignlens.operators import models, prep
+from campaignlens.operators.evaluate import select_best
 from campaignlens.session import written
+from campaignlens.sources.sinks import run_rows, save_model, write_runs
 
 
 @dataclass
@@ -80,6 +82,36 @@ def bake_off(
     return models.train_all(trainers, prepared.train_scaled, prepared.test_scaled)
 
 
+def winner(
+    prepared: Prepared,
+    key: str,
+    log: str,
+    trainers: Mapping[str, Callable[[DataFrame], models.Fitted]] | None = None,
+    experiment: str = "bake-off",
+    metric: str = "f1",
+) -> tuple[Row, DataFrame]:
+    """All models trained and logged to the folder ``log``; the best run's metrics and its scored test rows.
+
+    A run is logged with its model's settings, the sizes of both parts, its metrics and,
+    where the model can be written, the path of its file. The scored rows feed confusion,
+    report, curves and business metrics.
+    """
+    spark = prepared.train.sparkSession
+    metrics, fitted = bake_off(prepared, key, trainers)
+    sizes = {"train_rows": prepared.train.count(), "test_rows": prepared.test.count()}
+    for row in metrics.collect():  # one row per model
+        model = fitted[row["model"]]
+        params = {"model_type": row["model"], **model.params, **sizes, "scaled": True}
+        if model.model is not None:
+            params["model_path"] = f"{log}-models/{row['model'].replace(' ', '-')}"
+            save_model(model.model, params["model_path"])
+        values = {c: row[c] for c in metrics.columns if c not in ("position", "model")}
+        write_runs(run_rows(spark, experiment, row["model"], params, values), log)
+    best = select_best(metrics, metric).head()
+    scored = fitted[best["model"]].score(prepared.test_scaled).select(key, "label", "prediction", "score")
+    return best, written(scored, "winner")
+
+
 def scaled_vs_unscaled(prepared: Prepared, trees: int = 100, depth: int = 10) -> DataFrame:
     """Forest and logistic regression on raw and on scaled rows: four metric rows."""
     fits = {

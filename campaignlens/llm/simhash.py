@@ -66,28 +66,27 @@ def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", name:
     return docs.select(*rest, F.col(text_col).cast("binary").alias(text_col)).mapInArrow(run, schema)
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def variants(node: Column, max_bits: int) -> Column:
-    """The signatures of a fingerprint: an array of (segment and wildcard, bits left)."""
+    """The signatures of a fingerprint: an array with one (segment, wildcard, bits left) after the other.
+
+    Each is one number. Segments of 32 bits leave room for the wildcard; of one segment of
+    64 bits it is a hash, whose rare collisions only make pairs that are then refused.
+    """
     parts = max_bits // 2 + 1
     width = BITS // parts
-    full = (1 << width) - 1
-
-    def segment(i: int) -> Column:
-        return F.shiftrightunsigned(node, i * width).bitwiseAND(F.lit(full if width < 64 else -1).cast("long"))
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >= 1 << 63 else x
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i * width + bit).cast("int").alias("wildcard"),
-                segment(i).bitwiseAND(F.lit(signed(~(1 << bit) & ((1 << 64) - 1)))).alias("bits"),
-            )
-            for i in range(parts)
-            for bit in range(width)
-        ]
-    )
+
+    def signature(i: int, bit: int) -> Column:
+        mask = ((1 << width) - 1) & ~(1 << bit)
+        bits = F.shiftrightunsigned(node, i * width).bitwiseAND(F.lit(signed(mask)).cast("long"))
+        if width == BITS:
+            return F.xxhash64(F.lit(bit), bits)
+        return bits.bitwiseOR(F.lit((i * width + bit) << width).cast("long"))
+
+    return F.array(*[signature(i, bit) for i in range(parts) for bit in range(width)])
 
 
 def near_links(nodes: DataFrame, max_bits: int = 2, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -95,39 +94,33 @@ def near_links(nodes: DataFrame, max_bits: int = 2, max_bucket: int = MAX_BUCKET
 
     Every link is within reach, and any two nodes within reach are joined by a path of links.
     """
-    index = nodes.select("node", F.explode(variants(F.col("node"), max_bits)).alias("s")).select("node", "s.*")
+    index = nodes.select("node", F.explode(variants(F.col("node"), max_bits)).alias("signature"))
     # Most signatures have one node; those of two are a pair at once.
     buckets = written(
-        index.groupBy("wildcard", "bits")
+        index.groupBy("signature")
         .agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v"))
         .where("n > 1"),
         "buckets",
     )
     pairs = buckets.where("n = 2").select("u", "v")
-    larger = buckets.where("n > 2").select("wildcard", "bits", "n")
-    members = written(index.join(larger, ["wildcard", "bits"]), "members")
-    small = members.where(F.col("n") <= max_bucket).select("wildcard", "bits", F.col("node"))
+    # The same join at every size: a table of larger buckets grows with the input.
+    larger = buckets.where("n > 2").select("signature", "n").hint("merge")
+    members = written(index.join(larger, "signature"), "members")
+    small = members.where(F.col("n") <= max_bucket).select("signature", "node")
     joined = (
-        small.withColumnRenamed("node", "u")
-        .join(small.withColumnRenamed("node", "v"), ["wildcard", "bits"])
-        .where("u < v")
-        .select("u", "v")
+        small.withColumnRenamed("node", "u").join(small.withColumnRenamed("node", "v"), "signature").where("u < v").select("u", "v")
     )
     verified = pairs.union(joined).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).distinct()
 
     crowded = members.where(F.col("n") > max_bucket).select("node").distinct()
-    radius = max_bits // 2
-    flips = [F.lit(0).cast("long")] + [F.lit((1 << b) if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)] * radius
-    around = crowded.select("node", F.explode(F.transform(F.array(*flips), lambda f: F.col("node").bitwiseXOR(f))).alias("point"))
-    lowest = around.groupBy("point").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u <> top").drop("top")
-    dense = around.join(lowest, "point").where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    if max_bits == 1:  # one bit apart: the larger node is itself a point of the smaller
-        dense = (
-            crowded.select(F.col("node").alias("u"))
-            .select("u", F.explode(F.transform(F.array(*[F.lit((1 << b) if b < 63 else -(1 << 63)) for b in range(BITS)]), lambda f: F.col("u").bitwiseXOR(f))).alias("v"))
-            .join(crowded.select(F.col("node").alias("v")), "v")
-            .select("u", "v")
-        )
+    flips = F.array(*[F.lit(signed(1 << b)).cast("long") for b in range(BITS)])
+    flipped = crowded.select("node", F.explode(F.transform(flips, lambda f: F.col("node").bitwiseXOR(f))).alias("point"))
+    if max_bits == 1:  # a node is itself a point around each of its neighbours
+        dense = flipped.join(crowded.select(F.col("node").alias("point")), "point").select(F.col("node").alias("u"), F.col("point").alias("v"))
+    else:  # two nodes within two bits share a point at most one bit from both
+        around = flipped.union(crowded.select("node", F.col("node").alias("point")))
+        lowest = around.groupBy("point").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+        dense = around.join(lowest, "point").where("u <> node").select("u", F.col("node").alias("v")).distinct()
     return verified.union(dense)
 
 

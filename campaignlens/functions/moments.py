@@ -22,5 +22,6 @@ def sample_kurtosis(c: Column) -> Column:
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation, null without spread; both must be null wherever one is."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    """Pearson correlation over the rows where both are present, null without spread."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

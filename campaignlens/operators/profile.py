@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from campaignlens.functions.draws import draw
 from campaignlens.functions.moments import pearson, sample_kurtosis, sample_skewness
@@ -16,6 +17,7 @@ from campaignlens.functions.scalars import indicator, is_missing, number, percen
 from campaignlens.operators.prep import first_by_draw
 from campaignlens.operators.quantiles import quantile_columns
 from campaignlens.operators.sizing import small_side
+from campaignlens.session import written
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -298,36 +300,41 @@ def transpose_summary(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame
 # Correlation
 
 
+PAIRS_PER_PASS = 32  # so many correlations the JVM still compiles as one aggregate
+
+
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows ``(f1, f2, r)`` for the given pairs, each over the rows where both are present.
 
-    A row becomes one small record per pair, summed on the map side by pair number;
-    one wide aggregate over all pairs would grow past what the JVM compiles.
+    A pass over the rows aggregates PAIRS_PER_PASS pairs side by side. Where there are
+    more, the needed columns are written once and every pass reads its own.
     """
     types = dict(df.dtypes)
-    values = {c: number(c, types[c]) for pair in pairs for c in pair}
-    slim = df.select(*[v.alias(c) for c, v in values.items()])
-    entries = [
-        F.struct(F.lit(i).alias("i"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (a, b) in enumerate(pairs)
-    ]
-    long = slim.select(F.inline(F.array(*entries)))
-    long = long.select("i", F.when(F.col("b").isNotNull(), F.col("a")).alias("a"), F.when(F.col("a").isNotNull(), F.col("b")).alias("b"))
-    found = long.groupBy("i").agg(pearson(F.col("a"), F.col("b")).alias("r"))
-    first, second = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
-    return found.select(first[F.col("i")].alias("f1"), second[F.col("i")].alias("f2"), "r")
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    slim = df.select(*[number(c, types[c]).alias(c) for c in columns])
+    if len(pairs) > PAIRS_PER_PASS:
+        slim = written(slim, "numbers")
+    out = None
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[start : start + PAIRS_PER_PASS]
+        row = slim.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        first, second = (F.array(*[F.lit(p[side]) for p in part]) for side in (0, 1))
+        place = F.substring("pair", 2, 10).cast("int")
+        found = row.unpivot([], row.columns, "pair", "r").select(F.get(first, place).alias("f1"), F.get(second, place).alias("f2"), "r")
+        out = found if out is None else out.union(found)
+    return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double") if out is None else out
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, null without spread.
 
-    One pass. For more than about sixty columns without missing values use
-    ``correlation_matrix_wide``.
+    For very many columns without missing values use ``correlation_matrix_wide``.
     """
     half = _correlations(df, [(a, a) for a in cols] + list(combinations(cols, 2)))
     mirrored = F.when(F.col("f1") == F.col("f2"), F.array(F.struct("f1", "f2", "r"))).otherwise(
         F.array(F.struct("f1", "f2", "r"), F.struct(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r"))
     )
-    return half.select(F.inline(mirrored))
+    return half.select(F.inline(mirrored))  # of a row per pair
 
 
 def correlation_matrix_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -350,9 +357,14 @@ def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int =
     """
     pairs = [(c, target) for c in cols if c != target]
     found = _correlations(df, pairs).select(F.col("f1").alias("feature"), "r")
-    top = found.orderBy(F.col("r").desc_nulls_last(), "feature").limit(k).withColumn("side", F.lit("highest"))
-    low = found.orderBy(F.col("r").asc_nulls_last(), "feature").limit(k).withColumn("side", F.lit("lowest"))
-    return top.unionByName(low)
+    # A row per column; both sides from one run of the rows.
+    every = W.partitionBy()
+    sides = {"highest": F.col("r").desc_nulls_last(), "lowest": F.col("r").asc_nulls_last()}
+    placed = found.withColumns({f"_{side}": F.row_number().over(every.orderBy(by, "feature")) for side, by in sides.items()})
+    listed = F.array_compact(
+        F.array(*[F.when(F.col(f"_{side}") <= k, F.struct("feature", "r", F.lit(side).alias("side"), F.col(f"_{side}").alias("_place"))) for side in sides])
+    )
+    return placed.select(F.inline(listed)).orderBy("side", "_place").drop("_place")
 
 
 def welch_t(df: DataFrame, c: str, by: str, a: str, b: str) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from campaignlens.functions.times import instant
 from campaignlens.plans.catalog.common import neat, on_table, query
 from campaignlens.session import shared_dir
-from campaignlens.streaming.monitor import response_by_window, stream_table, write_windows
+from campaignlens.sources.readers import read_table
+from campaignlens.streaming.monitor import latest_windows, response_by_window, stream_table, write_updates
 
 DAYS = """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n,
     count(*) FILTER (event_type = 'purchase') AS responses,
@@ -25,15 +28,21 @@ def response_over_time(df: DataFrame) -> DataFrame:
     return plain(response_by_window(df, "ts", F.col("event_type") == "purchase"))
 
 
-@query(
-    "response_over_time_stream",
-    f"""SELECT * FROM ({DAYS}) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY
-    <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
-)
+@query("response_over_time_stream", DAYS)
 def response_over_time_stream(spark: SparkSession, directory: str) -> DataFrame:
-    """The windows a stream with one hour of patience has closed once all events are in."""
-    events = stream_table(spark, directory, "events.parquet")
-    windows = response_by_window(events, "ts", F.col("event_type") == "purchase", late="1 hour")
+    """Every day, the still open last one too, from a stream with one hour of patience.
+
+    The events arrive as three files in the order of time, one per batch, so that the
+    watermark moves and states are closed between batches.
+    """
+    events = read_table(spark, directory, "events")
+    arrived = shared_dir(spark, "events")
+    at = F.unix_micros(instant("ts", dict(events.dtypes)["ts"]))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    third = F.floor((at - F.lit(first)) * 3 / F.lit(max(1, last - first + 1)))
+    for part in range(3):
+        events.where(third == part).coalesce(1).write.mode("append").parquet(arrived)
+    windows = response_by_window(stream_table(spark, arrived, per_batch=1), "ts", F.col("event_type") == "purchase", late="1 hour")
     path = shared_dir(spark, "windows")
-    write_windows(windows, path, shared_dir(spark, "windows-checkpoint"))
-    return plain(spark.read.schema(windows.schema).parquet(path))
+    write_updates(windows, path, shared_dir(spark, "windows-checkpoint"))
+    return plain(latest_windows(spark.read.schema(T.StructType([*windows.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)))

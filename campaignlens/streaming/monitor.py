@@ -31,10 +31,37 @@ def response_by_window(
     )
 
 
-def stream_table(spark: SparkSession, directory: str, pattern: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of the files there now."""
+def stream_table(spark: SparkSession, directory: str, pattern: str = "*.parquet", per_batch: int = 1000) -> DataFrame:
+    """Parquet files of a folder as a stream, oldest first, with the schema of the files there now."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(directory).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(directory)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(directory)
+
+
+def write_updates(windows: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs the stream over everything available and writes each batch's changed windows to its own folder.
+
+    A batch that is run again after a failure replaces its folder, so nothing counts twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        windows.writeStream.outputMode("update")
+        .foreachBatch(put)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_windows(updates: DataFrame) -> DataFrame:
+    """The last state of every window, open ones too, from the written batches."""
+    fields = [c for c in updates.columns if c not in ("batch", "window_start")]
+    last = F.max(F.struct("batch", *fields)).alias("last")
+    return updates.groupBy("window_start").agg(last).select("window_start", *[f"last.{c}" for c in fields])
 
 
 def write_windows(windows: DataFrame, path: str, checkpoint: str) -> None:

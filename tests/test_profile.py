@@ -142,3 +142,15 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     for limits in ({}, {"small_table": -1}):
         assert Q.quantiles(df, ["x"], [0.5], **limits).count() == 0
+
+
+def test_correlations_of_many_columns_take_several_passes_without_row_explosion(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame(rng.normal(size=(50, 14)), columns=[f"c{i}" for i in range(14)])
+    pdf.loc[::7, "c3"] = None
+    df = spark.createDataFrame(pdf)
+    found = P.correlation_matrix(df, list(pdf.columns))
+    want = pdf.corr()
+    assert all(abs(r["r"] - want.loc[r["f1"], r["f2"]]) < 1e-9 for r in found.collect()) and found.count() == 14 * 14
+    plan = P.high_correlation_pairs(df, list(pdf.columns))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan

@@ -12,6 +12,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from campaignlens.plans.catalog import ORACLES, QUERIES
+from campaignlens.session import scratch
 
 DIRECTORY = "/root/testdata/sf0.001"
 # Neighbours run vector code in Python on purpose.
@@ -38,8 +39,9 @@ def comparable(names, rows):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, db, name):
-    df = QUERIES[name](spark, DIRECTORY)
-    rows = df.collect()
+    with scratch(spark):
+        df = QUERIES[name](spark, DIRECTORY)
+        rows = df.collect()
     found = db.sql(ORACLES[name])
     names = list(found.columns)
     assert sorted(df.columns) == sorted(names)

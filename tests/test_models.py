@@ -163,3 +163,22 @@ def test_choose_k_ties(spark):
 def test_segment_labels_have_strict_limits(spark):
     df = spark.createDataFrame([(15.1,), (15.0,), (10.0,)], "response_rate double")
     assert [r["segment"] for r in segments.label_clusters(df).collect()] == [segments.HIGH, segments.MODERATE, segments.LOW]
+
+
+def test_clustered_rows_leave_most_cells_closed():
+    rng = np.random.default_rng(7)
+    middles = rng.uniform(-100, 100, (30, 8))
+    train = np.concatenate([m + rng.normal(size=(100, 8)) for m in middles])
+    centers = train[rng.permutation(len(train))[:55]]
+    cell, dist = neighbors.nearest_center(train, centers, np.ones(len(centers), bool))
+    rows = np.bincount(cell, minlength=len(centers))
+    radius = np.array([dist[cell == c].max(initial=0.0) for c in range(len(centers))])
+    queries = train[::10] + rng.normal(size=(300, 8)) * 0.1
+    home, _ = neighbors.nearest_center(queries, centers, rows >= 5)
+    every = np.sqrt(((queries[:, None] - train) ** 2).sum(2))
+    bound = np.array([np.sort(every[i, cell == home[i]])[4] for i in range(300)])
+    go = neighbors.open_cells(queries, bound, home, centers, radius, rows > 0)
+    assert go.mean() < 0.1
+    # No neighbour is in a closed cell.
+    best = np.argsort(every, axis=1)[:, :5]
+    assert all(go[i, cell[j]] or cell[j] == home[i] for i in range(300) for j in best[i])

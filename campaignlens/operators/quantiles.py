@@ -4,7 +4,8 @@
 for a table known to be small. Beyond that size a sketch pass first brackets each
 wanted rank. A second pass counts rows by value inside the brackets and only by
 region outside, so a small fixed share of a large group reaches the rank search.
-The answer is the exact one: the brackets are wider than the sketch's error.
+The answer is the exact one: the brackets are wider than the sketch's error, and where a
+wanted rank lies outside its bracket all the same, they are widened and counted again.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import Window as W
 
 from campaignlens.functions.scalars import number
 from campaignlens.operators.sizing import small_side
+from campaignlens.session import written
 
-SMALL_TABLE = 2_000_000  # rows up to which the value tables of all groups fit easily
+SMALL_TABLE = 2_000_000  # values (rows times columns) up to which the value tables of all groups fit easily
 SMALL_GROUP = 1_000_000  # values of a group counted one by one within the large form
 ACCURACY = 10_000
 MARGIN = 3.0  # bracket half-width in units of the sketch error
@@ -32,15 +34,19 @@ def quantiles(
     small_table: int = SMALL_TABLE,
     small_group: int = SMALL_GROUP,
     accuracy: int = ACCURACY,
+    margin: float = MARGIN,
 ) -> DataFrame:
     """Rows ``(by..., column, prob, value)``; a group without values has no row."""
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     types = dict(df.dtypes)
     values = df.select(*by, *[number(c, types[c]).alias(f"v{i}") for i, c in enumerate(cols)])
-    if df.count() <= small_table:
+    if df.count() * len(cols) <= small_table:
         found = _by_value_table(values, len(cols), probs, by)
     else:
-        found = _by_brackets(values, len(cols), probs, by, small_group, accuracy)
+        found = None
+        while found is None or not found.filter(F.exists("q", lambda x: x.isNull())).isEmpty():
+            found = written(_by_brackets(values, len(cols), probs, by, small_group, accuracy, margin), "quantiles")
+            margin = margin * 8 + 1
     names = F.array(*[F.lit(c) for c in cols])
     pairs = [F.struct(F.lit(p).alias("prob"), F.col("q")[j].alias("value")) for j, p in enumerate(probs)]
     return found.select(*by, names[F.col("i")].alias("column"), F.inline(F.array(*pairs)))
@@ -54,12 +60,13 @@ def _by_value_table(values: DataFrame, count: int, probs: list[float], by: list[
 
 
 def _by_brackets(
-    values: DataFrame, count: int, probs: list[float], by: list[str], small_group: int, accuracy: int
+    values: DataFrame, count: int, probs: list[float], by: list[str], small_group: int, accuracy: int, margin: float
 ) -> DataFrame:
+    """The same; a quantile is null where its rank is not inside its bracket."""
     entries = [F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in range(count)]
     long = values.select(*by, F.inline(F.array(*entries))).filter(F.col("v").isNotNull())
 
-    half = MARGIN / accuracy
+    half = margin / accuracy
     marks = [max(0.0, p - half) for p in probs] + [min(1.0, p + half) for p in probs]
     sketch = long.groupBy(*by, "i").agg(
         F.count("*").alias("n"), F.percentile_approx("v", marks, accuracy).alias("b")

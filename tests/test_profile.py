@@ -154,3 +154,15 @@ def test_correlations_of_many_columns_take_several_passes_without_row_explosion(
     assert all(abs(r["r"] - want.loc[r["f1"], r["f2"]]) < 1e-9 for r in found.collect()) and found.count() == 14 * 14
     plan = P.high_correlation_pairs(df, list(pdf.columns))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_missed_brackets_are_widened(spark):
+    from campaignlens.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(11)
+    values = rng.normal(size=3000).round(3)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    probs = [0.01, 0.25, 0.5, 0.77, 0.99]
+    found = quantiles(df, ["v"], probs, small_table=0, small_group=0, accuracy=10, margin=0.0)
+    got = {r["prob"]: r["value"] for r in found.collect()}
+    assert all(abs(got[p] - np.quantile(values, p)) < 1e-9 for p in probs)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campaignlens.session import written
+from campaignlens.session import discard, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -42,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        stars = written(small, "links")
+        done, stars = stars, written(small, "links")
+        discard(done)
         before, state = state, _state(stars)
         if state == before:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from campaignlens.llm.arguments import canonical, faults, parsed
 from campaignlens.llm.texts import slices
-from campaignlens.session import written
+from campaignlens.session import discard, written
 
 LINKED = (
     "conv_id long, call_id string, status string, n_results long, wave long, hop long, "
@@ -34,7 +34,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     exceeds the number of calls of its conversation that were ever raised is behind a cycle.
     """
     state = nodes.select("conv_id", "call_id", F.col("turn").alias("wave"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("raised"))
-    edges = written(edges, "edges")
+    edges, held = written(edges, "edges"), None
     while True:
         fronts = state.select("conv_id", F.col("call_id").alias("dep"), "wave", "hop")
         next_hop = F.when(F.col("wave") < BLOCKED, F.col("hop") + 1).otherwise(0)
@@ -44,7 +44,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("wave", next_hop.alias("hop"))).alias("pushed"))
         )
         key = F.struct("wave", "hop")
-        moved = written(
+        table = written(
             state.join(pushed, ["conv_id", "call_id"], "left").select(
                 "conv_id",
                 "call_id",
@@ -53,7 +53,11 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 F.coalesce(F.col("pushed") > key, F.lit(False)).alias("up"),
             ),
             "waves",
-        ).select("conv_id", "call_id", "key.wave", "key.hop", (F.col("raised") | F.col("up")).alias("raised"), "up")
+        )
+        if held is not None:
+            discard(held)
+        held = table
+        moved = table.select("conv_id", "call_id", "key.wave", "key.hop", (F.col("raised") | F.col("up")).alias("raised"), "up")
         if moved.where("up").isEmpty():
             free = F.col("wave") < BLOCKED
             return moved.select("conv_id", "call_id", F.when(free, F.col("wave")).alias("wave"), F.when(free, F.col("hop")).alias("hop"))

@@ -95,6 +95,26 @@ def stratified_split(df: DataFrame) -> DataFrame:
     return prep.stratified_split(df, "y", "id")
 
 
+@on_contacts(
+    "split_with_missing_labels",
+    "id poutcome",
+    """, known AS (SELECT id, poutcome AS y FROM contacts WHERE poutcome <> 'unknown'),
+sizes AS (
+  SELECT y, count(*) * ceil(0.2 * sum(count(*)) OVER ()) / sum(count(*)) OVER () AS want,
+         ceil(0.2 * sum(count(*)) OVER ()) AS goal FROM known GROUP BY y),
+takes AS (
+  SELECT y, floor(want) + CASE WHEN row_number() OVER (ORDER BY want - floor(want) DESC, y)
+           <= goal - sum(floor(want)) OVER () THEN 1 ELSE 0 END AS take FROM sizes),
+parts AS (
+  SELECT k.id, CASE WHEN row_number() OVER (PARTITION BY k.y ORDER BY md5('42:' || id)) <= take
+                    THEN 'test' ELSE 'train' END AS split FROM known k JOIN takes t ON k.y = t.y)
+  SELECT c.id, split FROM contacts c LEFT JOIN parts USING (id)""",
+)
+def split_with_missing_labels(df: DataFrame) -> DataFrame:
+    labelled = df.select("id", F.when(F.col("poutcome") != "unknown", F.col("poutcome")).alias("y"))
+    return prep.stratified_split(labelled, "y", "id").select("id", "split")
+
+
 @on_contacts(
     "split_sizes",
     "id y",

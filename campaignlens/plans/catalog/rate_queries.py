@@ -244,6 +244,41 @@ def box_stats(df: DataFrame) -> DataFrame:
     return plain(rates.box_stats(df, "campaign", ["y"]))
 
 
+# The same with rows of no group: contacts without an earlier outcome.
+HOLES = """, holes AS (SELECT campaign, duration, CASE WHEN poutcome <> 'unknown' THEN poutcome END AS outcome FROM contacts)"""
+
+
+def with_outcome(df: DataFrame) -> DataFrame:
+    return df.withColumn("outcome", F.when(F.col("poutcome") != "unknown", F.col("poutcome")))
+
+
+@on_contacts(
+    "box_stats_missing_group",
+    "campaign duration poutcome",
+    HOLES
+    + BOX.format(c="campaign", t="holes", by="outcome,", g="outcome").replace(
+        "FROM holes JOIN f USING (outcome)", "FROM (SELECT h.campaign, f.* FROM holes h JOIN f ON h.outcome IS NOT DISTINCT FROM f.outcome)"
+    ),
+)
+def box_stats_missing_group(df: DataFrame) -> DataFrame:
+    return plain(rates.box_stats(with_outcome(df), "campaign", ["outcome"]))
+
+
+@on_contacts(
+    "histogram_missing_group",
+    "campaign duration poutcome",
+    HOLES
+    + """, b AS (SELECT outcome, min(duration) AS lo, (max(duration) - min(duration)) / 20 AS w, max(duration) AS hi FROM holes GROUP BY outcome),
+  placed AS (SELECT b.outcome, lo, w, least(19, floor((duration - lo) / w)) AS bin FROM holes h JOIN b ON h.outcome IS NOT DISTINCT FROM b.outcome)
+  SELECT outcome, sum(n)::BIGINT AS n, count(*) AS bins FROM (
+    SELECT b.outcome, i, (SELECT count(*) FROM placed p WHERE p.outcome IS NOT DISTINCT FROM b.outcome AND p.bin = i) AS n
+    FROM b, range(0, 20) AS r(i)) GROUP BY outcome""",
+)
+def histogram_missing_group(df: DataFrame) -> DataFrame:
+    bins = rates.histogram(with_outcome(df), "duration", 20, by=["outcome"])
+    return bins.groupBy("outcome").agg(F.sum("rows").alias("n"), F.count("*").alias("bins"))
+
+
 @on_table(
     "box_stats_documents",
     "documents",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlens.operators.rates import response_rate
+from campaignlens.operators.rates import response_rate, response_share
 from campaignlens.operators.rules import propensity_tier
 from campaignlens.plans.catalog.common import CONTACTS, SCORED, neat, query, with_score
+from campaignlens.plans.catalog.rate_queries import plain
 from campaignlens.plans.contacts import contacts
 from campaignlens.schema import CONTACT
 from campaignlens.session import shared_dir
@@ -143,3 +144,30 @@ def score_list(spark: SparkSession, directory: str) -> DataFrame:
     path = shared_dir(spark, "scores")
     sinks.write_scores(propensity_tier(scored, "score"), path)
     return spark.read.parquet(path).select("id", "score", "tier")
+
+
+def _file_shares(dim: str) -> None:
+    """Shares and rates by a column that only the contact file has."""
+    level = f'CAST("{dim}" AS VARCHAR) AS level'
+
+    @query(
+        f"response_share_{dim}",
+        CONTACTS + FILE_SQL + f"""SELECT {level}, round(count(*) FILTER (y = 'no')::DOUBLE / count(*), 6) AS no_share,
+  round(count(*) FILTER (y = 'yes')::DOUBLE / count(*), 6) AS yes_share FROM file GROUP BY "{dim}\"""",
+    )
+    def shares(spark: SparkSession, directory: str) -> DataFrame:
+        rows = readers.read_contacts(spark, contact_file(spark, directory))
+        return plain(response_share(rows, dim)).withColumn("level", F.col("level").cast("string"))
+
+    @query(
+        f"response_rate_{dim}",
+        CONTACTS + FILE_SQL + f"""SELECT {level}, count(*) AS n, round(avg(CASE WHEN y = 'yes' THEN 100.0::DOUBLE ELSE 0 END), 6) AS rate
+  FROM file GROUP BY "{dim}\"""",
+    )
+    def share_rates(spark: SparkSession, directory: str) -> DataFrame:
+        rows = readers.read_contacts(spark, contact_file(spark, directory))
+        return plain(response_rate(rows, dim)).withColumn("level", F.col("level").cast("string"))
+
+
+for _dim in ("age", "default", "education", "housing", "loan"):
+    _file_shares(_dim)

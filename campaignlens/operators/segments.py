@@ -25,7 +25,7 @@ def fit_kmeans(
     starts: int = 10,
     seed: int = 42,
     max_iter: int = 300,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> KMeansModel:
     """The best of several seeded starts by within-cluster squared distance.
 

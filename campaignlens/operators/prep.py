@@ -60,7 +60,8 @@ def within_draw(
     the table itself is neither sorted nor shuffled. With very many classes the
     thresholds are joined instead of written into the test.
     """
-    drawn = _drawn(df, key, seed, by)
+    # Counted by cell, then sorted in a few cells: the input itself is run once for both.
+    drawn = written(_drawn(df, key, seed, by), "draws")
     boundaries = _boundaries(drawn, wanted)
     known = rows_if_small(boundaries, FEW_CLASSES)
     if known is None:

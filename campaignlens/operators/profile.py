@@ -162,7 +162,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, optionally per group."""
+    """count, mean, std, min, quartiles and max per column, optionally per group.
+
+    The columns are written once; counts, moments and quantiles read that table.
+    """
+    df = written(df.select(*dict.fromkeys([*by, *cols])), "describe")
     types, by = dict(df.dtypes), list(by)
     row = df.groupBy(*by).agg(
         *[
@@ -226,7 +230,8 @@ def _modes(df: DataFrame, values: dict[str, Column], by: list[str]) -> DataFrame
 
 
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Median, mode, skewness and kurtosis per numeric column."""
+    """Median, mode, skewness and kurtosis per numeric column; the columns are written once."""
+    df = written(df.select(*dict.fromkeys(cols)), "shape")
     types = dict(df.dtypes)
     row = df.agg(
         *[

@@ -9,6 +9,7 @@ from campaignlens.functions.scalars import yes_no
 from campaignlens.operators import prep
 from campaignlens.operators.profile import conditional_total
 from campaignlens.plans.catalog.common import neat, on_contacts
+from campaignlens.session import written
 
 CATEGORICAL = ["job", "marital", "contact", "month", "poutcome"]
 NUMERIC = ["balance", "duration", "campaign"]
@@ -134,10 +135,9 @@ SCALED = "SELECT id, " + ", ".join(
 
 @on_contacts("standardize", "id y " + " ".join(NUMERIC), SPLIT + SCALED + ", split FROM split")
 def standardize(df: DataFrame) -> DataFrame:
-    parts = prep.stratified_split(df, "y", "id")
-    train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
-    train, test = prep.standardize(train, [test], NUMERIC)
-    return neat(train.unionByName(test).select("id", *NUMERIC, "split"))
+    parts = written(prep.stratified_split(df, "y", "id"), "parts")
+    (scaled,) = prep.standardize(parts.filter(F.col("split") == "train"), [parts], NUMERIC)[1:]
+    return neat(scaled.select("id", *NUMERIC, "split"))
 
 
 @on_contacts(

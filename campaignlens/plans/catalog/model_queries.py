@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campaignlens.operators import models, neighbors, prep
@@ -190,12 +190,10 @@ def bake_off_best(spark: SparkSession, directory: str) -> DataFrame:
     log = shared_dir(spark, "runs")
     best, scored = winner(p, "id", log)
     runs = run_table(read_runs(spark, log, "bake-off"), ["f1"])
-    found = runs.agg(F.max("f1").alias("top"), F.count("*").cast("int").alias("logged"))
+    top, logged = runs.agg(F.max("f1")).scalar(), runs.agg(F.count("*").cast("int")).scalar()
     cells = confusion(scored)
     both = cells.groupBy("actual").agg(F.sum("rows").alias("n_actual"))
-    return cells.join(both, "actual").crossJoin(F.broadcast(found)).select(
-        "cell", "n_actual", (F.lit(best["f1"]) >= F.col("top")).alias("is_best"), "logged"
-    )
+    return cells.join(both, "actual").select("cell", "n_actual", (F.lit(best["f1"]) >= top).alias("is_best"), logged.alias("logged"))
 
 
 @query("scaled_vs_unscaled", names(("Random Forest", "Logistic Regression"), "family", "TRUE AS precision_fits, TRUE AS recall_fits"))
@@ -234,20 +232,16 @@ def features_to_reach(spark: SparkSession, directory: str) -> DataFrame:
     p = prepared(spark, directory)
     table = written(models.feature_importance(models.train_forest(p.train, p.features), p.train), "importances")
     reach = rows_to_reach(cumulative_share(table, "feature", "importance"), [0.8, 0.9])
-    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))  # a row per feature
-    placed = table.select("importance", place.alias("place"))
-    return (
-        reach.crossJoin(F.broadcast(placed))
-        .groupBy("threshold", "rows")
-        .agg(
-            F.sum(F.when(F.col("place") <= F.col("rows"), F.col("importance"))).alias("with_all"),
-            F.coalesce(F.sum(F.when(F.col("place") < F.col("rows"), F.col("importance"))), F.lit(0.0)).alias("with_fewer"),
-        )
-        .select(
-            "threshold",
-            (F.col("with_all") >= F.col("threshold") - 1e-9).alias("reached"),
-            (F.col("with_fewer") < F.col("threshold") + 1e-9).alias("needed"),
-        )
+    # An entry per feature.
+    falling = table.agg(F.sort_array(F.collect_list("importance"), asc=False)).scalar()
+
+    def first(n: Column) -> Column:
+        return F.aggregate(F.slice(F.col("_all"), F.lit(1), n.cast("int")), F.lit(0.0), lambda a, x: a + x)
+
+    return reach.withColumn("_all", falling).select(
+        "threshold",
+        (first(F.col("rows")) >= F.col("threshold") - 1e-9).alias("reached"),
+        (first(F.col("rows") - 1) < F.col("threshold") + 1e-9).alias("needed"),
     )
 
 
@@ -316,10 +310,10 @@ def run_smote(spark: SparkSession, directory: str) -> DataFrame:
     coded = df.withColumn("label", F.when(F.col("y") == "yes", 1).otherwise(0)).drop("y")
     scaled = prep.standardize(coded, [], cols)[0]
     made = smote(scaled, cols, "id", "label")
-    bounds = scaled.filter("label = 1").agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"{c}_range") for c in cols])
-    inside = [F.col(c).between(F.col(f"{c}_range.lo") - 1e-9, F.col(f"{c}_range.hi") + 1e-9) for c in cols]
+    ranges = F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])
+    inside = [F.col(c).between(F.col(f"_in.{c}.lo") - 1e-9, F.col(f"_in.{c}.hi") + 1e-9) for c in cols]
     return (
-        made.crossJoin(F.broadcast(bounds))
+        made.withColumn("_in", scaled.filter("label = 1").agg(ranges).scalar())
         .groupBy("label", "synthetic")
         .agg(F.count("*").alias("n"), F.bool_and(~F.col("synthetic") | reduce(and_, inside)).alias("inside"))
     )
@@ -367,4 +361,4 @@ def untouched_holdout(spark: SparkSession, directory: str) -> DataFrame:
     found = binary_metrics(scored).withColumn("roc_auc", roc_auc(scored).scalar())
     counts = scored.agg(F.count(F.when(F.col("label") == 1, 1)).alias("positives"), F.count(F.when(F.col("label") == 0, 1)).alias("negatives"))
     in_range = reduce(and_, [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1", "roc_auc")])
-    return counts.crossJoin(F.broadcast(found)).select("positives", "negatives", in_range.alias("in_range"))
+    return counts.withColumn("in_range", found.select(in_range).scalar())

@@ -15,8 +15,8 @@ from campaignlens.plans.catalog import ORACLES, QUERIES
 from campaignlens.session import scratch
 
 DIRECTORY = "/root/testdata/sf0.001"
-# Neighbours run vector code in Python on purpose.
-PYTHON = {"nearest_neighbours", "knn_classify"}
+# Neighbours and the kernel map run vector code in Python on purpose.
+PYTHON = {"nearest_neighbours", "knn_classify", "train_neighbours", "train_rbf_svm", "smote"}
 
 
 @pytest.fixture(scope="module")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlens.llm.arguments import canonical, faults, parsed
 from campaignlens.llm.texts import slices
-from campaignlens.session import discard, written
+from campaignlens.session import discard, shared_dir, written
 
 LINKED = (
     "conv_id long, call_id string, status string, n_results long, wave long, hop long, "
@@ -20,58 +20,132 @@ LINKED = (
 
 # The wave of calls behind a cycle, beyond every turn; it passes on as it is.
 BLOCKED = (1 << 63) - 1
+NOTHING = -(1 << 63)
+CALL = ["conv_id", "call_id"]
 
 
-def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A topological order of calls: (conv_id, call_id, wave, hop), hop null where a cycle blocks the call.
+def _key(wave: Column | str, hop: Column | str) -> Column:
+    wave, hop = (F.col(x) if isinstance(x, str) else x for x in (wave, hop))
+    return F.struct(wave.cast("long").alias("wave"), hop.cast("long").alias("hop"))
 
-    ``nodes`` has conv_id, call_id and turn (unique, not null), ``edges`` conv_id, call_id and
-    dep, both ends among the nodes. A call's key starts as (its turn, 0) and is raised to
-    (wave, hop + 1) of what it depends on as long as that is larger, so that ordering by
-    (wave, hop) puts every call after its dependencies. Calls that depend on earlier turns
-    only, nearly all in practice, keep the key they start with; a round of joins and partial
-    maxima runs per step of the longest chain that waits for later turns. A call whose hop
-    exceeds the number of calls of its conversation that were ever raised is behind a cycle.
+
+def _chains(singles: DataFrame) -> DataFrame:
+    """Where the chain of calls with one dependency each ends, by doubling.
+
+    ``singles`` has conv_id, call_id, turn, dep and bound (the calls of the conversation).
+    The result has the end (the first call with no or with several dependencies), the
+    steps to it, the best key on the way (strictly between) and whether there is an end at all.
+    """
+    none = _key(F.lit(NOTHING), F.lit(0))
+    jumps = written(singles.select(*CALL, "turn", "bound", F.col("dep").alias("end"), F.lit(1).cast("long").alias("steps"), none.alias("best"), F.lit(False).alias("ended")), "chains")
+    while True:
+        ahead = jumps.select(
+            "conv_id", F.col("call_id").alias("end"), F.col("turn").alias("a_turn"), F.col("end").alias("a_end"),
+            F.col("steps").alias("a_steps"), F.col("best").alias("a_best"),
+        )
+        open_ = jumps.where("NOT ended AND steps <= bound")
+        if open_.isEmpty():
+            return jumps.select(*CALL, "turn", "end", "steps", "best", "ended")
+        on_the_way = F.greatest("best", _key("a_turn", "steps"), _key("a_best.wave", F.col("a_best.hop") + F.col("steps")))
+        moved = open_.join(ahead, ["conv_id", "end"], "left").select(
+            *CALL,
+            "turn",
+            "bound",
+            F.coalesce("a_end", "end").alias("end"),
+            (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"),
+            F.when(F.col("a_end").isNull(), F.col("best")).otherwise(on_the_way).alias("best"),
+            F.col("a_end").isNull().alias("ended"),
+        )
+        done, jumps = jumps, written(jumps.where("ended OR steps > bound").unionByName(moved), "chains")
+        discard(done)
+
+
+def _raised(ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """Keys (column ``key``) of the calls that end chains, by rounds of raising.
+
+    ``ends`` has conv_id, call_id, turn, bound; ``edges`` conv_id, call_id, end, steps, best. A
+    round costs joins over the conversations that still move; there are as many rounds as the
+    longest chain of calls with several dependencies. A hop beyond ``bound`` is a cycle.
     """
-    state = nodes.select("conv_id", "call_id", F.col("turn").alias("wave"), F.lit(0).cast("long").alias("hop"), F.lit(False).alias("raised"))
-    edges, held = written(edges, "edges"), None
+    spark, held = ends.sparkSession, None
+    state = ends.select(*CALL, "bound", _key("turn", F.lit(0)).alias("key"))
+    edges = written(edges, "edges")
+    settled = shared_dir(spark, "waves")
     while True:
-        fronts = state.select("conv_id", F.col("call_id").alias("dep"), "wave", "hop")
-        next_hop = F.when(F.col("wave") < BLOCKED, F.col("hop") + 1).otherwise(0)
+        fronts = state.select("conv_id", F.col("call_id").alias("end"), F.col("key").alias("e_key"))
+        passed = F.when(F.col("e_key.wave") < BLOCKED, F.col("e_key.hop") + F.col("steps")).otherwise(0)
         pushed = (
-            edges.join(fronts, ["conv_id", "dep"])
-            .groupBy("conv_id", "call_id")
-            .agg(F.max(F.struct("wave", next_hop.alias("hop"))).alias("pushed"))
+            edges.join(fronts, ["conv_id", "end"])
+            .groupBy(*CALL)
+            .agg(F.max(F.greatest("best", _key("e_key.wave", passed))).alias("pushed"))
         )
-        key = F.struct("wave", "hop")
         table = written(
-            state.join(pushed, ["conv_id", "call_id"], "left").select(
-                "conv_id",
-                "call_id",
-                F.greatest(key, "pushed").alias("key"),
-                "raised",
-                F.coalesce(F.col("pushed") > key, F.lit(False)).alias("up"),
+            state.join(pushed, CALL, "left").select(
+                *CALL, "bound", F.greatest("key", "pushed").alias("key"), F.coalesce(F.col("pushed") > F.col("key"), F.lit(False)).alias("up")
             ),
-            "waves",
+            "round",
         )
+        moving = table.where("up").select("conv_id").distinct()
+        table.join(moving, "conv_id", "left_anti").select(*CALL, "key").write.mode("append").parquet(settled)
         if held is not None:
             discard(held)
         held = table
-        moved = table.select("conv_id", "call_id", "key.wave", "key.hop", (F.col("raised") | F.col("up")).alias("raised"), "up")
-        if moved.where("up").isEmpty():
-            free = F.col("wave") < BLOCKED
-            return moved.select("conv_id", "call_id", F.when(free, F.col("wave")).alias("wave"), F.when(free, F.col("hop")).alias("hop"))
-        bounds = moved.where("raised").groupBy("conv_id").agg(F.count("*").alias("bound"))
-        looping = F.coalesce(F.col("raised") & (F.col("hop") > F.col("bound")), F.lit(False))
-        state = moved.join(bounds, "conv_id", "left").select(
-            "conv_id",
-            "call_id",
-            F.when(looping, BLOCKED).otherwise(F.col("wave")).alias("wave"),
-            F.when(looping, 0).otherwise(F.col("hop")).alias("hop"),
-            "raised",
+        if moving.isEmpty():
+            return spark.read.parquet(settled)
+        looping = F.col("key.hop") > F.col("bound")
+        state = table.join(moving, "conv_id", "left_semi").select(
+            *CALL, "bound", F.when(looping, _key(F.lit(BLOCKED), F.lit(0))).otherwise(F.col("key")).alias("key")
         )
 
 
+def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A topological order of calls: (conv_id, call_id, wave, hop), both null where a cycle blocks the call.
+
+    ``nodes`` has conv_id, call_id and turn (unique, not null), ``edges`` conv_id, call_id and
+    dep, both ends among the nodes. A call's key is the largest (turn, steps) over itself and
+    all it depends on, near and far, so that ordering by (wave, hop) puts every call after
+    its dependencies. Chains of calls with one dependency each are followed by doubling, in
+    as many rounds as the logarithm of the longest conversation; only calls with several
+    dependencies are worked chain by chain.
+    """
+    counted = edges.groupBy(*CALL).agg(F.count("*").alias("n_deps"), F.min("dep").alias("dep"))
+    bounds = nodes.groupBy("conv_id").agg(F.count("*").alias("bound"))
+    known = written(nodes.join(counted, CALL, "left").join(bounds, "conv_id").withColumn("n_deps", F.coalesce("n_deps", F.lit(0))), "nodes")
+    chains = _chains(known.where("n_deps = 1").select(*CALL, "turn", "bound", "dep"))
+    ends = known.where("n_deps <> 1")
+    # A call with several dependencies looks along each of them to the end of its chain.
+    links = edges.join(ends.where("n_deps > 1").select(*CALL), CALL, "left_semi")
+    chained = chains.select(
+        "conv_id", F.col("call_id").alias("dep"), F.col("turn").alias("c_turn"), "end", F.col("steps").alias("c_steps"), F.col("best").alias("c_best"), "ended"
+    )
+    along = F.greatest(_key("c_turn", F.lit(1)), _key("c_best.wave", F.col("c_best.hop") + 1))
+    far = links.join(chained, ["conv_id", "dep"], "left").select(
+        *CALL,
+        F.coalesce("end", "dep").alias("end"),
+        (F.coalesce("c_steps", F.lit(0)) + 1).alias("steps"),
+        F.when(F.col("ended").isNull(), _key(F.lit(NOTHING), F.lit(0)))
+        .when(F.col("ended"), along)
+        .otherwise(_key(F.lit(BLOCKED), F.lit(0)))
+        .alias("best"),
+        F.col("ended"),
+    )
+    # A chain without an end blocks; any call of its own may stand in for the end it lacks.
+    far = far.withColumn("end", F.when(F.coalesce("ended", F.lit(True)), F.col("end")).otherwise(F.col("call_id"))).drop("ended")
+    settled = _raised(ends.select(*CALL, "turn", "bound"), far)
+    last = settled.select("conv_id", F.col("call_id").alias("end"), F.col("key").alias("e_key"))
+    passed = F.when(F.col("e_key.wave") < BLOCKED, F.col("e_key.hop") + F.col("steps")).otherwise(0)
+    followed = chains.join(last, ["conv_id", "end"], "left").select(
+        *CALL,
+        F.when(~F.col("ended"), _key(F.lit(BLOCKED), F.lit(0)))
+        .otherwise(F.greatest(_key("turn", F.lit(0)), "best", _key("e_key.wave", passed)))
+        .alias("key"),
+    )
+    free = F.col("key.wave") < BLOCKED
+    return settled.select(*CALL, "key").union(followed).select(
+        *CALL, F.when(free, F.col("key.wave")).alias("wave"), F.when(free, F.col("key.hop")).alias("hop")
+    )
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]) -> DataFrame:
     """One row per call, and one per result that no call asked for.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -99,46 +100,48 @@ class PieceModel:
             float(scores.min()) - UNKNOWN_PENALTY,
         )
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word's best segmentation; of equal ones, the one with the longest last pieces."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
+    def segment(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The words in groups of equal length, each with all their ids end to end and the number of ids per word.
+
+        The segmentation of a word is the best one; of equal ones, that with the longest last pieces.
+        """
+        by_size: dict[int, list[str]] = {}
+        for word in words:
+            by_size.setdefault(len(word), []).append(word)
         for size, members in by_size.items():
-            group = max(1, CELLS // (max(1, size) * self.longest))
-            for i in range(0, len(members) if size else 0, group):
+            group = max(1, CELLS // (size * min(size, self.longest)))
+            for i in range(0, len(members), group):
                 part = members[i : i + group]
-                for j, ids in zip(part, self._equal_length([words[j] for j in part], size), strict=True):
-                    out[j] = ids
-        return out
+                yield part, *self._equal_length(part, size)
 
-    def _equal_length(self, words: list[str], size: int) -> list[np.ndarray]:
+    def _equal_length(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         prefix, powers = prefix_hashes(words, size), _powers(self.longest)
         best = np.full((len(words), size + 1), -np.inf)
         best[:, 0] = 0
         chosen = np.full((len(words), size + 1), -1, np.int32)
         length = np.ones((len(words), size + 1), np.int32)
-        lengths = np.arange(min(self.longest, size), 0, -1)
+        longest = min(self.longest, size)
         rows = np.arange(len(words))
-        stride = max(1, CELLS // (len(words) * len(lengths)))
+        stride = max(1, CELLS // (len(words) * longest))
         for low in range(1, size + 1, stride):
             ends = np.arange(low, min(size + 1, low + stride))
-            start = ends[:, None] - lengths
-            valid = start >= 0
-            s, n = np.where(valid, start, 0).ravel(), np.where(valid, lengths, 0).ravel()
-            keys = substring_hash(prefix, s, n, powers).reshape(len(words), len(ends), len(lengths))
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = (self.keys[at] == keys) & valid
-            score = np.where(hit, self.scores[at], -np.inf)
+            # For each end, the lengths of what may end there, longest first.
+            counts = np.minimum(ends, longest)
+            first = np.cumsum(counts) - counts
+            sizes = np.repeat(counts, counts) - (np.arange(int(counts.sum())) - np.repeat(first, counts))
+            start = np.repeat(ends, counts) - sizes
+            keys = substring_hash(prefix, start, sizes, powers)
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == keys
+            score = np.where(hit, self.scores[at], np.where(sizes == 1, self.unknown_score, -np.inf))
             piece = np.where(hit, self.ids[at], -1)
-            score[:, :, -1] = np.where(hit[:, :, -1], score[:, :, -1], self.unknown_score)
-            for j, end in enumerate(ends):
-                total = best[:, np.maximum(start[j], 0)] + score[:, j]
+            for end, a, n in zip(ends.tolist(), first.tolist(), counts.tolist(), strict=True):
+                total = best[:, end - n : end] + score[:, a : a + n]
                 pick = total.argmax(axis=1)
                 best[:, end] = total[rows, pick]
-                chosen[:, end] = piece[rows, j, pick]
-                length[:, end] = lengths[pick]
+                chosen[:, end] = piece[rows, a + pick]
+                length[:, end] = n - pick
         found, which, where = [], [], []
         left = np.full(len(words), size)
         active = rows
@@ -148,14 +151,17 @@ class PieceModel:
             where.append(left[active] - 1)
             left[active] -= length[active, left[active]]
             active = active[left[active] > 0]
-        found, which, where = (np.concatenate(x[::-1]) for x in (found, which, where))
+        ids, which, where = (np.concatenate(x[::-1]) for x in (found, which, where))
         order = np.argsort(which, kind="stable")
-        cuts = np.cumsum(np.bincount(which, minlength=len(words)))[:-1]
-        ids, places = np.split(found[order], cuts), np.split(where[order], cuts)
-        for i, word in enumerate(words):
-            if (ids[i] < 0).any():
-                ids[i] = np.concatenate([self._fallback(word[p]) if x < 0 else [x] for x, p in zip(ids[i], places[i], strict=True)]).astype(np.int32)
-        return ids
+        ids, which, where = ids[order], which[order], where[order]
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            spelled = [self._fallback(words[which[u]][where[u]]) for u in unknown]
+            times = np.ones(len(ids), np.int64)
+            times[unknown] = [len(x) for x in spelled]
+            ids, which = np.repeat(ids, times), np.repeat(which, times)
+            ids[ids < 0] = np.concatenate(spelled)
+        return ids, np.bincount(which, minlength=len(words))
 
     def _fallback(self, char: str) -> np.ndarray:
         data = (MARK if char == REAL_MARK else char).encode()
@@ -169,13 +175,16 @@ class PieceModel:
         split = [_WORD.findall(MARK + t.replace(MARK, REAL_MARK).replace(" ", MARK)) if t else [] for t in texts]
         words = [w for ws in split for w in ws]
         known = self.cache
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        if new:
-            ids = self.segment(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(i) for i in ids])])
-        place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        if (place < 0).any():
+            ids, sizes = [self.flat], []
+            for part, own, counts in self.segment(list(dict.fromkeys(words[i] for i in np.flatnonzero(place < 0)))):
+                known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
+                ids.append(own)
+                sizes.append(counts)
+            self.flat = np.concatenate(ids)
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+            place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         start, size = self.first[place], self.first[place + 1] - self.first[place]
         ends = np.cumsum(size)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)

@@ -8,6 +8,7 @@ together, and forward-backward gives every word's label probabilities given the
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 
@@ -20,7 +21,9 @@ _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 def letters(word: str) -> str:
     """The word's letters in lower case; empty if it has none."""
     word = word.lower()
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    if word.isalpha():
+        return word
+    return word[:-1] if word[:-1].isalpha() and not word[-1].isalpha() else "".join(filter(str.isalpha, word))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +141,7 @@ class Tagger:
         if len(self.cache) > CACHE:
             self.cache.clear()
         known = self.cache
-        place = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         new = list(dict.fromkeys(words[i] for i in np.flatnonzero(place < 0)))
         if new:
             bare = [letters(w) for w in new]
@@ -152,7 +155,7 @@ class Tagger:
                 self.table = np.concatenate([self.table[:first], np.empty((len(known) + CACHE // 4, len(self.labels) + 1))])
             self.table[first : len(known), :-1] = total
             self.table[first : len(known), -1] = lettered
-            place = np.fromiter((known[w] for w in words), np.int64, len(words))
+            place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         rows = self.table[place]
         return rows[:, :-1], rows[:, -1] > 0
 

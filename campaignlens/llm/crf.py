@@ -13,7 +13,8 @@ from itertools import repeat
 import numpy as np
 
 BUCKETS = 1 << 15
-MAX_CHARS = 64  # of a word that features look at, from both ends half
+RUN = 64  # letters of a word of a chain; a longer word is cut into runs that are words of their own
+BLOCK = 1 << 13  # words whose features are held at a time
 CACHE = 200_000
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
@@ -26,16 +27,33 @@ def letters(word: str) -> str:
     return word[:-1] if word[:-1].isalpha() and not word[-1].isalpha() else "".join(filter(str.isalpha, word))
 
 
+def in_runs(word: str) -> list[str]:
+    """The letters of a word in runs of like size, at most RUN; each begins with the last two of the run before.
+
+    Every letter and every trigram is in a run.
+    """
+    bare = letters(word)
+    n = max(1, -(-(len(bare) - 2) // (RUN - 2)))
+    step = -(-(len(bare) - 2) // n)
+    return [bare[i * step : (i + 1) * step + 2] for i in range(n)] if n > 1 else [bare]
+
+
+def cut(words: list[str]) -> list[str]:
+    """The words of a chain: those of a text, long ones in runs, as where a text has no blanks."""
+    if not words or max(map(len, words)) <= RUN:
+        return words
+    return [r for w in words for r in (in_runs(w) if len(w) > RUN else (w,))]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words end to end, and where each word's begin.
 
     Of ^word$: every trigram, the prefixes and suffixes of one, two and three letters.
     """
-    short = [w if len(w) <= MAX_CHARS else w[: MAX_CHARS // 2] + w[-MAX_CHARS // 2 :] for w in words]
-    sizes = np.array([len(w) for w in short], np.int64)
+    sizes = np.array([len(w) for w in words], np.int64)
     # Three marks before each word and three after, so that windows never reach the next word.
     before, after = "\x02" * 3, "\x03" * 3
-    marked = (before + (after + before).join(short) + after).encode("utf-32-le", "surrogatepass")
+    marked = (before + (after + before).join(words) + after).encode("utf-32-le", "surrogatepass")
     chars = np.frombuffer(marked, np.uint32).astype(np.uint64)
     begin = np.cumsum(np.concatenate(([3], sizes[:-1] + 6)))
     counts = sizes + 6
@@ -145,8 +163,10 @@ class Tagger:
         new = list(dict.fromkeys(words[i] for i in np.flatnonzero(place < 0)))
         if new:
             bare = [letters(w) for w in new]
-            rows, starts = features(bare)
-            total = np.add.reduceat(self.weights[rows], starts, axis=0) + self.weights[self.lexicon_rows(bare)]
+            total = self.weights[self.lexicon_rows(bare)]
+            for i in range(0, len(bare), BLOCK):
+                rows, starts = features(bare[i : i + BLOCK])
+                total[i : i + BLOCK] += np.add.reduceat(self.weights[rows], starts, axis=0)
             lettered = np.array([bool(b) for b in bare])
             total[~lettered] = 0
             first = len(known)
@@ -160,8 +180,8 @@ class Tagger:
         return rows[:, :-1], rows[:, -1] > 0
 
     def tag(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Per text its words, which of them have letters, and their label probabilities."""
-        split = [t.split() for t in texts]
+        """Per text its words (long ones in runs), which of them have letters, and their label probabilities."""
+        split = [cut(t.split()) for t in texts]
         words = [w for ws in split for w in ws]
         sizes = np.array([len(ws) for ws in split], np.int64)
         ends = np.cumsum(sizes)

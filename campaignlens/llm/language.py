@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,13 +12,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignlens.llm.crf import Tagger, train
-from campaignlens.llm.texts import free_name, slices
+from campaignlens.llm.crf import RUN, Tagger, cut, in_runs, train
+from campaignlens.llm.texts import BLANKS, free_name, slices
 
 # Bounds of the training sample per language: documents, spans of each, words of a span.
 MAX_DOCS, SPANS, SPAN_WORDS = 200, 6, 10
 LEXICON_WORDS, LEXICON_SHARE = 500, 0.9
 UNKNOWN = "und"
+_BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SPANS spans of SPAN_WORDS words of each text, at equal distances; long words count as their runs."""
+    for batch in slices(batches, "text"):
+        split = (cut(_BLANKS.split(t.strip(BLANKS))) for t in batch.column("text").to_pylist())
+        spans = [[words[at : at + SPAN_WORDS] for at in (j * len(words) // SPANS for j in range(SPANS))] for words in split]
+        arrays = [batch.column("lang"), batch.column("draw"), pa.array(spans, pa.list_(pa.list_(pa.string())))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "draw", "spans"])
 
 
 def lexicons(docs: DataFrame, lang_col: str, text_col: str, size: int = LEXICON_WORDS) -> DataFrame:
@@ -43,8 +54,9 @@ def fit_language(
 
     Lexicons count every word of every such document. The weights are fitted on a bounded
     sample: about ``max_docs`` documents of each language by the md5 of their id, and of
-    each text, however long, SPANS spans of SPAN_WORDS words at equal distances. Spans of
-    different languages are joined at random, so that transitions are learned from switches.
+    each text, however long, SPANS spans of SPAN_WORDS words at equal distances, where a word
+    of more than RUN letters counts as runs of at most so many. Spans of different languages
+    are joined at random, so that transitions are learned from switches.
     The driver holds the spans and at most LEXICON_WORDS words per language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn if learn is not None else F.lit(True)))
@@ -54,20 +66,19 @@ def fit_language(
         return Tagger([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
     limit = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, max_docs / n) * (1 << 32)))) for lang, n in counts.items()])
-    words = F.split(F.btrim(text_col, F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
-    spans = F.transform(
-        F.sequence(F.lit(0), F.lit(SPANS - 1)),
-        lambda j: F.slice(F.col("words"), F.floor(j * F.size("words") / SPANS).cast("int") + 1, SPAN_WORDS),
-    )
     drawn = (
         known.where(draw < limit)
-        .select(F.col(lang_col).alias("lang"), draw.alias("draw"), words.alias("words"))
-        .select("lang", "draw", spans.alias("spans"))
+        .select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).cast("string").alias("text"))
+        .mapInArrow(_spans, f"lang {known.select(lang_col).dtypes[0][1]}, draw long, spans array<array<string>>")
         .toArrow()
         .to_pylist()
     )
     place = {lang: i for i, lang in enumerate(labels)}
-    lexicon = {r["word"]: place[r["lang"]] for r in lexicons(known, lang_col, text_col).collect()}
+    lexicon: dict[str, int] = {}
+    # Runs of a long word stand for it; whole words go first.
+    for r in sorted(lexicons(known, lang_col, text_col).collect(), key=lambda r: (len(r["word"]) > RUN, r["word"])):
+        for word in in_runs(r["word"]) if len(r["word"]) > RUN else [r["word"]]:
+            lexicon.setdefault(word, place[r["lang"]])
     drawn.sort(key=lambda r: (r["lang"], r["draw"], r["spans"]))
     pieces = [(place[r["lang"]], span) for r in drawn for span in r["spans"] if any(span)]
     order = np.random.default_rng(seed).permutation(len(pieces))
@@ -82,7 +93,9 @@ def predict_language(docs: DataFrame, tagger: Tagger, text_col: str = "text", la
     Every word of the whole text gets label probabilities by forward-backward; the language
     is the one with the largest mean over words with letters, ``score`` is that mean, and
     ``n_switches`` counts changes of the likeliest label from one such word to the next.
-    With ``labels_col`` the words' likeliest labels are added too, as an array.
+    With ``labels_col`` the words' likeliest labels are added too, as an array. A word of
+    more than RUN letters, as of a text without blanks, counts as several words, the runs
+    of at most RUN letters that it is cut into.
 
     A null text, a text without letters, and any text when nothing was learned are ``und``
     with score 0. Ties go to the first language in alphabetical order. Repeated rows are
@@ -110,7 +123,7 @@ def predict_language(docs: DataFrame, tagger: Tagger, text_col: str = "text", la
             if tagger.labels:
                 rows = [one(*found) for found in tagger.tag(texts)]
             else:
-                rows = [(UNKNOWN, 0.0, 0, [None] * len(t.split())) for t in texts]
+                rows = [(UNKNOWN, 0.0, 0, [None] * len(cut(t.split()))) for t in texts]
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())]
             if labels_col:

@@ -55,6 +55,34 @@ def test_cached_words_have_the_same_evidence():
     assert np.allclose(first[0][[2, 0, 1]], again[0]) and first[1].tolist() == [True, True, False, True]
 
 
+def test_long_words_are_runs_with_every_trigram():
+    rng = random.Random(3)
+    for n in (0, 1, 3, 64, 65, 66, 67, 126, 127, 10_000):
+        word = "".join(rng.choice("abcdefgh") for _ in range(n))
+        runs = crf.in_runs(word)
+        assert all(len(r) <= crf.RUN for r in runs) and min(map(len, runs)) > min(n - 1, 16)
+        assert runs[0] + "".join(r[2:] for r in runs[1:]) == word
+    assert crf.cut(["ab", "-" * 70, "x,y" * 30]) == ["ab", "", *crf.in_runs("xy" * 30)]
+
+
+def test_the_middle_of_a_long_word_decides_its_language(spark):
+    rng = random.Random(5)
+    letters = {"en": "thecarun", "fr": "êéèàoùqç"}
+    many = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    ends = many("xyz", 3_000), many("xyz", 3_000)
+    word = lambda lang: ends[0] + many(letters[lang], 4_000) + ends[1]
+    schema = "doc_id long, text string, lang string"
+    short = [(i, " ".join(many(letters[lang], 5) for _ in range(30)), lang) for i, lang in enumerate(["en", "fr"] * 30)]
+    long = [(i, word(lang), lang) for i, lang in enumerate(["en", "fr"] * 30)]
+    asked = spark.createDataFrame([(i, word(lang), lang) for i, lang in enumerate(["en", "fr"] * 4)], schema)
+    for learn in (short, long):
+        tagger = fit_language(spark.createDataFrame(learn, schema))
+        assert all(r.lang == r.lang_pred for r in predict_language(asked, tagger).collect())
+    change = [(1, many(letters["en"], 5_000) + many(letters["fr"], 3_000) + many(letters["en"], 5_000))]
+    row = predict_language(spark.createDataFrame(change, "doc_id long, text string"), tagger, labels_col="words").first()
+    assert row.lang_pred == "en" and row.n_switches == 2 and len(row.words) == len(crf.in_runs("x" * 13_000))
+
+
 def test_repeats_by_hand():
     rng = random.Random(4)
     data = bytes(rng.choice(b"ab") for _ in range(300)) + b"0123456789" * 3

@@ -15,28 +15,48 @@ import numpy as np
 
 WIDTH, STRIDE, CELL = 8, 4, 256
 PER_CELL = CELL // STRIDE
-REGION = 1 << 16  # repeats are looked for within regions of this many bytes
+FAR = 1 << 16  # from this distance on, repeats are of one bucket
+PIECE = 1 << 20  # bytes whose repeats are sorted at a time
+HELD = 1 << 23  # grams of all pieces compared at a time
 BUCKETS = 18
 TAPS = (0, 4)  # where a filter looks at the repeat channel
 BLOCK = 2048  # cells worked on at a time
-_DISTANCE = np.minimum(np.log2(np.maximum(np.arange(REGION + 1), 1)).astype(np.uint8) + 1, BUCKETS - 1)
+_DISTANCE = np.minimum(np.log2(np.maximum(np.arange(FAR + 1), 1)).astype(np.uint8) + 1, BUCKETS - 1)
 
 
-def repeats(data: np.ndarray) -> np.ndarray:
-    """Per byte the log2 bucket of the distance to the last place with the same eight bytes; 0 if there is none."""
+def repeats(data: np.ndarray, piece: int = PIECE, held: int = HELD) -> np.ndarray:
+    """Per byte the log2 bucket of the distance to the last place with the same eight bytes; 0 if there is none.
+
+    Exact at any length. Pieces are sorted by the whole gram, then the first place of a gram
+    in a piece meets its last place in the pieces before; a text of more than ``held`` bytes
+    is worked once for each of several classes of grams, so that memory stays bounded.
+    """
     out = np.zeros(len(data), np.uint8)
-    for start in range(0, len(data), REGION):
-        part = data[start : start + REGION + 7]
-        if len(part) < 9:
-            break
-        grams = np.lib.stride_tricks.sliding_window_view(part, 8)
-        grams = np.ascontiguousarray(grams).view(np.uint64).ravel()
-        hashes = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
-        order = np.argsort(hashes, kind="stable")
-        ordered = grams[order]
-        same = np.flatnonzero(ordered[1:] == ordered[:-1])
-        later = order[same + 1]
-        out[start + later] = _DISTANCE[later - order[same]]
+    n = len(data) - 7
+    classes = -(-n // held)
+    for c in range(classes):
+        found = []
+        for start in range(0, n, piece):
+            grams = np.lib.stride_tricks.sliding_window_view(data[start : start + piece + 7], 8)
+            grams = np.ascontiguousarray(grams).view(np.uint64).ravel()
+            own = np.arange(len(grams))
+            if classes > 1:
+                hashes = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                own = np.flatnonzero(hashes % np.uint64(classes) == c)
+                grams = grams[own]
+            order = np.argsort(grams, kind="stable")
+            ordered, place = grams[order], start + own[order]
+            same = ordered[1:] == ordered[:-1]
+            out[place[1:][same]] = _DISTANCE[np.minimum(place[1:][same] - place[:-1][same], FAR)]
+            if n > piece and len(grams):
+                firsts, lasts = np.append(True, ~same), np.append(~same, True)
+                found.append((ordered[firsts], place[firsts], place[lasts]))
+        if len(found) > 1:
+            grams, first, last = map(np.concatenate, zip(*found, strict=True))
+            order = np.argsort(grams, kind="stable")
+            same = np.flatnonzero(grams[order[1:]] == grams[order[:-1]])
+            later = first[order[same + 1]]
+            out[later] = _DISTANCE[np.minimum(later - last[order[same]], FAR)]
     return out
 
 
@@ -202,4 +222,9 @@ def train(
             m += 0.1 * (g.astype(np.float32) - m)
             v += 0.01 * (g.astype(np.float32) ** 2 - v)
             p -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    # A distance that no example had, as in texts longer than all of them, counts as the next smaller one.
+    seen = np.sum([np.bincount(back, minlength=BUCKETS) for _, back, _ in prepared], axis=0)
+    for bucket in range(1, BUCKETS):
+        if not seen[bucket]:
+            net.back[:, bucket] = net.back[:, bucket - 1]
     return net

@@ -92,6 +92,28 @@ def test_repeats_by_hand():
         assert found[t] == (0 if back < 0 else min(int(np.log2(t - back)) + 1, cnn.BUCKETS - 1))
 
 
+@pytest.mark.parametrize("settings", [{}, {"piece": 10_000}, {"piece": 10_000, "held": 30_000}])
+def test_repeats_by_hand_in_long_texts(settings):
+    rng = random.Random(6)
+    passage = bytes(rng.randrange(256) for _ in range(500))
+    near = b"".join(rng.choice([b"alpha ", b"beta ", b"gamma "]) for _ in range(6_000))
+    data = passage + bytes(rng.randrange(256) for _ in range(60_000)) + passage + near + b"a" * 40_000 + passage
+    assert len(data) > 100_000
+    last, wanted = {}, []
+    for t in range(len(data)):
+        back = t - last.get(data[t : t + 8], t) if t + 8 <= len(data) else 0
+        wanted.append(min(int(np.log2(back)) + 1, cnn.BUCKETS - 1) if back else 0)
+        last[data[t : t + 8]] = t
+    found = cnn.repeats(np.frombuffer(data, np.uint8), **settings)
+    assert found.tolist() == wanted and {16, 17, 0, 1} <= set(wanted)
+
+
+def test_distances_that_no_example_had_count_as_the_next_smaller():
+    texts = [b"0123456789" * 3, b"abcdefghij" * 4]
+    net = cnn.train(texts, np.array([0.0, 1.0]), np.ones(2), filters=3, hidden=3, steps=3)
+    assert all((net.back[:, b] == net.back[:, 4]).all() for b in range(5, cnn.BUCKETS))
+
+
 def test_network_by_hand_and_its_gradients():
     rng = random.Random(1)
     texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 5, 255, 256, 900, 2600)]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from campaignlens.llm.cnn import Network, train
 from campaignlens.llm.texts import free_name, slices
+from campaignlens.session import discard, written
 
 # Bounds of the training sample: documents of each label, and bytes of a document.
 MAX_PER_LABEL, MAX_BYTES = 2_500, 1 << 16
@@ -40,6 +41,8 @@ def fit_quality(
     and 1 are ignored; of several labels of an id the smallest counts. About
     ``max_per_label`` documents of each label are drawn by the md5 of their id, those longer
     than ``max_bytes`` are not learned from, and weights restore the share of the labels.
+    Equal texts of an id are one example that counts as often as it occurs; where ids have
+    so many texts that examples exceed that number, they are drawn by the md5 of id and text.
     The sample alone comes to the driver. Without labels the network is a constant.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -53,18 +56,25 @@ def fit_quality(
         if not share
         else F.greatest(*[(F.col("label") == label) & (draw < int(s * (1 << 32))) for label, s in share.items()], F.lit(False))
     )
-    # At most about two times max_per_label narrow rows.
-    sample = (
+    # One row per id and text, as an id may have any number of rows.
+    texts = written(
         docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
         .where(F.octet_length("text") <= max_bytes)
         .join(F.broadcast(drawn), F.col("key") == F.col("id"))
-        .select("key", "label", "text")
-        .toArrow()
-        .to_pylist()
+        .groupBy("key", "label", "text")
+        .agg(F.count("*").alias("copies")),
+        "examples",
     )
+    sizes = texts.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("key").alias("ids")).collect()
+    part = {r["label"]: min(1.0, max(max_per_label, r["ids"]) / r["n"]) for r in sizes}
+    again = F.conv(F.substring(F.md5(F.concat(F.col("key").cast("string"), F.lit(" "), F.md5("text"))), 1, 8), 16, 10).cast("long")
+    limit = F.coalesce(*[F.when(F.col("label") == label, F.lit(int(p * (1 << 32)))) for label, p in part.items()], F.lit(0))
+    # At most about two times max_per_label narrow rows.
+    sample = texts.where(again < limit).toArrow().to_pylist()
+    discard(texts)
     sample.sort(key=lambda r: (r["key"], r["text"]))
     target = np.array([float(r["label"]) for r in sample])
-    weights = np.array([1 / share[r["label"]] for r in sample])
+    weights = np.array([r["copies"] / share[r["label"]] / part[r["label"]] for r in sample])
     return train([r["text"] for r in sample], target, weights, **settings)
 
 

@@ -193,6 +193,22 @@ def test_quality_edge_cases(spark):
     assert score_quality(docs.where("false"), net).count() == 0
 
 
+def test_examples_of_a_repeated_id_are_bounded_and_weighted(spark, monkeypatch):
+    from campaignlens.llm import quality
+
+    given = []
+    monkeypatch.setattr(quality, "train", lambda texts, target, weights, **_: given.append((texts, target, weights)))
+    rows = [(1, "same")] * 50 + [(2, f"text {i}") for i in range(400)] + [(3, "a"), (4, "b"), (4, "b"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (5, 1)], "doc_id long, quality int")
+    fit_quality(docs, labels, max_per_label=100)
+    texts, target, weights = given[0]
+    good = {t: w for t, y, w in zip(texts, target, weights, strict=True) if y}
+    assert good == {b"same": 50, b"a": 1, b"b": 2, b"": 1}
+    assert 50 < len(texts) - len(good) < 150
+    assert all(w == 4 for y, w in zip(target, weights, strict=True) if not y)
+
+
 def test_language_query_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
     found = learned_queries.op4_language_id(spark, DIRECTORY)

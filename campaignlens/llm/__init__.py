@@ -6,6 +6,7 @@ from campaignlens.llm import (  # noqa: F401
     learned_queries,
     mixing_queries,
     model_queries,
+    packing_queries,
     token_queries,
     warc_queries,
 )

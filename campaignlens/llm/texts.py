@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The white space of the text contracts: [\x20\x09-\x0D].
@@ -27,6 +27,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def tokenizer_path(spark: SparkSession, name: str) -> str:
+    """A public tokenizer's file, in the folder that spark.campaignlens.tokenizers names; the driver alone reads it."""
+    return f"{spark.conf.get('spark.campaignlens.tokenizers', '/opt/tokenizers')}/{name}"
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose texts hold about ``budget`` bytes; a longer text is alone in its run."""
     for batch in batches:

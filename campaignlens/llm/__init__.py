@@ -7,6 +7,7 @@ from campaignlens.llm import (  # noqa: F401
     mixing_queries,
     model_queries,
     packing_queries,
+    resampling_queries,
     token_queries,
     warc_queries,
 )

@@ -1,6 +1,7 @@
 """Operators for preparing training data: mixing, archives, chat, language, tokens, quality and duplicates."""
 
 from campaignlens.llm import (  # noqa: F401
+    alignment_queries,
     chat_queries,
     dedup_queries,
     learned_queries,

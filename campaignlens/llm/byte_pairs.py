@@ -1,23 +1,28 @@
-"""Byte-level BPE ids of texts, word by word.
+"""Byte-level BPE ids of texts.
 
 A single blank between two characters that are not white space always begins a new token,
 in byte-level BPE as in pieces that carry the blank at their front. So a text is cut
-there: words met before are looked up, and a long text is read in windows.
+there: a long text is read in windows, and what is known of a word holds wherever it stands.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import groupby
 
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 WINDOW = 1 << 19  # characters of a text worked at a time
-CACHE_WORDS, CACHE_IDS = 300_000, 4_000_000
+
+# How byte-level vocabularies cut a text before they merge.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Beyond these characters two libraries may know letters and blanks of different Unicode versions.
+_UNCOMMON = "[^\x00-\x1b\x20-\x7e\xa1-\u024f]"
 
 
 def windows(text: str, size: int = WINDOW) -> Iterator[str]:
@@ -41,11 +46,24 @@ def words_of(window: str) -> list[str]:
 
 
 class BytePairs:
-    """A tokenizer given as the content of its file; ``plain`` reads special tokens' strings as ordinary text."""
+    """A tokenizer given as the content of its file; ``plain`` reads special tokens' strings as ordinary text.
+
+    Where the file is a byte-level vocabulary whose merges are numbered in the order in which
+    they apply, texts of common characters are encoded by rank, which gives the same ids
+    faster. Other texts, and other files, go through the file's own tokenizer.
+    """
 
     def __init__(self, content: str, plain: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
         self.content, self.plain = content, plain
-        self._clear()
+        self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer.encode_special_tokens = plain
+        spec = json.loads(content)
+        special = [] if plain else [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.odd = re.compile("|".join([_UNCOMMON, *special]))
+        self.ranked = self._by_rank(spec)
 
     def __reduce__(self):
         return _of_worker, (self.content, self.plain)
@@ -56,23 +74,26 @@ class BytePairs:
         with open(path, encoding="utf-8") as file:
             return cls(file.read(), plain)
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.first = np.zeros(1, np.int64)
-
-    @property
-    def tokenizer(self):
-        if "_tokenizer" not in self.__dict__:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_str(self.content)
-            self._tokenizer.encode_special_tokens = self.plain
-        return self._tokenizer
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _by_rank(self, spec: dict):
+        """The vocabulary as ranks, None if ranks and merges could differ."""
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+        vocab = model.get("vocab", {})
+        usual = (
+            model.get("type") == "BPE"
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space", True)
+            and spec["normalizer"] is None
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
+        made = [vocab.get(a + b, -1) for a, b in merges]
+        if not usual or made != sorted(made) or len(set(made)) < len(made) or len(vocab) != 256 + len(made):
+            return None
+        import tiktoken
+
+        names = self.token_bytes()
+        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks={names[i]: i for i in vocab.values()}, special_tokens={})
 
     def token_bytes(self) -> list[bytes]:
         """What each id stands for. The alphabet of byte-level vocabularies writes printable bytes
@@ -86,50 +107,41 @@ class BytePairs:
             out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         return out
 
-    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words end to end, and the number of ids per word."""
-        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
-            self._clear()
-        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if (place < 0).any():
-            new = list(dict.fromkeys(words[i] for i in np.flatnonzero(place < 0)))
-            ids = self.encode_words(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.int32) for x in ids)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-            place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        start, size = self.first[place], self.first[place + 1] - self.first[place]
-        ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-        return self.flat[at], size
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """The ids of each of these texts, none of them long."""
+        if self.ranked is None:
+            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ranked, odd = self.ranked.encode_ordinary, self.odd.search
+        ids = [() if odd(w) else ranked(w) for w in words]
+        other = [i for i, w in enumerate(words) if w and not ids[i]]
+        for i, e in zip(other, self.tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return ids
+
+    def _ids(self, window: str) -> list[int]:
+        """The ids of a window; of a mixed one, its runs of common and of other words in turn."""
+        if self.ranked is None:
+            return self.tokenizer.encode(window, add_special_tokens=False).ids
+        if not self.odd.search(window):
+            return self.ranked.encode_ordinary(window)
+        out: list[int] = []
+        runs = [(odd, " ".join(run)) for odd, run in groupby(words_of(window), lambda w: self.odd.search(w) is not None)]
+        for i, (odd, run) in enumerate(runs):
+            text = f" {run}" if i else run
+            out += self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.ranked.encode_ordinary(text)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the offsets of each text in them; an empty text has none."""
-        ids, counts, words, owners = [], np.zeros(len(texts), np.int64), [], []
-        held = 0
-
-        def flush() -> None:
-            nonlocal words, owners, held
-            own, sizes = self._look_up(words)
-            ids.append(own)
-            np.add.at(counts, np.array(owners, np.int64), sizes)
-            words, owners, held = [], [], 0
-
+        parts, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             for j, window in enumerate(windows(text) if text else ()):
-                first, *rest = words_of(window)
-                words.append(f" {first}" if j else first)
-                words += [f" {w}" for w in rest]
-                owners += [i] * (1 + len(rest))
-                held += len(window)
-                if held >= WINDOW:
-                    flush()
-        if words:
-            flush()
-        return np.concatenate(ids) if ids else np.empty(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
+                parts.append(np.array(self._ids(f" {window}" if j else window), np.int32))
+                counts[i] += len(parts[-1])
+        return np.concatenate(parts) if parts else np.empty(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
 
 
 @lru_cache(4)
 def _of_worker(content: str, plain: bool) -> BytePairs:
-    """One object per worker process: the words its tasks have met are kept from task to task."""
+    """One object per worker process."""
     return BytePairs(content, plain)

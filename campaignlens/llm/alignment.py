@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignlens.llm.byte_pairs import CACHE_IDS, CACHE_WORDS, WINDOW, BytePairs, windows, words_of
+from campaignlens.llm.byte_pairs import WINDOW, BytePairs, windows, words_of
 from campaignlens.llm.perfect_hash import PerfectHash, build
 from campaignlens.llm.texts import free_name, slices
 from campaignlens.session import written
@@ -35,6 +35,7 @@ SHARD_KEYS = 1 << 16  # keys of a shard, about
 FAN = 8  # vectors summed in one step of the tree
 MAX_SHIPPED = 4_000_000  # pairs whose counts go to every task; 16 bytes each
 PENDING = 2_000_000  # pairs a task holds before it sums them
+CACHE_WORDS, CACHE_LINKS = 400_000, 4_000_000
 
 
 class Pieces:
@@ -82,9 +83,10 @@ class Aligned:
 class Aligner:
     """Aligns texts by words; ``a`` encodes a blank and the word, ``b`` the word to the same bytes."""
 
-    def __init__(self, a: BytePairs, b: Pieces):
-        self.a, self.b = a, b
-        self.a_bytes, self.b_bytes = a.token_bytes(), b.token_bytes()
+    def __init__(self, a: BytePairs, b: Pieces, with_groups: bool = True):
+        self.a, self.b, self.with_groups = a, b, with_groups
+        self.a_bytes, self.b_bytes = a.bytes, b.token_bytes()
+        self.a_sizes, self.b_sizes = a.sizes, np.array([len(t) for t in self.b_bytes])
         # Names of the ids with what may follow them: A , or | and B , or ;
         names_a, names_b = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         texts = [n + end for names, ends in ((names_a, ",|"), (names_b, ",;")) for end in ends for n in names]
@@ -92,7 +94,7 @@ class Aligner:
         self._clear()
 
     def __reduce__(self):
-        return _of_worker, (self.a.content, self.a.plain, self.b.proto)
+        return _of_worker, (self.a.content, self.a.plain, self.b.proto, self.with_groups)
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -105,20 +107,27 @@ class Aligner:
     def width(self) -> int:
         return len(self.b_bytes)
 
+    def _same(self, ids: np.ndarray, counts: np.ndarray, words: list[bytes], table: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Which words the bytes of their tokens give back."""
+        ends = np.cumsum(counts)
+        total = np.concatenate(([0], np.cumsum(sizes[ids])))[ends]
+        if np.array_equal(total, np.cumsum([len(w) for w in words])) and b"".join(map(table.__getitem__, ids.tolist())) == b"".join(words):
+            return np.ones(len(words), bool)
+        parts = (ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist(), strict=True))
+        return np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(parts, words, strict=True)])
+
     def _align(self, words: list[str]) -> None:
         """Aligns new words, all at once: their tokens end to end are two lines over the same bytes."""
-        ids_a, ids_b = self.a.encode_words([f" {w}" for w in words]), self.b.encode_words(words)
-        same = np.empty(len(words), bool)
-        for i, word in enumerate(words):
-            data = f" {word}".encode()
-            same[i] = b"".join(map(self.a_bytes.__getitem__, ids_a[i])) == data == b"".join(map(self.b_bytes.__getitem__, ids_b[i]))
-        ids_a, ids_b = ([x if s else [] for x, s in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(words)) for x in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        end_a, end_b = (
-            np.cumsum(np.fromiter((len(table[i]) for i in x.tolist()), np.int64, len(x)))
-            for table, x in ((self.a_bytes, a), (self.b_bytes, b))
-        )
+        words, a, n_a = self.a.after_blank(words)
+        ids_b = self.b.encode_words(words)
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(words))
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        data = [f" {w}".encode() for w in words]
+        same = self._same(a, n_a, data, self.a_bytes, self.a_sizes) & self._same(b, n_b, data, self.b_bytes, self.b_sizes)
+        if not same.all():
+            a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
+            n_a, n_b = n_a * same, n_b * same
+        end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         # Links: the bytes between any two neighbouring ends belong to one token of each line.
         ends = np.union1d(end_a, end_b)
         link_a, link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
@@ -128,23 +137,26 @@ class Aligner:
         # Groups end where both lines have an end.
         last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
         n_groups = np.bincount(word_a[last_a], minlength=len(words))
-        # Names in the order of groups, A before B within a group.
+        self.groups += self._written(a, b, n_a + n_b, last_a, last_b) if self.with_groups else [""] * len(words)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.shape = np.concatenate([self.shape, np.stack([n_a, n_b, n_groups, same], axis=1)])
+        self.flat = np.concatenate([self.flat, links])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
+
+    def _written(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
+        """The groups of each word: names in the order of groups, A before B within a group."""
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         sizes_a, sizes_b = np.bincount(group_a), np.bincount(group_b)
         text = np.empty(len(a) + len(b), object)
         text[np.arange(len(a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]] = self.names[a + last_a * len(self.a_bytes)]
         text[np.arange(len(b)) + np.cumsum(sizes_a)[group_b]] = self.names[2 * len(self.a_bytes) + b + last_b * self.width]
-        cuts = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
         text = text.tolist()
-        self.groups += ["".join(text[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.shape = np.concatenate([self.shape, np.stack([n_a, n_b, n_groups, same], axis=1)])
-        self.flat = np.concatenate([self.flat, links])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
+        return ["".join(text[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
-    def align(self, texts: list[str], with_groups: bool = True) -> Aligned:
+    def align(self, texts: list[str]) -> Aligned:
         """Each text (or window of one) as it follows a blank; the last group of each text has no semicolon."""
-        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_LINKS:
             self._clear()
         split = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
@@ -162,16 +174,16 @@ class Aligner:
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
         first = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         groups = []
-        if with_groups:
+        if self.with_groups:
             names = [self.groups[p] for p in place.tolist()]
             groups = ["".join(names[i : i + n])[:-1] for i, n in zip(begins.tolist(), counts.tolist(), strict=True)]
         return Aligned(n_a, n_b, n_groups, same, self.flat[at], first, groups)
 
 
-@lru_cache(2)
-def _of_worker(content: str, plain: bool, proto: bytes) -> Aligner:
+@lru_cache(1)
+def _of_worker(content: str, plain: bool, proto: bytes, with_groups: bool) -> Aligner:
     """One object per worker process: the words its tasks have met are kept from task to task."""
-    return Aligner(BytePairs(content, plain), Pieces(proto))
+    return Aligner(BytePairs(content, plain), Pieces(proto), with_groups)
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -185,24 +197,24 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return keys, sums
 
 
-def aligned_rows(aligner: Aligner, texts: list[str | None], with_groups: bool):
+def aligned_rows(aligner: Aligner, texts: list[str | None]):
     """Per row (number in the list): n_a, n_b, n_groups, distinct links with how often each occurs, groups.
 
     Rows without tokens have zeros. A text of several windows is worked window by window;
     groups end at the blank between two windows.
     """
     short = [i for i, t in enumerate(texts) if t and len(t) <= WINDOW]
-    found = aligner.align([texts[i] for i in short], with_groups)
+    found = aligner.align([texts[i] for i in short])
     for j, i in enumerate(short):
         if found.same[j]:
             links = counted(found.links[found.first[j] : found.first[j + 1]])
-            yield i, int(found.n_a[j]), int(found.n_b[j]), int(found.n_groups[j]), *links, found.groups[j] if with_groups else ""
+            yield i, int(found.n_a[j]), int(found.n_b[j]), int(found.n_groups[j]), *links, found.groups[j] if aligner.with_groups else ""
     for i, text in enumerate(texts):
         if text and len(text) > WINDOW:
             sizes, parts, same = np.zeros(3, np.int64), [], True
             keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
             for window in windows(text):
-                part = aligner.align([window], with_groups)
+                part = aligner.align([window])
                 same = same and bool(part.same[0])
                 if not same:
                     break
@@ -234,7 +246,7 @@ def pair_counts(docs: DataFrame, aligner: Aligner) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), task)), pa.array(part), pa.array(n)], names=["task", "key", "n"])
 
         for batch in slices(batches, "text"):
-            for _, _, _, _, own, _, _ in aligned_rows(aligner, batch.column("text").to_pylist(), False):
+            for _, _, _, _, own, _, _ in aligned_rows(aligner, batch.column("text").to_pylist()):
                 held.append(own)
                 pending += len(own)
                 if pending > PENDING:
@@ -412,10 +424,10 @@ def align_tokens(
     At most ``max_shipped`` counts go to every task; if there are more pairs, the most
     frequent ones do, and the links of the others are joined with their counts.
     """
-    aligner = Aligner(a, b)
+    aligner = Aligner(a, b, with_groups)
     width = aligner.width
     slim = docs.select(F.col(text_col).alias("text"))
-    table, rows, shards, pairs = count_pairs(slim, aligner)
+    table, rows, shards, pairs = count_pairs(slim, Aligner(a, b, with_groups=False))
     known = shipped(table, rows, shards, pairs, len(aligner.a_bytes), width, max_shipped)
     whole = pairs <= max_shipped
     rest = [c for c in docs.columns if c != text_col]
@@ -433,7 +445,7 @@ def align_tokens(
         for batch in slices(batches, text_col):
             sums = np.zeros((6, batch.num_rows), np.int64)
             groups, left = [""] * batch.num_rows, [([], [])] * batch.num_rows
-            for i, n_a, n_b, n_groups, keys, times, text in aligned_rows(aligner, batch.column(text_col).to_pylist(), with_groups):
+            for i, n_a, n_b, n_groups, keys, times, text in aligned_rows(aligner, batch.column(text_col).to_pylist()):
                 at = known.find(keys)
                 n = known.counts[at[at >= 0]] if len(known.counts) else np.empty(0, np.int64)
                 hit, seen = keys[at >= 0], times[at >= 0]

@@ -63,6 +63,8 @@ class BytePairs:
         spec = json.loads(content)
         special = [] if plain else [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.odd = re.compile("|".join([_UNCOMMON, *special]))
+        self.bytes = self.token_bytes()
+        self.sizes = np.array([len(t) for t in self.bytes])
         self.ranked = self._by_rank(spec)
 
     def __reduce__(self):
@@ -92,8 +94,8 @@ class BytePairs:
             return None
         import tiktoken
 
-        names = self.token_bytes()
-        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks={names[i]: i for i in vocab.values()}, special_tokens={})
+        ranks = {self.bytes[i]: i for i in vocab.values()}
+        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def token_bytes(self) -> list[bytes]:
         """What each id stands for. The alphabet of byte-level vocabularies writes printable bytes
@@ -107,16 +109,22 @@ class BytePairs:
             out[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         return out
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each of these texts, none of them long."""
+    def after_blank(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in a new order, the ids of a blank and each of them end to end, and the number of ids per word.
+
+        Common words without white space at their ends are one text, cut again by the bytes of its tokens.
+        """
         if self.ranked is None:
-            return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ranked, odd = self.ranked.encode_ordinary, self.odd.search
-        ids = [() if odd(w) else ranked(w) for w in words]
-        other = [i for i, w in enumerate(words) if w and not ids[i]]
-        for i, e in zip(other, self.tokenizer.encode_batch([words[i] for i in other], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        return ids
+            joined, other = [], words
+        else:
+            odd = self.odd.search
+            rest = {w for w in words if w[0].isspace() or w[-1].isspace() or odd(w)}
+            joined, other = [w for w in words if w not in rest], [w for w in words if w in rest]
+        ids = np.array(self.ranked.encode_ordinary(f" {' '.join(joined)}") if joined else [], np.int64)
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in joined]), side="right")
+        own = [e.ids for e in self.tokenizer.encode_batch([f" {w}" for w in other], add_special_tokens=False)]
+        counts = np.concatenate([np.diff(cuts, prepend=0), [len(x) for x in own]]).astype(np.int64)
+        return joined + other, np.concatenate([ids, *own]).astype(np.int64), counts
 
     def _ids(self, window: str) -> list[int]:
         """The ids of a window; of a mixed one, its runs of common and of other words in turn."""

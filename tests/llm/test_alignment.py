@@ -106,7 +106,7 @@ def test_words_give_the_alignment_of_whole_texts(plain):
     texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(1500)]
     aligner = Aligner(BytePairs.load(A, plain=True), Pieces.load(B))
     for _ in range(2):
-        found = {i: r for i, *r in aligned_rows(aligner, texts, True)}
+        found = {i: r for i, *r in aligned_rows(aligner, texts)}
         for i, text in enumerate(texts):
             groups, links = align_by_hand(plain, text)
             assert (i in found) == bool(groups), text
@@ -121,7 +121,7 @@ def test_long_texts_are_read_in_windows(plain):
     text = "word and  more, " * (WINDOW // 12)
     aligner = Aligner(BytePairs.load(A, plain=True), Pieces.load(B))
     bad = text + "▁"
-    ((i, *found),) = aligned_rows(aligner, [None, text, bad, ""], True)
+    ((i, *found),) = aligned_rows(aligner, [None, text, bad, ""])
     groups, links = align_by_hand(plain, text)
     assert i == 1 and found[5] == written_by_hand(groups) and found[2] == len(groups) and found[4].sum() == len(links)
 

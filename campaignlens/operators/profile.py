@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +12,7 @@ from pyspark.sql import Window as W
 from campaignlens.functions.draws import draw
 from campaignlens.functions.moments import pearson, sample_kurtosis, sample_skewness
 from campaignlens.functions.scalars import indicator, is_missing, number, percent, ratio
+from campaignlens.operators.gram import cross_correlations
 from campaignlens.operators.prep import first_by_draw
 from campaignlens.operators.quantiles import quantile_columns
 from campaignlens.operators.sizing import small_side
@@ -250,7 +249,8 @@ def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def range_mean_median(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Smallest, largest, mean and median per column, and the mean in units of 60."""
+    """Smallest, largest, mean and median per column, and the mean in units of 60; the columns are written once."""
+    df = written(df.select(*dict.fromkeys([*by, *cols])), "range")
     types, by = dict(df.dtypes), list(by)
     row = df.groupBy(*by).agg(
         *[
@@ -308,34 +308,26 @@ def transpose_summary(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame
 PAIRS_PER_PASS = 32  # so many correlations the JVM still compiles as one aggregate
 
 
-def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows ``(f1, f2, r)`` for the given pairs, each over the rows where both are present.
-
-    A pass over the rows aggregates PAIRS_PER_PASS pairs side by side. Where there are
-    more, the needed columns are written once and every pass reads its own.
-    """
+def _few_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows ``(f1, f2, r)`` for the given pairs, each over the rows where both are present, side by side in one aggregate."""
     types = dict(df.dtypes)
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     slim = df.select(*[number(c, types[c]).alias(c) for c in columns])
-    if len(pairs) > PAIRS_PER_PASS:
-        slim = written(slim, "numbers")
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
-        row = slim.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        first, second = (F.array(*[F.lit(p[side]) for p in part]) for side in (0, 1))
-        place = F.substring("pair", 2, 10).cast("int")
-        found = row.unpivot([], row.columns, "pair", "r").select(F.get(first, place).alias("f1"), F.get(second, place).alias("f2"), "r")
-        out = found if out is None else out.union(found)
-    return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double") if out is None else out
+    row = slim.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    first, second = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
+    place = F.substring("pair", 2, 10).cast("int")
+    return row.unpivot([], row.columns, "pair", "r").select(F.get(first, place).alias("f1"), F.get(second, place).alias("f2"), "r")
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every ordered pair, null without spread.
+    """Pearson correlation of every ordered pair, each over the rows where both are present, null without spread.
 
-    For very many columns without missing values use ``correlation_matrix_wide``.
+    The rows are read once at any width: few columns are one aggregate, more one Gram matrix.
     """
-    half = _correlations(df, [(a, a) for a in cols] + list(combinations(cols, 2)))
+    cols = list(cols)
+    if len(cols) * (len(cols) + 1) // 2 > PAIRS_PER_PASS:
+        return cross_correlations(df, cols).select("f1", "f2", "r")
+    half = _few_correlations(df, [(a, a) for a in cols] + list(combinations(cols, 2)))
     mirrored = F.when(F.col("f1") == F.col("f2"), F.array(F.struct("f1", "f2", "r"))).otherwise(
         F.array(F.struct("f1", "f2", "r"), F.struct(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "r"))
     )
@@ -343,16 +335,19 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The same for many columns without missing values, from one vector pass."""
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(df).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, r double")
+    """The same through one Gram matrix whatever the number of columns."""
+    return cross_correlations(df, cols).select("f1", "f2", "r")
 
 
 def high_correlation_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
     """Pairs, each once, whose correlation exceeds the threshold in size."""
-    return _correlations(df, list(combinations(cols, 2))).filter(F.abs("r") > threshold)
+    cols = list(cols)
+    pairs = list(combinations(cols, 2))
+    if 0 < len(pairs) <= PAIRS_PER_PASS:
+        found = _few_correlations(df, pairs)
+    else:
+        found = cross_correlations(df, cols).where("i < j").select("f1", "f2", "r")
+    return found.filter(F.abs("r") > threshold)
 
 
 def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:
@@ -360,8 +355,12 @@ def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int =
 
     ``lowest`` lists the last ones whatever their sign.
     """
-    pairs = [(c, target) for c in cols if c != target]
-    found = _correlations(df, pairs).select(F.col("f1").alias("feature"), "r")
+    others = [c for c in cols if c != target]
+    if 0 < len(others) <= PAIRS_PER_PASS:
+        found = _few_correlations(df, [(c, target) for c in others])
+    else:
+        found = cross_correlations(df, others, [target])
+    found = found.select(F.col("f1").alias("feature"), "r")
     # A row per column; both sides from one run of the rows.
     every = W.partitionBy()
     sides = {"highest": F.col("r").desc_nulls_last(), "lowest": F.col("r").asc_nulls_last()}

@@ -129,6 +129,42 @@ def correlation_matrix_wide(df: DataFrame) -> DataFrame:
     return neat(profile.correlation_matrix_wide(df, NUMERIC), 4)
 
 
+COMPONENTS = 64
+HOLE = "(vec_id + k) % 7 = 0 OR (vec_id * k) % 31 = 5"  # where component k of a row counts as missing
+
+
+def components(df: DataFrame) -> DataFrame:
+    """The embedding's components as columns c0, c1, ... with holes."""
+    hole = lambda k: ((F.col("vec_id") + k) % 7 == 0) | ((F.col("vec_id") * k) % 31 == 5)
+    return df.select(*[F.when(~hole(k), F.get("embedding", F.lit(k)).cast("double")).alias(f"c{k}") for k in range(COMPONENTS)])
+
+
+PRESENT = f"""WITH parts AS (
+  SELECT vec_id, unnest(range({COMPONENTS})) AS k, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings),
+present AS (SELECT vec_id, k, v FROM parts WHERE NOT ({HOLE})),
+pairs AS (
+  SELECT a.k AS i, b.k AS j, corr(a.v, b.v) AS r FROM present a JOIN present b ON a.vec_id = b.vec_id GROUP BY a.k, b.k)
+"""
+
+
+@on_table(
+    "correlation_of_components",
+    "embeddings",
+    PRESENT + "SELECT 'c' || i AS f1, 'c' || j AS f2, round(r, 6) + 0.0 AS r FROM pairs",
+)
+def correlation_of_components(df: DataFrame) -> DataFrame:
+    return neat(profile.correlation_matrix(components(df), [f"c{k}" for k in range(COMPONENTS)]))
+
+
+@on_table(
+    "high_correlation_components",
+    "embeddings",
+    PRESENT + "SELECT 'c' || i AS f1, 'c' || j AS f2, round(r, 6) + 0.0 AS r FROM pairs WHERE i < j AND abs(r) > 0.05",
+)
+def high_correlation_components(df: DataFrame) -> DataFrame:
+    return neat(profile.high_correlation_pairs(components(df), [f"c{k}" for k in range(COMPONENTS)], 0.05))
+
+
 @on_table(
     "high_correlation_pairs",
     "lineitem",

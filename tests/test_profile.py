@@ -122,7 +122,7 @@ DISTRIBUTIONS = {
 
 
 @pytest.mark.parametrize("name", DISTRIBUTIONS)
-@pytest.mark.parametrize("limits", [{}, {"small_table": 0}, {"small_table": 0, "small_group": 0, "accuracy": 50}])
+@pytest.mark.parametrize("limits", [{}, {"cell_rows": 300}, {"cell_rows": 20, "accuracy": 50}])
 def test_quantiles_are_exact(spark, name, limits):
     rng = np.random.default_rng(3)
     n = 5003
@@ -140,20 +140,71 @@ def test_quantiles_are_exact(spark, name, limits):
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
-    for limits in ({}, {"small_table": -1}):
+    for limits in ({}, {"cell_rows": 0}):
         assert Q.quantiles(df, ["x"], [0.5], **limits).count() == 0
 
 
-def test_correlations_of_many_columns_take_several_passes_without_row_explosion(spark):
+@pytest.fixture(scope="module")
+def wide():
     rng = np.random.default_rng(3)
-    pdf = pd.DataFrame(rng.normal(size=(50, 14)), columns=[f"c{i}" for i in range(14)])
-    pdf.loc[::7, "c3"] = None
-    df = spark.createDataFrame(pdf)
-    found = P.correlation_matrix(df, list(pdf.columns))
-    want = pdf.corr()
-    assert all(abs(r["r"] - want.loc[r["f1"], r["f2"]]) < 1e-9 for r in found.collect()) and found.count() == 14 * 14
-    plan = P.high_correlation_pairs(df, list(pdf.columns))._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in plan
+    pdf = pd.DataFrame(rng.normal(size=(300, 70)), columns=[f"c{i}" for i in range(70)])
+    pdf["c1"] += 1e7
+    pdf["c2"] = 1e9 + pdf["c1"]
+    pdf["c4"] = 3.25
+    pdf["c69"] = pdf["c0"] * 2 + 1
+    pdf.iloc[:, 5] = np.where(np.arange(300) < 250, np.nan, pdf.iloc[:, 5])
+    pdf["c6"] = np.nan
+    for k in range(7, 40):
+        pdf.loc[::k, f"c{k}"] = np.nan
+    return pdf
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_correlations_of_many_columns_come_from_one_scan(spark, wide, monkeypatch, parts):
+    from campaignlens.operators import gram
+
+    monkeypatch.setattr(gram, "CELLS", 900)
+    df = spark.createDataFrame(wide.astype(object).where(wide.notna(), None), ", ".join(f"{c} double" for c in wide.columns)).repartition(parts)
+    found = P.correlation_matrix(df, list(wide.columns))
+    want = wide.corr()
+    rows = found.collect()
+    assert len(rows) == 70 * 70
+    for r in rows:
+        expected = want.loc[r["f1"], r["f2"]]
+        if r["f1"] in ("c4", "c6") or r["f2"] in ("c4", "c6"):
+            assert r["r"] is None
+        else:
+            assert abs(r["r"] - expected) < 1e-6, (r, expected)
+    strong = P.high_correlation_pairs(df, list(wide.columns), 0.9).collect()
+    assert sorted((r["f1"], r["f2"]) for r in strong) == [("c0", "c69"), ("c1", "c2")]
+    ends = P.target_correlation(df, list(wide.columns), "c0", 1).where("side = 'highest'").head()
+    assert ends["feature"] == "c69"
+
+
+def test_wide_correlations_read_the_rows_once(spark, tmp_path, wide):
+    spark.createDataFrame(wide).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    plan = P.correlation_matrix(df, list(wide.columns))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Generate" not in plan
+
+
+def test_correlations_of_nothing(spark):
+    df = spark.createDataFrame([], ", ".join(f"c{i} double" for i in range(12)))
+    found = P.correlation_matrix(df, df.columns)
+    assert found.count() == 144 and found.where("r IS NOT NULL").count() == 0
+    assert P.high_correlation_pairs(df, ["c0"]).count() == 0
+
+
+def test_cells_of_a_large_group_stay_small(spark):
+    n, bound = 1_000_000, 500
+    df = spark.range(n).select((F.xxhash64("id") / F.lit(2.0**40)).alias("x"), F.when(F.col("id") < 100, "few").alias("g"))
+    probs = [0.25, 0.5, 0.75]
+    cells = Q.selected(df, ["x"], probs, ["g"], bound, 10_000, 30.0)
+    sizes = [(r["g"], r["count"]) for r in cells.groupBy("g", "i", "base").count().collect()]
+    assert max(k for _, k in sizes) <= bound and len(sizes) <= 2 * 2 * len(probs)
+    values = df.where("g IS NULL").toPandas()["x"]
+    got = {r["prob"]: r["value"] for r in Q.quantiles(df, ["x"], probs, ["g"], bound, margin=30.0).where("g IS NULL").collect()}
+    assert [got[p] for p in probs] == pytest.approx(values.quantile(probs).tolist(), rel=1e-12)
 
 
 def test_missed_brackets_are_widened(spark):
@@ -163,6 +214,6 @@ def test_missed_brackets_are_widened(spark):
     values = rng.normal(size=3000).round(3)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     probs = [0.01, 0.25, 0.5, 0.77, 0.99]
-    found = quantiles(df, ["v"], probs, small_table=0, small_group=0, accuracy=10, margin=0.0)
+    found = quantiles(df, ["v"], probs, cell_rows=0, accuracy=10, margin=0.0)
     got = {r["prob"]: r["value"] for r in found.collect()}
     assert all(abs(got[p] - np.quantile(values, p)) < 1e-9 for p in probs)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from campaignlens.functions.scalars import ratio
+from campaignlens.operators.prep import within_draw
 from campaignlens.operators.running import running
 from campaignlens.session import written
 
@@ -82,3 +85,47 @@ def top_share(scored: DataFrame, score: str, key: str, share: float, seed: int =
     rows = slim.agg(F.count(score)).scalar()
     ranked = running(slim, score, {}, descending=True, key=key, seed=seed)
     return ranked.filter(F.col("position") <= F.ceil(rows * F.lit(share))).select(key, score, "position")
+
+
+MARKS = 64  # thresholds tried in one round
+
+
+def kth_largest(values: DataFrame, c: str, k: int) -> float | None:
+    """The largest value that at least ``k`` rows reach, None if there are fewer rows.
+
+    Every round counts the rows from each of MARKS sketched values of the open interval up,
+    and goes on between the two that enclose rank k. Counts are exact and merge by adding.
+    """
+    v, low, high = F.col(c), None, None
+    while True:
+        inside = F.lit(True) if low is None else v >= F.lit(low)
+        inside = inside if high is None else inside & (v < F.lit(high))
+        marks = values.agg(F.percentile_approx(F.when(inside, v), [i / MARKS for i in range(MARKS + 1)], 10_000)).first()[0]
+        marks = sorted(set(marks or ()))
+        if not marks:
+            return None
+        if marks == [low]:
+            return low
+        counts = values.agg(*[F.count_if(v >= F.lit(m)).alias(f"n{i}") for i, m in enumerate(marks)]).first()
+        reached = [m for m, n in zip(marks, counts, strict=True) if n >= k]
+        missed = [m for m, n in zip(marks, counts, strict=True) if n < k]
+        if not reached:
+            return None
+        low, high = reached[-1], min(missed, default=high)
+
+
+def choose_share(scored: DataFrame, score: str, key: str, share: float, seed: int = 0) -> DataFrame:
+    """The rows of :func:`top_share` without their positions, by a threshold instead of ranks.
+
+    The score of the last row wanted is found by counting. The table is then only filtered;
+    among rows of just that score, the draw of their key decides. Rows without a score stay out.
+    """
+    slim = written(scored.select(key, F.col(score).cast("double").alias(score)).where(F.col(score).isNotNull()), "scores")
+    rows = slim.count()
+    wanted = min(rows, max(0, math.ceil(rows * share)))
+    if not wanted:
+        return slim.limit(0)
+    mark = F.lit(kth_largest(slim, score, wanted))
+    above = slim.where(F.col(score) > mark).count()
+    _, first = within_draw(slim.where(F.col(score) == mark), lambda classes: F.lit(wanted - above), key, seed)
+    return slim.where((F.col(score) > mark) | ((F.col(score) == mark) & first))

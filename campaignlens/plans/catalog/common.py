@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from campaignlens.plans.contacts import contacts
+from campaignlens.session import written
 from campaignlens.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,16 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds ``pos``, where each row stands in the frame as it comes out: from 1, part after part."""
+    rows = written(df.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id()}), "placed")
+    # One row per part of the frame.
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    starts = starts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, "part").select(*df.columns, (F.col("nth") - F.col("first") + F.col("start") + 1).alias("pos"))
+
+
 def with_score(df: DataFrame) -> DataFrame:
     """A fixed score from the balance, with ties, and the matching 0/1 columns."""
     score = F.round((F.col("balance") + 1000) / 11000, 3)

@@ -66,7 +66,7 @@ def split_embeddings(spark: SparkSession, directory: str) -> tuple[DataFrame, Da
 @query("nearest_neighbours", KNN + "SELECT vec_id, neighbour, round(distance, 6) AS distance, r AS place FROM best")
 def nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     train, test = split_embeddings(spark, directory)
-    found = neighbors.nearest(train, test, 5, "vec_id", "embedding", pivots=8, block=64)
+    found = neighbors.nearest(train, test, 5, "vec_id", "embedding")
     return neat(found.select(F.col("query").alias("vec_id"), "neighbour", "distance", F.col("rank").alias("place")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from campaignlens.operators import ranking
 from campaignlens.operators.history import with_history
-from campaignlens.plans.catalog.common import neat, on_contacts, on_scored, on_table, query
+from campaignlens.plans.catalog.common import neat, on_contacts, on_scored, on_table, placed, query
 from campaignlens.sources.readers import read_table
 
 REVENUE = """WITH parts AS (SELECT l_partkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_partkey),
@@ -64,14 +64,24 @@ def top_share(df: DataFrame) -> DataFrame:
     return neat(ranking.top_share(df, "score", "id", 0.3).withColumnRenamed("position", "pos"))
 
 
-@on_contacts("sort_by_measure", "id balance", "SELECT id, balance FROM contacts ORDER BY balance DESC, id")
+@on_scored(
+    "choose_share",
+    """SELECT id, score FROM (
+    SELECT id, score, row_number() OVER (ORDER BY score DESC, md5('0:' || id)) AS pos, count(*) OVER () AS n FROM scored)
+  WHERE pos <= ceil(n * 0.3)""",
+)
+def choose_share(df: DataFrame) -> DataFrame:
+    return ranking.choose_share(df, "score", "id", 0.3)
+
+
+@on_contacts("sort_by_measure", "id balance", "SELECT id, balance, row_number() OVER (ORDER BY balance DESC, id) AS pos FROM contacts")
 def sort_by_measure(df: DataFrame) -> DataFrame:
-    return ranking.sort_by(df, "balance", "id")
+    return placed(ranking.sort_by(df, "balance", "id"))
 
 
-@on_contacts("sort_by_size", "id balance", "SELECT id, balance FROM contacts ORDER BY abs(balance) DESC, id")
+@on_contacts("sort_by_size", "id balance", "SELECT id, balance, row_number() OVER (ORDER BY abs(balance) DESC, id) AS pos FROM contacts")
 def sort_by_size(df: DataFrame) -> DataFrame:
-    return ranking.sort_by_size(df, "balance", "id")
+    return placed(ranking.sort_by_size(df, "balance", "id"))
 
 
 @on_contacts("top_rows", "id duration", "SELECT id, duration FROM contacts ORDER BY duration DESC, id LIMIT 15")

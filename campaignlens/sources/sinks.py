@@ -28,12 +28,13 @@ def run_rows(
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """Append runs to the experiment log."""
-    runs.write.mode("append").partitionBy("experiment").parquet(path)
+    """Adds runs to the experiment log, one file per run; a run that is written again replaces itself."""
+    placed = runs.repartition("experiment", "run_id")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment", "run_id").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, experiment: str | None = None) -> DataFrame:
-    runs = spark.read.schema(RUN_SCHEMA).parquet(path)
+    runs = spark.read.schema(RUN_SCHEMA).parquet(path).select(*[f.split()[0] for f in RUN_SCHEMA.split(", ")])
     return runs if experiment is None else runs.filter(F.col("experiment") == experiment)
 
 

@@ -125,3 +125,21 @@ def test_history_of_very_many_rows_without_a_client(spark):
     assert {r[0] for r in hot_keys(df, "c", 90).collect()} == {None, 7}
     whole, sliced = (with_history(df, "c", "t", "id", "o", hot_rows=n).collect() for n in (10**6, 90))
     assert sorted(map(repr, whole)) == sorted(map(repr, sliced))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.3, 0.999, 1.0])
+def test_share_by_threshold_takes_the_rows_of_the_ranks(spark, share):
+    rows = [(i, [0.5, 0.5, 0.5, float(i % 11), -float(i), None][i % 6]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    chosen = ranking.choose_share(df, "x", "id", share)
+    ranked = ranking.top_share(df.where("x IS NOT NULL"), "x", "id", share)
+    assert sorted(map(tuple, chosen.collect())) == sorted((r["id"], r["x"]) for r in ranked.collect())
+    assert "Window" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kth_largest(spark):
+    values = [float(v) for v in [3, 3, 3, 1, 2, 9, 9, -5, 0, 0] + list(range(100, 900))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (1, 2, 400, 801, 803, 806, 810):
+        assert ranking.kth_largest(df, "x", k) == sorted(values, reverse=True)[k - 1]
+    assert ranking.kth_largest(df, "x", 811) is None and ranking.kth_largest(df.limit(0), "x", 1) is None

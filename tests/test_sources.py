@@ -6,6 +6,7 @@ from campaignlens.operators import rates
 from campaignlens.plans.contacts import contacts
 from campaignlens.schema import AGE_EDGES, AGE_LABELS, CONTACT
 from campaignlens.session import shared_dir, written
+from campaignlens.sources import sinks
 from campaignlens.sources.readers import read_contacts
 from campaignlens.streaming.monitor import response_by_window, stream_table, write_windows
 
@@ -75,3 +76,14 @@ def test_windows_do_not_depend_on_the_session_zone(spark):
         assert sorted(response_by_window(events, "ts", hit).collect()) == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_a_run_written_twice_is_one_run(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    for metric in (0.5, 0.75):
+        for run in ("1", "b"):
+            sinks.write_runs(sinks.run_rows(spark, "x", f"name {run}", {"a": 1}, {"f1": metric}, run_id=run), path)
+    sinks.write_runs(sinks.run_rows(spark, "y", "other", {}, {"f1": 0.1}, run_id="1"), path)
+    found = sinks.run_table(sinks.read_runs(spark, path), ["f1"])
+    assert sorted(map(tuple, found.collect())) == [("x", "1", "name 1", 0.75), ("x", "b", "name b", 0.75), ("y", "1", "other", 0.1)]
+    assert len(list((tmp_path / "runs").rglob("*.parquet"))) == 3

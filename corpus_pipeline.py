@@ -52,30 +52,41 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs, words=3, max_bits=2)
 
 
+def _mixed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with their block's slot and their place in it, and the names of these columns."""
+    slot, place = (free_name(docs, c) for c in ("mix_slot", "mix_place"))
+    return mix_sources(docs, TARGET_WEIGHTS, REST_WEIGHT, BLOCK_DOCS, SEED), slot, place
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: its files, read in the order of their names, are the mix.
 
     Every prefix up to the end of the first source is within a block of the target weights.
     """
-    slot, place = (free_name(docs, c) for c in ("mix_slot", "mix_place"))
-    mixed = mix_sources(docs, TARGET_WEIGHTS, REST_WEIGHT, BLOCK_DOCS, SEED)
+    mixed, slot, place = _mixed(docs)
     return mixed.orderBy(slot, place).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ``ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to the text.
+    """doc_id, source, ``ids``, ``n_tokens``, ``round_trip`` (whether the ids decode to the text), ``mix_slot`` and ``mix_place``.
 
-    A null text has null ids and no tokens.
+    A null text has null ids and no tokens. Documents have no column for the mix, and files
+    are not read in the order of their names, so slot and place are worked out again from the
+    same documents. Rows come sorted by them: the files in the order of their names are the mix.
     """
     model = PieceModel.load(model_path(spark))
-    both = decode_ids(encode_texts(docs.select("doc_id", "source", "text"), model), model)
+    mixed, slot, place = _mixed(docs)
+    slim = mixed.select("doc_id", "source", "text", F.col(slot).alias("mix_slot"), F.col(place).alias("mix_place"))
+    both = decode_ids(encode_texts(slim, model), model)
     return both.select(
         "doc_id",
         "source",
         "ids",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
-    )
+        "mix_slot",
+        "mix_place",
+    ).orderBy("mix_slot", "mix_place")
 
 
 STAGES = [

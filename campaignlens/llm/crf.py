@@ -7,6 +7,8 @@ together, and forward-backward gives every word's label probabilities given the
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -16,6 +18,7 @@ BUCKETS = 1 << 15
 RUN = 64  # letters of a word of a chain; a longer word is cut into runs that are words of their own
 BLOCK = 1 << 13  # words whose features are held at a time
 CACHE = 200_000
+_SPACE = re.compile(r"\s")
 _P = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
@@ -74,53 +77,103 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64), starts
 
 
-def passes(evidence: np.ndarray, starts: np.ndarray, jump: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _steps(evidence: np.ndarray, starts: np.ndarray, jump: np.ndarray, begin: np.ndarray):
+    """The words in runs of equal length that advance together, a run's words along the first axis.
+
+    Gives the weights of labels (place, label, run), which words begin a chain (place, run),
+    and the transitions. Places beyond the last word change nothing.
+    """
+    n, k = evidence.shape
+    run = max(1, int(np.sqrt(n)))
+    runs = -(-n // run)
+    step = np.ones((runs * run, k))
+    step[:n] = np.exp(evidence - evidence.max(axis=1, keepdims=True))
+    first = np.zeros(runs * run, bool)
+    first[starts] = True
+    step = np.ascontiguousarray(step.reshape(runs, run, k).transpose(1, 2, 0))
+    return step, first.reshape(runs, run).T, np.exp(jump - jump.max()), np.exp(begin - begin.max()), n
+
+
+def _ahead(x: np.ndarray, step: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Row vectors (..., label, run) moved over one word of each run."""
+    moved = np.einsum("...ir,ij->...jr", x, move)
+    if first.any():
+        moved = np.where(first, x.sum(axis=-2, keepdims=True) * start[:, None], moved)
+    return moved * step
+
+
+def _product(steps) -> np.ndarray:
+    """The product of each run's moves, (from, to, run), up to a factor."""
+    step, first, move, start, n = steps
+    k, runs = step.shape[1:]
+    whole = np.repeat(np.eye(k)[:, :, None], runs, axis=2)
+    for t in range(len(step)):
+        there = np.arange(runs) * len(step) + t < n
+        after = _ahead(whole, step[t], first[t], move, start)
+        after /= after.sum(axis=(0, 1))
+        whole = after if there.all() else np.where(there, after, whole)
+    return whole
+
+
+def chain_product(evidence: np.ndarray, starts: np.ndarray, jump: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The product of all moves of a block of words, labels x labels, up to a factor."""
+    whole = _product(_steps(evidence, starts, jump, begin))
+    out = np.eye(evidence.shape[1])
+    for r in range(whole.shape[2]):
+        out = out @ whole[:, :, r]
+        out /= out.sum()
+    return out
+
+
+def passes(
+    evidence: np.ndarray,
+    starts: np.ndarray,
+    jump: np.ndarray,
+    begin: np.ndarray,
+    entry: np.ndarray | None = None,
+    leave: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """Forward (a word and all before it) and backward (all after it) weights, each row in proportion.
 
     ``evidence`` (words x labels) are log weights, ``starts`` the first word of each chain,
-    ``jump`` and ``begin`` log weights of transitions and of a chain's first label. All
-    chains are one sequence of matrices (a chain's first forgets what came before), cut into
+    ``jump`` and ``begin`` log weights of transitions and of a chain's first label; ``entry``
+    and ``leave`` are the weights before the first and after the last word of a block. All
+    chains are one sequence of moves (a chain's first forgets what came before), cut into
     runs of equal length that advance together: products per run, then their ends in turn,
-    then every word. The result is exact whatever the lengths of the chains.
+    then every word. The result is exact whatever the lengths of the chains; matrices are
+    held per run only.
     """
     n, k = evidence.shape
     if not n:
         return np.zeros((0, k)), np.zeros((0, k))
-    run = max(1, int(np.sqrt(n)))
-    runs = -(-n // run)
-    step = np.exp(evidence - evidence.max(axis=1, keepdims=True))
-    moves = np.broadcast_to(np.exp(jump - jump.max()), (n, k, k)).copy()
-    moves[starts] = np.exp(begin - begin.max())
-    moves *= step[:, None, :]
-    matrix = np.broadcast_to(np.eye(k), (runs * run, k, k)).copy()
-    matrix[:n] = moves
-    # (place in the run, from, to, run): the runs are the contiguous axis that advances together.
-    matrix = np.ascontiguousarray(matrix.reshape(runs, run, k, k).transpose(1, 2, 3, 0))
-
-    whole = matrix[0]
-    for t in range(1, run):
-        whole = sum(whole[:, i, None] * matrix[t, i] for i in range(k))
-        whole /= whole.sum(axis=(0, 1))
-    entry, leave = np.empty((k, runs)), np.empty((k, runs))
-    a, b = np.full(k, 1 / k), np.full(k, 1 / k)
+    steps = _steps(evidence, starts, jump, begin)
+    step, first, move, start, _ = steps
+    run, _, runs = step.shape
+    whole = _product(steps)
+    entries, leaves = np.empty((k, runs)), np.empty((k, runs))
+    a = np.full(k, 1 / k) if entry is None else entry
+    b = np.full(k, 1 / k) if leave is None else leave
     for r in range(runs):
-        entry[:, r] = a
+        entries[:, r] = a
         a = a @ whole[:, :, r]
         a /= a.sum()
     for r in range(runs - 1, -1, -1):
-        leave[:, r] = b
+        leaves[:, r] = b
         b = whole[:, :, r] @ b
         b /= b.sum()
     ahead, back = np.empty((run, k, runs)), np.empty((run, k, runs))
-    a, b = entry, leave
+    a, b = entries, leaves
     for t in range(run):
-        a = (a[:, None] * matrix[t]).sum(axis=0)
+        a = _ahead(a, step[t], first[t], move, start)
         a /= a.sum(axis=0)
         ahead[t] = a
     for t in range(run - 1, -1, -1):
+        there = np.arange(runs) * run + t < n
         back[t] = b
-        b = (matrix[t] * b).sum(axis=1)
-        b /= b.sum(axis=0)
+        weighed = step[t] * b
+        before = np.where(first[t], (start[:, None] * weighed).sum(axis=0), move @ weighed)
+        before /= before.sum(axis=0)
+        b = np.where(there, before, b)
     ahead, back = (x.transpose(2, 0, 1) for x in (ahead, back))
     return ahead.reshape(-1, k)[:n], back.reshape(-1, k)[:n]
 
@@ -151,12 +204,18 @@ class Tagger:
     def __getstate__(self):
         return {**self.__dict__, "cache": {}, "table": np.empty((0, len(self.labels) + 1))}
 
+    @property
+    def window(self) -> int:
+        """Characters of text worked at a time: fewer with more labels."""
+        return max(1 << 12, (1 << 22) // max(4, len(self.labels)))
+
     def lexicon_rows(self, words: list[str]) -> np.ndarray:
         return np.array([BUCKETS + self.lexicon.get(w, len(self.labels)) for w in words], np.int64)
 
     def evidence(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log weights per word, zeros for words without letters; which words have letters."""
-        if len(self.cache) > CACHE:
+        room = CACHE * 4 // max(4, len(self.labels))
+        if len(self.cache) > room:
             self.cache.clear()
         known = self.cache
         place = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
@@ -172,7 +231,7 @@ class Tagger:
             first = len(known)
             known.update(zip(new, range(first, first + len(new)), strict=True))
             if len(known) > len(self.table):
-                self.table = np.concatenate([self.table[:first], np.empty((len(known) + CACHE // 4, len(self.labels) + 1))])
+                self.table = np.concatenate([self.table[:first], np.empty((len(known) + room // 4, len(self.labels) + 1))])
             self.table[first : len(known), :-1] = total
             self.table[first : len(known), -1] = lettered
             place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -191,6 +250,46 @@ class Tagger:
             (ws, lettered[e - n : e], found[e - n : e]) for ws, e, n in zip(split, ends.tolist(), sizes.tolist(), strict=True)
         ]
 
+    def tag_windows(self, text: str) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """The same of one long text, window by window.
+
+        A first sweep keeps the product of each window's moves, which gives the weights at
+        its ends; a second one works the words out.
+        """
+        k, products, begun = len(self.labels), [], False
+        for window in text_windows(text, self.window):
+            words = cut(window.split())
+            evidence, _ = self.evidence(words)
+            products.append(chain_product(evidence, np.array([0][: not begun], np.int64), self.jump, self.begin) if words else np.eye(k))
+            begun = begun or bool(words)
+        leaves = [np.full(k, 1 / k)]
+        for product in products[:0:-1]:
+            b = product @ leaves[-1]
+            leaves.append(b / b.sum())
+        entry, begun = np.full(k, 1 / k), False
+        for window, product, leave in zip(text_windows(text, self.window), products, leaves[::-1], strict=True):
+            words = cut(window.split())
+            evidence, lettered = self.evidence(words)
+            starts = np.array([0][: bool(words) and not begun], np.int64)
+            ahead, back = passes(evidence, starts, self.jump, self.begin, entry, leave)
+            both = ahead * back
+            yield words, lettered, both / both.sum(axis=1, keepdims=True)
+            entry = entry @ product
+            entry /= entry.sum()
+            begun = begun or bool(words)
+
+
+def text_windows(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that end at white space; a longer word stays whole."""
+    start = 0
+    while len(text) - start > size:
+        found = _SPACE.search(text, start + size)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.end()
+    yield text[start:]
+
 
 def train(
     chains: list[list[str]],

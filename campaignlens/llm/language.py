@@ -27,8 +27,8 @@ def _spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         split = (cut(_BLANKS.split(t.strip(BLANKS))) for t in batch.column("text").to_pylist())
         spans = [[words[at : at + SPAN_WORDS] for at in (j * len(words) // SPANS for j in range(SPANS))] for words in split]
-        arrays = [batch.column("lang"), batch.column("draw"), pa.array(spans, pa.list_(pa.list_(pa.string())))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "draw", "spans"])
+        arrays = [batch.column("lang"), batch.column("pair"), pa.array(spans, pa.list_(pa.list_(pa.string())))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "pair", "spans"])
 
 
 def lexicons(docs: DataFrame, lang_col: str, text_col: str, size: int = LEXICON_WORDS) -> DataFrame:
@@ -53,23 +53,27 @@ def fit_language(
     """A tagger learned from documents with a language; ``learn`` restricts them.
 
     Lexicons count every word of every such document. The weights are fitted on a bounded
-    sample: about ``max_docs`` documents of each language by the md5 of their id, and of
-    each text, however long, SPANS spans of SPAN_WORDS words at equal distances, where a word
+    sample: about ``max_docs`` documents of each language by the hash of id and text, of which
+    equal pairs are one document and ids may be null, and of each text, however long, SPANS spans of SPAN_WORDS words at equal distances, where a word
     of more than RUN letters counts as runs of at most so many. Spans of different languages
     are joined at random, so that transitions are learned from switches.
     The driver holds the spans and at most LEXICON_WORDS words per language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn if learn is not None else F.lit(True)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    # Equal rows are one example; a narrow count, merged before it is shuffled.
+    pair = F.xxhash64(F.col(id_col), F.col(text_col))
+    pairs = known.select(F.col(lang_col).alias("lang"), pair.alias("pair")).distinct()
+    counts = {r["lang"]: r["n"] for r in pairs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     if not labels:
         return Tagger([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0))
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    draw = F.shiftrightunsigned(pair, 32)
     limit = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, max_docs / n) * (1 << 32)))) for lang, n in counts.items()])
     drawn = (
         known.where(draw < limit)
-        .select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).cast("string").alias("text"))
-        .mapInArrow(_spans, f"lang {known.select(lang_col).dtypes[0][1]}, draw long, spans array<array<string>>")
+        .select(F.col(lang_col).alias("lang"), pair.alias("pair"), F.col(text_col).cast("string").alias("text"))
+        .mapInArrow(_spans, f"lang {known.select(lang_col).dtypes[0][1]}, pair long, spans array<array<string>>")
+        .dropDuplicates(["lang", "pair"])
         .toArrow()
         .to_pylist()
     )
@@ -79,7 +83,7 @@ def fit_language(
     for r in sorted(lexicons(known, lang_col, text_col).collect(), key=lambda r: (len(r["word"]) > RUN, r["word"])):
         for word in in_runs(r["word"]) if len(r["word"]) > RUN else [r["word"]]:
             lexicon.setdefault(word, place[r["lang"]])
-    drawn.sort(key=lambda r: (r["lang"], r["draw"], r["spans"]))
+    drawn.sort(key=lambda r: (r["lang"], r["pair"]))
     pieces = [(place[r["lang"]], span) for r in drawn for span in r["spans"] if any(span)]
     order = np.random.default_rng(seed).permutation(len(pieces))
     chains = [[w for o in order[i : i + 4] for w in pieces[o][1]] for i in range(0, len(order), 4)]
@@ -87,6 +91,16 @@ def fit_language(
     return train(chains, targets, labels, lexicon)
 
 
+def _summed(tagger: Tagger, words: list[str], lettered: np.ndarray, chances: np.ndarray, tagged: bool) -> tuple:
+    likely = chances.argmax(axis=1) if len(words) else np.zeros(0, np.int64)
+    tags = [tagger.labels[i] for i in likely] if tagged else None
+    if not lettered.any():
+        return UNKNOWN, 0.0, 0, tags
+    mean = chances[lettered].mean(axis=0)
+    best = int(mean.argmax())
+    return tagger.labels[best], min(1.0, float(mean[best])), int((np.diff(likely[lettered]) != 0).sum()), tags
+
+
 def predict_language(docs: DataFrame, tagger: Tagger, text_col: str = "text", labels_col: str | None = None, keep_text: bool = True) -> DataFrame:
     """The table (without its text if not ``keep_text``) with ``lang_pred``, ``score`` and ``n_switches`` added (underscores added to taken names).
 
@@ -95,7 +109,8 @@ def predict_language(docs: DataFrame, tagger: Tagger, text_col: str = "text", la
     ``n_switches`` counts changes of the likeliest label from one such word to the next.
     With ``labels_col`` the words' likeliest labels are added too, as an array. A word of
     more than RUN letters, as of a text without blanks, counts as several words, the runs
-    of at most RUN letters that it is cut into.
+    of at most RUN letters that it is cut into. Long texts are worked in windows, exactly, so
+    that memory does not grow with the text, and windows are the smaller the more labels.
 
     A null text, a text without letters, and any text when nothing was learned are ``und``
     with score 0. Ties go to the first language in alphabetical order. Repeated rows are
@@ -108,22 +123,33 @@ def predict_language(docs: DataFrame, tagger: Tagger, text_col: str = "text", la
         extra.append(T.StructField(free_name(docs, labels_col), T.ArrayType(T.StringType())))
     schema = T.StructType([*[docs.schema[c] for c in rest], *extra])
 
-    def one(words: list[str], lettered: np.ndarray, chances: np.ndarray) -> tuple:
-        likely = chances.argmax(axis=1) if len(words) else np.zeros(0, np.int64)
-        tags = [tagger.labels[i] for i in likely] if labels_col else None
-        if not lettered.any():
+    def one(text: str) -> tuple:
+        """Sums over the windows of a text."""
+        sums, n, changes, last, tags = np.zeros(len(tagger.labels)), 0, 0, -1, []
+        for words, lettered, chances in tagger.tag_windows(text):
+            likely = chances.argmax(axis=1) if len(words) else np.zeros(0, np.int64)
+            if labels_col:
+                tags += [tagger.labels[i] for i in likely]
+            if lettered.any():
+                sums += chances[lettered].sum(axis=0)
+                n += int(lettered.sum())
+                seen = likely[lettered]
+                changes += int((np.diff(seen) != 0).sum()) + int(0 <= last != seen[0])
+                last = int(seen[-1])
+        if not n:
             return UNKNOWN, 0.0, 0, tags
-        mean = chances[lettered].mean(axis=0)
-        best = int(mean.argmax())
-        return tagger.labels[best], min(1.0, float(mean[best])), int((np.diff(likely[lettered]) != 0).sum()), tags
+        best = int(sums.argmax())
+        return tagger.labels[best], min(1.0, float(sums[best] / n)), changes, tags
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, tagger.window):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            if tagger.labels:
-                rows = [one(*found) for found in tagger.tag(texts)]
-            else:
+            if not tagger.labels:
                 rows = [(UNKNOWN, 0.0, 0, [None] * len(cut(t.split()))) for t in texts]
+            elif len(texts) == 1 and len(texts[0]) > tagger.window:
+                rows = [one(texts[0])]
+            else:
+                rows = [_summed(tagger, *found, bool(labels_col)) for found in tagger.tag(texts)]
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64())]
             if labels_col:

@@ -230,3 +230,85 @@ def test_quality_query_on_held_out_documents(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.98
     assert np.mean([a > b for a in good for b in junk]) > 0.95
     assert spark.range(1).select(fold("id", 5)).first()[0] == __import__("zlib").crc32(b"0") % 5
+
+
+def test_windows_give_the_chances_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(5)
+    labels = [f"l{i}" for i in range(7)]
+    tagger = crf.Tagger(labels, rng.normal(size=(crf.BUCKETS + 8, 7)) / 3, rng.normal(size=(7, 7)), rng.normal(size=7))
+    words = ["the", "chat", "12", "und", "x" * 300, "né", "a|b"]
+    for size in (0, 1, 2, 300, 3000):
+        text = "  ".join(random.Random(size).choices(words, k=size)) + "  "
+        ((split, lettered, chances),) = tagger.tag([text])
+        for window in (1, 50, 1000, 1 << 20):
+            monkeypatch.setattr(crf.Tagger, "window", window)
+            parts = list(tagger.tag_windows(text))
+            assert [w for p in parts for w in p[0]] == split
+            if size:
+                assert np.allclose(np.concatenate([p[2] for p in parts]), chances)
+                assert np.concatenate([p[1] for p in parts]).tolist() == lettered.tolist()
+
+
+def plain_prediction(tagger, text):
+    """Word by word, matrices written out: language, score, changes."""
+    words = [r for w in (text or "").split() for r in (crf.in_runs(w) if len(w) > crf.RUN else [w])]
+    k = len(tagger.labels)
+    bare = [crf.letters(w) for w in words]
+    if not any(bare):
+        return "und", 0.0, 0
+    rows = []
+    for b in bare:
+        own = np.zeros(k)
+        if b:
+            own += tagger.weights[crf.features([b])[0]].sum(axis=0) + tagger.weights[crf.BUCKETS + tagger.lexicon.get(b, k)]
+        rows.append(own)
+    ahead = [tagger.begin + rows[0]]
+    for row in rows[1:]:
+        ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + tagger.jump, axis=0) + row)
+    back = [np.zeros(k)]
+    for row in rows[:0:-1]:
+        back.append(np.logaddexp.reduce(tagger.jump + (row + back[-1])[None, :], axis=1))
+    chances = [np.exp(a + b - np.logaddexp.reduce(a + b)) for a, b in zip(ahead, back[::-1], strict=True)]
+    chances = np.array([c for c, b in zip(chances, bare, strict=True) if b])
+    mean = chances.mean(axis=0)
+    likely = chances.argmax(axis=1).tolist()
+    return tagger.labels[int(mean.argmax())], float(mean.max()), sum(a != b for a, b in zip(likely, likely[1:], strict=False))
+
+
+def test_language_query_against_a_plain_prediction(spark):
+    directory = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text", "lang")
+    tagger = fit_language(docs, learn=F.coalesce(fold("doc_id", 4) != 2, F.lit(True)))
+    found = {r.doc_id: r for r in learned_queries.op4_language_id(spark, directory).collect()}
+    rows = docs.collect()
+    assert set(found) == {r.doc_id for r in rows}
+    for r in rows:
+        lang, score, changes = plain_prediction(tagger, r.text)
+        own = found[r.doc_id]
+        assert own.lang_pred == lang and abs(own.score - score) < 1e-9 and own.n_switches == changes
+
+
+def test_the_language_sample_is_bounded_by_pairs_of_id_and_text(spark, monkeypatch):
+    from campaignlens.llm import language
+
+    seen = []
+    monkeypatch.setattr(language, "train", lambda chains, targets, *rest: seen.append((chains, targets)) or crf.train(chains, targets, *rest, rounds=2))
+    rows = [(7, "un chat noir dort ici", "fr")] * 3000 + [(None, f"the cat {i} sleeps", "en") for i in range(3000)]
+    fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=50)
+    (chains, targets), *_ = seen
+    spans = [y for t in targets for y in t]
+    assert {0, 1} == set(spans) and len([1 for t in targets for _ in t]) < 50 * 6 * 10 * 3
+
+
+def test_many_labels_and_long_texts_stay_small():
+    import tracemalloc
+
+    labels = [f"l{i:02d}" for i in range(60)]
+    rng = np.random.default_rng(1)
+    tagger = crf.Tagger(labels, rng.normal(size=(crf.BUCKETS + 61, 60)) / 9, rng.normal(size=(60, 60)), rng.normal(size=60))
+    text = "the quick brown fox " * 60_000
+    tracemalloc.start()
+    total = sum(len(words) for words, _, _ in tagger.tag_windows(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 240_000 and peak < 200 << 20

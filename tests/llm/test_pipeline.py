@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from test_dedup import lines_by_hand, roots_by_hand, simhash_by_hand
 
@@ -151,3 +152,30 @@ def test_run_against_brute_force(spark):
     for k, t in expected.items():
         assert found[k].ids == model.encode([t])[0].tolist() and found[k].round_trip
     assert "pipeline" not in QUERIES and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+
+def test_final_files_are_in_the_order_of_the_mix(spark, tmp_path):
+    """Many files of unequal size, which readers pack anew: each row is at its place of the mix."""
+    rng = random.Random(4)
+    docs = [(i, "word " * rng.choice([1, 5, 400]), "en", rng.choice(["src0"] * 6 + ["src1", "src4", None]), 1, "x", 1) for i in range(900)]
+    spark.createDataFrame(docs, SCHEMA).repartition(12).write.parquet(str(tmp_path / "docs"))
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(held, ("12", "false", "3000", "100"), strict=True):
+            spark.conf.set(c, v)
+        table = spark.read.parquet(str(tmp_path / "docs"))
+        for name in ("source mixing", "SentencePiece"):
+            STAGES[name](spark, table, DIRECTORY).write.parquet(str(tmp_path / name))
+            table = spark.read.parquet(str(tmp_path / name))
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+    def in_files(name):
+        files = sorted((tmp_path / name).glob("part-*.parquet"))
+        assert len(files) >= 10
+        return [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
+
+    ids = in_files("SentencePiece")
+    assert ids == in_files("source mixing") and sorted(ids) == list(range(900))
+    assert [r.doc_id for r in table.orderBy("mix_slot", "mix_place").collect()] == ids

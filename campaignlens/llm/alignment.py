@@ -80,6 +80,21 @@ class Aligned:
     groups: list[str]
 
 
+class Grown:
+    """An array that rows are added to; only its first ``size`` rows are used."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.size = rows, len(rows)
+
+    def add(self, new: np.ndarray) -> None:
+        if self.size + len(new) > len(self.rows):
+            room = np.empty((max(self.size, len(new)), *self.rows.shape[1:]), self.rows.dtype)
+            self.rows = np.concatenate([self.rows[: self.size], new, room])
+        else:
+            self.rows[self.size : self.size + len(new)] = new
+        self.size += len(new)
+
+
 class Aligner:
     """Aligns texts by words; ``a`` encodes a blank and the word, ``b`` the word to the same bytes."""
 
@@ -98,10 +113,10 @@ class Aligner:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.shape = np.empty((0, 4), np.int64)  # n_a, n_b, n_groups, same
+        self.shape = Grown(np.empty((0, 4), np.int64))  # n_a, n_b, n_groups, same
         self.groups: list[str] = []
-        self.flat = np.empty(0, np.int64)
-        self.first = np.zeros(1, np.int64)
+        self.flat = Grown(np.empty(0, np.int64))
+        self.first = Grown(np.zeros(1, np.int64))
 
     @property
     def width(self) -> int:
@@ -123,7 +138,9 @@ class Aligner:
         n_b = np.fromiter(map(len, ids_b), np.int64, len(words))
         b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
         data = [f" {w}".encode() for w in words]
-        same = self._same(a, n_a, data, self.a_bytes, self.a_sizes) & self._same(b, n_b, data, self.b_bytes, self.b_sizes)
+        same = self._same(b, n_b, data, self.b_bytes, self.b_sizes)
+        if not self.a.lossless:
+            same &= self._same(a, n_a, data, self.a_bytes, self.a_sizes)
         if not same.all():
             a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
             n_a, n_b = n_a * same, n_b * same
@@ -139,9 +156,9 @@ class Aligner:
         n_groups = np.bincount(word_a[last_a], minlength=len(words))
         self.groups += self._written(a, b, n_a + n_b, last_a, last_b) if self.with_groups else [""] * len(words)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.shape = np.concatenate([self.shape, np.stack([n_a, n_b, n_groups, same], axis=1)])
-        self.flat = np.concatenate([self.flat, links])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
+        self.shape.add(np.stack([n_a, n_b, n_groups, same], axis=1))
+        self.first.add(self.flat.size + np.cumsum(n_links))
+        self.flat.add(links)
 
     def _written(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
         """The groups of each word: names in the order of groups, A before B within a group."""
@@ -156,20 +173,23 @@ class Aligner:
 
     def align(self, texts: list[str]) -> Aligned:
         """Each text (or window of one) as it follows a blank; the last group of each text has no semicolon."""
-        if len(self.known) > CACHE_WORDS or len(self.flat) > CACHE_LINKS:
+        if len(self.known) > CACHE_WORDS or self.flat.size > CACHE_LINKS:
             self._clear()
         split = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         words = [w for part in split for w in part]
         place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if (place < 0).any():
-            self._align(list(dict.fromkeys(words[i] for i in np.flatnonzero(place < 0))))
-            place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = [words[i] for i in unknown.tolist()]
+            self._align(list(dict.fromkeys(new)))
+            place[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         begins = np.cumsum(counts) - counts
-        shape = self.shape[place]
+        shape = self.shape.rows[place]
         n_a, n_b, n_groups = (np.add.reduceat(shape[:, i], begins) if len(texts) else np.empty(0, np.int64) for i in range(3))
         same = np.logical_and.reduceat(shape[:, 3] > 0, begins) if len(texts) else np.empty(0, bool)
-        start, size = self.first[place], self.first[place + 1] - self.first[place]
+        first = self.first.rows
+        start, size = first[place], first[place + 1] - first[place]
         ends = np.cumsum(size)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
         first = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
@@ -177,7 +197,7 @@ class Aligner:
         if self.with_groups:
             names = [self.groups[p] for p in place.tolist()]
             groups = ["".join(names[i : i + n])[:-1] for i, n in zip(begins.tolist(), counts.tolist(), strict=True)]
-        return Aligned(n_a, n_b, n_groups, same, self.flat[at], first, groups)
+        return Aligned(n_a, n_b, n_groups, same, self.flat.rows[at], first, groups)
 
 
 @lru_cache(1)

@@ -66,6 +66,8 @@ class BytePairs:
         self.bytes = self.token_bytes()
         self.sizes = np.array([len(t) for t in self.bytes])
         self.ranked = self._by_rank(spec)
+        # Ids of a byte-level vocabulary give back their text, unless a special token's string stands for one.
+        self.lossless = self.ranked is not None and plain
 
     def __reduce__(self):
         return _of_worker, (self.content, self.plain)

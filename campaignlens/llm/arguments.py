@@ -48,6 +48,27 @@ def _is(kind: str, value: Any) -> bool:
     return isinstance(value, TYPES[kind])
 
 
+# What faults() checks, and keywords that only describe.
+CHECKED = {"type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength"}
+DESCRIBING = {"title", "description", "default", "examples", "deprecated", "$comment", "$schema", "$id"}
+
+
+def check_schema(schema: dict, at: str) -> None:
+    """Raises a ValueError for a schema with keywords or forms of them that :func:`faults` does not check."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object")
+    unknown = sorted(set(schema) - CHECKED - DESCRIBING)
+    if unknown or not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: schema keywords not understood: {unknown or ['additionalProperties']}")
+    kinds = schema.get("type", [])
+    if not set([kinds] if isinstance(kinds, str) else kinds) <= {*TYPES, "integer", "number"}:
+        raise ValueError(f"{at}: unknown type {kinds}")
+    for key, part in schema.get("properties", {}).items():
+        check_schema(part, f"{at}.{key}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def faults(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What in ``value`` breaks the schema, as sorted "path: rule" strings.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from campaignlens.llm.arguments import canonical, faults, parsed
+from campaignlens.llm.arguments import canonical, check_schema, faults, parsed
 from campaignlens.llm.texts import slices
 from campaignlens.session import discard, shared_dir, written
 
@@ -155,19 +155,24 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]
 
     - ``status``: ok, invalid (arguments break the schema, or are no JSON, or the tool is
       unknown), no_result, duplicate_id (several calls have the id), cycle (it waits for
-      itself or for such a call), no_id, orphan_result. The first that holds in the order
-      orphan_result, no_id, duplicate_id, cycle, invalid, no_result.
-    - ``n_results``; of several results the smallest content is taken.
+      itself or for such a call), no_id, orphan_result, extra_result. The first that holds in
+      the order orphan_result, extra_result, no_id, duplicate_id, cycle, invalid, no_result.
+    - ``n_results``: of several results the smallest content goes with the call; every other
+      one, equal contents too, is a row of its own with status extra_result (orphan_result
+      where no call has the id) that counts itself.
     - ``wave`` and ``hop``: the topological order within the conversation, ties by id; null
       where there is none (cycle, no_id, orphan_result).
     - ``n_missing``: ids in ``after`` that no call has. ``valid`` and ``errors``.
     - ``message``: canonical JSON of the call, its parsed arguments (as text where they are
       no JSON) and its result.
 
-    A null or empty argument text is an empty object. Rows without a conversation or an id
+    A schema with a keyword that is not understood is refused with a ValueError. A null or
+    empty argument text is an empty object. Rows without a conversation or an id
     are not linked. A null turn counts as -1. Equal rows are calls that repeat an id. Empty
     tables give an empty result. Other columns are not read, so names cannot clash.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     calls = calls.select("conv_id", "call_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), "name", "arguments", "after")
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     nodes = written(
@@ -186,6 +191,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]
         .groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"))
         .agg(F.count("*").alias("n_results"), F.min("content").alias("content"))
     )
+    # Results beyond the first of their id: equal ones are counted together, then told apart again.
+    several = answers.where("n_results > 1").select("r_conv", "r_call", F.col("content").alias("taken"))
+    extras = (
+        results.where(named)
+        .select("conv_id", "call_id", "content")
+        .join(several, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_call")))
+        .groupBy("conv_id", "call_id", "content", "taken")
+        .agg(F.count("*").alias("n"))
+        .withColumn("more", F.col("n") - F.when(F.col("content").eqNullSafe(F.col("taken")), 1).otherwise(0))
+        .where("more > 0")
+        .select("conv_id", "call_id", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("more"))).alias("nth"))
+    )
+    called = nodes.select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_call"))
+    extras = extras.join(called, (F.col("conv_id") == F.col("f_conv")) & (F.col("call_id") == F.col("f_call")), "left").select(
+        "conv_id", "call_id", F.lit(1).cast("long").alias("n_results"), "content", F.col("f_call").isNotNull().alias("extra")
+    )
     loose = results.where(~named).select("conv_id", "call_id", F.lit(1).cast("long").alias("n_results"), "content")
     answered = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_call"))
     linked = calls.join(facts, (F.col("conv_id") == F.col("f_conv")) & (F.col("call_id") == F.col("f_call")), "left").join(answers, answered, "left")
@@ -198,6 +219,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]
     both = linked.select(*fields, F.lit(False).alias("orphan")).unionByName(
         orphans.withColumn("orphan", F.lit(True)), allowMissingColumns=True
     )
+    both = both.withColumn("extra", F.lit(False)).unionByName(extras.withColumn("orphan", F.lit(True)), allowMissingColumns=True)
 
     def one(r: dict) -> tuple:
         errors, arguments = [], {}
@@ -210,7 +232,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]
             if not errors:
                 errors = ["$: tool"] if schema is None else faults(arguments, schema)
         status = (
-            "orphan_result" if r["orphan"]
+            "extra_result" if r["extra"]
+            else "orphan_result" if r["orphan"]
             else "no_id" if r["n_calls"] is None
             else "duplicate_id" if r["n_calls"] > 1
             else "cycle" if r["hop"] is None
@@ -228,7 +251,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, dict]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.string()]
         names = [f.split()[0] for f in LINKED.split(", ")]
-        for batch in slices(batches, "arguments"):
+        for batch in slices(slices(batches, "arguments"), "content"):
             columns = list(zip(*map(one, batch.to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 

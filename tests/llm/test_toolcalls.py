@@ -111,6 +111,7 @@ def test_edge_cases(spark):
     assert sorted(rows, key=repr) == sorted(
         [
             (1, "a", "ok", 2, 1, 0, 0, True),
+            (1, "a", "extra_result", 1, None, None, 0, None),
             (1, "b", "invalid", 1, 1, 1, 1, False),
             (1, "c", "invalid", 0, 3, 0, 0, False),
             (1, "d", "invalid", 0, 3, 0, 0, False),
@@ -126,7 +127,7 @@ def test_edge_cases(spark):
         ],
         key=repr,
     )
-    messages = {(r.conv_id, r.call_id): r.message for r in df.collect()}
+    messages = {(r.conv_id, r.call_id): r.message for r in df.where("status <> 'extra_result'").collect()}
     assert messages[1, "a"] == '{"arguments":{"a":1},"id":"a","name":"f","result":"r1"}'
     assert messages[1, "c"] == '{"arguments":"{\\"a\\":","id":"c","name":"f","result":null}'
     empty = link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), SCHEMAS)
@@ -141,3 +142,25 @@ def test_query_agrees_with_sql(spark):
     names = sorted(df.columns)
     assert names == sorted(sql.columns)
     assert sorted(repr(tuple(r[c] for c in names)) for r in df.collect()) == sorted(map(repr, sql.select(*names).fetchall()))
+
+
+def test_every_result_has_a_row(spark):
+    rng = random.Random(3)
+    results = [(c, f"c{rng.randrange(4)}", rng.choice(["x", "y", None, "long " * 20_000]), 1) for c in range(4) for _ in range(25)]
+    calls = [(c, f"c{i}", i, "f", '{"a":1}', [], "x") for c in range(4) for i in range(c)]
+    found = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()
+    contents = sorted((r.conv_id, r.call_id, repr(json.loads(r.message)["result"])) for r in found if r.n_results)
+    assert contents == sorted((c, i, repr(t)) for c, i, t, _ in results)
+    for r in found:
+        known = (r.conv_id, r.call_id) in {(c[0], c[1]) for c in calls}
+        assert r.status in (("ok", "extra_result", "no_result") if known else ("orphan_result",))
+    assert sum(r.status in ("ok", "no_result") for r in found) == len(calls)
+
+
+@pytest.mark.parametrize(
+    "schema",
+    [{"pattern": "a"}, {"properties": {"a": {"anyOf": []}}}, {"items": {"$ref": "#"}}, {"additionalProperties": {"type": "string"}}, {"type": "date"}, True],
+)
+def test_schemas_that_are_not_understood_are_refused(spark, schema):
+    with pytest.raises(ValueError):
+        link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), {"f": schema})

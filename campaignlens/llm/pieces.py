@@ -4,7 +4,9 @@ A text is cut into words that begin with the blank mark; no piece crosses such a
 the best segmentation of a text is that of its words. Words of equal length advance
 together: hashes of all their substrings probe the sorted hashes of the pieces, and a
 vectorised maximum per position stores where the best piece that ends there began. A word
-met before is looked up. Pieces are scored by the model's own scores.
+met before is looked up. Pieces are scored by the model's own scores. Those of a BPE model
+are ranks of merges, whose sum means nothing; there every piece costs more than all ranks of
+a word together, so the best segmentation has the fewest pieces and, of those, the best ranks.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from campaignlens.llm.texts import free_name, slices
 MARK = "▁"
 REAL_MARK = "\udc81"  # stands for the mark's own character in a text; no valid text has it
 UNKNOWN_PENALTY = 10.0
+RANKED_PIECE_COST = float(1 << 34)  # sums stay exact, and above all ranks, in words of up to 500,000 pieces
 CACHE = 300_000
 CELLS = 1 << 19  # (word, end, length) triples probed at a time
 _BASE, _BY_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -47,6 +50,12 @@ def prefix_hashes(words: list[str], size: int) -> np.ndarray:
     return out
 
 
+def are_ranks(scores: np.ndarray) -> bool:
+    """Whether scores are places in an order, as a BPE model has them: whole, not positive, no two alike but the lowest."""
+    placed = scores[scores > scores.min()]
+    return len(placed) > 0 and bool((scores == np.round(scores)).all() and (scores <= 0).all()) and len(np.unique(placed)) == len(placed)
+
+
 @dataclass
 class PieceModel:
     """The pieces of a model file; ``keys`` are sorted hashes, ``ids`` and ``scores`` in their order."""
@@ -95,9 +104,14 @@ class PieceModel:
         if (keys[order][1:] == keys[order][:-1]).any():
             raise ValueError("two pieces have the same hash")
         scores = np.array([sp.get_score(int(i)) for i in ids[order]])
+        unknown_score = float(scores.min()) - UNKNOWN_PENALTY
+        if are_ranks(scores):
+            places = np.unique(scores, return_inverse=True)[1]
+            scores = places - float(len(scores)) - RANKED_PIECE_COST
+            unknown_score = float(scores.min()) - 4 * RANKED_PIECE_COST  # up to four bytes
         return cls(
             pieces, keys[order], ids[order], scores, max(len(pieces[i]) for i in plain), bytes_of, byte_ids, sp.unk_id(),
-            float(scores.min()) - UNKNOWN_PENALTY,
+            unknown_score,
         )
 
     def segment(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from campaignlens.llm import token_queries
-from campaignlens.llm.pieces import MARK, REAL_MARK, PieceModel, decode_ids, encode_texts
+from campaignlens.llm.pieces import MARK, REAL_MARK, PieceModel, are_ranks, decode_ids, encode_texts
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 ODD = ["", " ", "a", "  a", "a  b ", "a\n\nb\tc", "ﬁ Ａ é", "😀\u0000 x", f"{MARK}x {MARK}", "日本語 テスト", " " * 40 + "z", "x" * 5000, "ab " * 9000, "\U0010ffff"]
@@ -52,6 +54,20 @@ def test_segmentation_by_hand(model):
     assert encoded(model, texts) == encoded(PieceModel.load(PATH), texts)
 
 
+def test_never_more_pieces_than_merging(spark, model):
+    """The library's own encoding is one of the segmentations, so none of ours has more pieces."""
+    own = SentencePieceProcessor(model_file=PATH)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    texts = [t for t in (r.text for r in rows) if t and own.decode(own.encode(t)) == t]
+    ours, merged = encoded(model, texts), [own.encode(t) for t in texts]
+    assert len(texts) > 50 and all(len(a) <= len(b) for a, b in zip(ours, merged, strict=True))
+    assert [model.pieces[i] for i in encoded(model, ["the quick brown"])[0]] == ["▁the", "▁quick", "▁brown"]
+
+
+def test_ranks_are_told_from_probabilities():
+    assert are_ranks(np.array([0.0, -2, -1])) and are_ranks(np.array([-1.0, -9, -9])) and not are_ranks(np.array([-1.5, -2.25])) and not are_ranks(np.array([-1.0, -1.0]))
+
+
 def test_round_trip(model):
     rng = random.Random(7)
     texts = ODD + ["".join(chr(rng.choice([32, 10, 97, 0x2581, 0xE9, 0x4E00, 0x1F600])) for _ in range(rng.randint(0, 30))) for _ in range(300)]

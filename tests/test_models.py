@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from campaignlens.operators import models, neighbors, oversample, segments
+from campaignlens.operators import models, neighbors, oversample, pivots, segments
 from campaignlens.operators.prep import assemble
 from campaignlens.sources import sinks
 
@@ -170,15 +172,35 @@ def test_clustered_rows_leave_most_cells_closed():
     middles = rng.uniform(-100, 100, (30, 8))
     train = np.concatenate([m + rng.normal(size=(100, 8)) for m in middles])
     centers = train[rng.permutation(len(train))[:55]]
-    cell, dist = neighbors.nearest_center(train, centers, np.ones(len(centers), bool))
+    tree = pivots.PivotTree(centers)
+    cell, dist = tree.nearest(train, np.ones(len(centers), bool))
+    assert dist == pytest.approx(np.sqrt(((train[:, None] - centers) ** 2).sum(2)).min(axis=1))
     rows = np.bincount(cell, minlength=len(centers))
     radius = np.array([dist[cell == c].max(initial=0.0) for c in range(len(centers))])
     queries = train[::10] + rng.normal(size=(300, 8)) * 0.1
-    home, _ = neighbors.nearest_center(queries, centers, rows >= 5)
+    home, _ = tree.nearest(queries, rows >= 5)
     every = np.sqrt(((queries[:, None] - train) ** 2).sum(2))
     bound = np.array([np.sort(every[i, cell == home[i]])[4] for i in range(300)])
-    go = neighbors.open_cells(queries, bound, home, centers, radius, rows > 0)
+    go = np.zeros((300, len(centers)), bool)
+    for who, where in tree.open(queries, bound, home, radius, rows > 0):
+        assert not go[who, where].any()
+        go[who, where] = True
     assert go.mean() < 0.1
     # No neighbour is in a closed cell.
     best = np.argsort(every, axis=1)[:, :5]
     assert all(go[i, cell[j]] or cell[j] == home[i] for i in range(300) for j in best[i])
+
+
+def test_pivot_search_holds_few_pairs_at_a_time():
+    """Memory stays a few blocks however many pivots there are; any group of them may hold most."""
+    rng = np.random.default_rng(8)
+    centers = np.concatenate([rng.normal(size=(2500, 4)) * 0.01, rng.uniform(-50, 50, (500, 4))])
+    rows = rng.uniform(-50, 50, (4000, 4))
+    tree, every = pivots.PivotTree(centers), np.ones(len(centers), bool)
+    tracemalloc.start()
+    cell, dist = tree.nearest(rows, every)
+    assert sum(len(who) for who, _ in tree.open(rows, dist, cell, np.full(len(centers), 5.0), every)) > 4000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 8 * pivots.PAIRS < 8 * len(rows) * len(centers)
+    assert dist[:50] == pytest.approx(np.sqrt(((rows[:50, None] - centers) ** 2).sum(2)).min(axis=1))

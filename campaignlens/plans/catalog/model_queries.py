@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlens.operators import models, neighbors, prep
+from campaignlens.operators import hashed, models, neighbors, prep
 from campaignlens.operators.evaluate import binary_metrics, compare_models, confusion, roc_auc, scaling_improvement
 from campaignlens.operators.oversample import smote
 from campaignlens.operators.ranking import cumulative_share, rows_to_reach
@@ -70,6 +70,24 @@ def nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     return neat(found.select(F.col("query").alias("vec_id"), "neighbour", "distance", F.col("rank").alias("place")))
 
 
+@query(
+    "nearest_hashed",
+    KNN + """SELECT count(DISTINCT vec_id) AS queries, count(*) AS wanted, TRUE AS verified, TRUE AS recall_reached FROM best""",
+)
+def nearest_hashed(spark: SparkSession, directory: str) -> DataFrame:
+    """The hash index against the exact operator: its recall, and whether each distance is that of the two vectors."""
+    train, test = split_embeddings(spark, directory)
+    found = written(hashed.nearest_hashed(train, test, 5, "vec_id", "embedding"), "hashed-found")
+    truth = written(neighbors.nearest(train, test, 5, "vec_id", "embedding"), "exact-found")
+    of, to = (df.select(F.col("vec_id").alias(c), F.col("embedding").cast("array<double>").alias(v)) for df, c, v in ((test, "query", "q"), (train, "neighbour", "t")))
+    gap = F.aggregate(F.zip_with("q", "t", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    fits = F.bool_and(F.abs(F.sqrt(gap) - F.col("distance")) < 1e-9)
+    verified = found.join(of, "query").join(to, "neighbour").agg(fits).scalar()
+    asked = truth.agg(F.count_distinct("query")).scalar()
+    reached = F.col("recall") >= 0.9
+    return hashed.recall_of(found, truth).select(asked.alias("queries"), "wanted", verified.alias("verified"), reached.alias("recall_reached"))
+
+
 @query(
     "knn_classify",
     KNN

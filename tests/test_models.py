@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from campaignlens.operators import models, neighbors, oversample, pivots, segments
+from campaignlens.operators import hashed, models, neighbors, oversample, pivots, segments
 from campaignlens.operators.prep import assemble
 from campaignlens.sources import sinks
 
@@ -204,3 +204,46 @@ def test_pivot_search_holds_few_pairs_at_a_time():
     tracemalloc.stop()
     assert peak < 8 * 8 * pivots.PAIRS < 8 * len(rows) * len(centers)
     assert dist[:50] == pytest.approx(np.sqrt(((rows[:50, None] - centers) ** 2).sum(2)).min(axis=1))
+
+
+def test_hash_index_finds_most_and_compares_few(spark):
+    """Clusters, a cell with a third of all rows, chunks much smaller than it: exact distances, recall as asked."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(20, 16)).repeat(30, axis=0) * 20 + rng.normal(size=(600, 16)), np.zeros((300, 16))])
+    schema = "id long, v array<double>"
+    train = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema)
+    queries = spark.createDataFrame([(5000 + i, (x[i] + rng.normal(size=16) * 0.1).tolist()) for i in range(0, 900, 9)], schema)
+    found = hashed.nearest_hashed(train, queries, 3, "id", "v", block=64).collect()
+    q = {r["id"]: np.array(r["v"]) for r in queries.collect()}
+    for r in found:
+        assert r["distance"] == pytest.approx(np.sqrt(((q[r["query"]] - x[r["neighbour"]]) ** 2).sum()))
+    hits = wanted = 0
+    for i, v in q.items():
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        best = set(np.lexsort((np.arange(len(x)), d))[:3].tolist())
+        got = [r["neighbour"] for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == i]
+        assert len(got) == len(set(got)) <= 3
+        hits, wanted = hits + len(best & set(got)), wanted + 3
+    assert hits >= 0.9 * wanted
+    h = hashed.fit_hasher(train, queries, 3, "id", "v", 8, 0.95, 42)
+    a, b = h.codes(np.stack(list(q.values()))), h.codes(x)
+    assert (a[:, None] == b[None]).any(axis=2).mean() < 0.25  # most rows are never compared
+
+
+def test_hash_index_edges(spark):
+    schema = "id long, v array<double>"
+    one = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0])], schema)
+    got = hashed.nearest_hashed(one, one, 5, "id", "v").orderBy("query", "rank").collect()
+    assert [(r["query"], r["neighbour"], r["distance"]) for r in got] == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
+    assert hashed.nearest_hashed(one.limit(0), one, 5, "id", "v").count() == 0
+    assert hashed.nearest_hashed(one, one.limit(0), 5, "id", "v").count() == 0
+    truth = spark.createDataFrame([(1, 2), (1, 3)], "query long, neighbour long")
+    assert hashed.recall_of(truth.limit(1), truth).head()["recall"] == 0.5
+
+
+def test_meeting_probability_by_simulation():
+    rng = np.random.default_rng(10)
+    lines, shift = rng.normal(size=200_000), rng.uniform(0, 2.0, 200_000)
+    for distance in (0.5, 2.0, 5.0):
+        same = np.floor(shift / 2.0) == np.floor((lines * distance + shift) / 2.0)
+        assert hashed.meet(np.array([distance]), 2.0, 1, 1)[0] == pytest.approx(same.mean(), abs=0.01)

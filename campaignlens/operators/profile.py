@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.draws import draw
-from campaignlens.functions.moments import pearson, sample_kurtosis, sample_skewness
+from campaignlens.functions.moments import pearson, sample_kurtosis, sample_skewness, t_two_sided
 from campaignlens.functions.scalars import indicator, is_missing, number, percent, ratio
 from campaignlens.operators.gram import cross_correlations
 from campaignlens.operators.prep import first_by_draw
@@ -372,7 +372,10 @@ def target_correlation(df: DataFrame, cols: Sequence[str], target: str, k: int =
 
 
 def welch_t(df: DataFrame, c: str, by: str, a: str, b: str) -> DataFrame:
-    """Welch's t statistic and degrees of freedom for the means of two groups."""
+    """Welch's t statistic, degrees of freedom and two-sided p-value for the means of two groups.
+
+    All three are null where a group has fewer than two values or neither has spread.
+    """
     types = dict(df.dtypes)
     v = number(c, types[c])
 
@@ -387,9 +390,10 @@ def welch_t(df: DataFrame, c: str, by: str, a: str, b: str) -> DataFrame:
     )
     ea, eb = ratio(F.col("va"), F.col("na")), ratio(F.col("vb"), F.col("nb"))
     spread = ratio(ea * ea, F.col("na") - 1) + ratio(eb * eb, F.col("nb") - 1)
-    return row.select(
+    found = row.select(
         F.col("ma").alias("mean_a"),
         F.col("mb").alias("mean_b"),
         ratio(F.col("ma") - F.col("mb"), F.sqrt(ea + eb)).alias("t"),
         ratio((ea + eb) * (ea + eb), spread).alias("df"),
     )
+    return found.withColumn("p", t_two_sided(F.col("t"), F.col("df")))

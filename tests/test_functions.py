@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from campaignlens.functions import scalars as S
-from campaignlens.functions.moments import sample_kurtosis, sample_skewness
+from campaignlens.functions.moments import sample_kurtosis, sample_skewness, t_two_sided
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 NUMBERS = st.lists(st.integers(-50, 150), min_size=1, max_size=60)
@@ -79,3 +79,22 @@ def test_months_follow_the_calendar(spark):
     df = spark.sql("select timestamp_ntz'2024-02-29 23:59:59' as t union all select timestamp_ntz'2023-12-01 00:00:00'")
     assert {r[0] for r in df.select(S.month_label("t")).collect()} == {"feb", "dec"}
     assert len(S.MONTHS) == len(np.unique(S.MONTHS)) == 12
+
+
+def test_student_t_tail(spark):
+    """Against a numeric integral of the density over the angle, from one degree of freedom to very many."""
+    cases = [(t, df) for df in (1.0, 2.5, 30.0, 5000.0, 1e6, 1e9) for t in (0.0, 0.3, 1.0, 1.72, 1.75, -3.0, 6.0)]
+    rows = spark.createDataFrame(cases, "t double, df double").withColumn("p", t_two_sided(F.col("t"), F.col("df"))).collect()
+    for r in rows:
+        if r["df"] > 1e5:
+            want = math.erfc(abs(r["t"]) / math.sqrt(2))
+            assert r["p"] == pytest.approx(want, abs=2 / r["df"] + 1e-9)
+            continue
+        low = math.atan(abs(r["t"]) / math.sqrt(r["df"]))
+        areas = []
+        for a in (low, 0.0):
+            x = np.linspace(a, math.pi / 2, 400_001)
+            y = np.cos(x).clip(0) ** (r["df"] - 1)
+            areas.append((y[0] + y[-1] + 4 * y[1::2].sum() + 2 * y[2:-1:2].sum()) * (x[1] - x[0]) / 3)
+        assert r["p"] == pytest.approx(areas[0] / areas[1], rel=1e-8, abs=1e-12)
+    assert spark.range(1).select(t_two_sided(F.lit(None).cast("double"), F.lit(3.0))).head()[0] is None

@@ -10,10 +10,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from campaignlens.functions.scalars import indicator, number, ratio
-from campaignlens.operators.profile import value_modes
 from campaignlens.operators.rates import best_worst
+from campaignlens.operators.silhouette import DRAWN, euclidean_silhouette
 
 HIGH, MODERATE, LOW = "HIGH-VALUE PROSPECTS", "MODERATE PROSPECTS", "LOW ENGAGEMENT"
 
@@ -41,20 +42,27 @@ def fit_kmeans(
 
 
 def sweep_models(
-    df: DataFrame, ks: Sequence[int], features: str, starts: int, seed: int, max_iter: int
+    df: DataFrame, ks: Sequence[int], features: str, starts: int, seed: int, max_iter: int, key: str | None = None, drawn: int = DRAWN
 ) -> tuple[DataFrame, dict[int, KMeansModel]]:
-    """Inertia and silhouette for each k, and the fitted models."""
-    held = df.select(features).persist()
+    """Inertia and silhouette for each k, and the fitted models.
+
+    The silhouette is of squared distances; with a ``key`` column there is also the Euclidean
+    one of drawn rows, in ``euclidean``, and its standard error, in ``error``.
+    """
+    held = df.select(*([key] if key else []), features).persist()
     try:
         rows, found = [], {}
         judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
         for k in ks:
-            found[k] = fit_kmeans(held, k, features, starts, seed, max_iter)
-            silhouette = judge.evaluate(found[k].transform(held))
-            rows.append((k, float(found[k].summary.trainingCost), float(silhouette)))
+            found[k] = fit_kmeans(held.select(features), k, features, starts, seed, max_iter)
+            assigned = found[k].transform(held)
+            silhouette = judge.evaluate(assigned)
+            true = euclidean_silhouette(assigned, key, features, drawn=drawn, seed=seed).head() if key else (None, None)
+            rows.append((k, float(found[k].summary.trainingCost), float(silhouette), true[0], true[1]))
     finally:
         held.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double"), found
+    table = df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, euclidean double, error double")
+    return (table if key else table.drop("euclidean", "error")), found
 
 
 def kmeans_sweep(
@@ -64,14 +72,15 @@ def kmeans_sweep(
     starts: int = 10,
     seed: int = 42,
     max_iter: int = 300,
+    key: str | None = None,
 ) -> DataFrame:
-    """Inertia and silhouette (squared Euclidean) for each k."""
-    return sweep_models(df, ks, features, starts, seed, max_iter)[0]
+    """Inertia and silhouette (squared Euclidean) for each k; with a ``key`` the Euclidean silhouette too."""
+    return sweep_models(df, ks, features, starts, seed, max_iter, key)[0]
 
 
-def choose_k(sweep: DataFrame) -> DataFrame:
-    """The k with the largest silhouette, the smallest of tied ones."""
-    return sweep.orderBy(F.col("silhouette").desc(), "k").limit(1)
+def choose_k(sweep: DataFrame, by: str = "silhouette") -> DataFrame:
+    """The k with the largest silhouette (``by="euclidean"`` for that of plain distances), the smallest of tied ones."""
+    return sweep.orderBy(F.col(by).desc(), "k").limit(1)
 
 
 def assign_clusters(model: KMeansModel, df: DataFrame) -> DataFrame:
@@ -99,27 +108,23 @@ def profile_clusters(
     label: str = "y",
     positive: str = "yes",
 ) -> DataFrame:
-    """One row per cluster: size, means, most frequent levels, flag shares, response rate, label.
+    """One row per cluster: size, means, most frequent levels, flag shares, response rate, label; one aggregate over the rows.
 
-    ``flags`` maps a column to the level whose share is wanted.
+    ``flags`` maps a column to the level whose share is wanted. Of equally frequent levels the
+    smallest is the mode; a cluster keeps a count per level, so ``modes`` are columns of levels.
     """
     types = dict(df.dtypes)
+    named = [f"mode_{c}" for c in modes]
     base = df.groupBy(cluster).agg(
         F.count("*").alias("rows"),
         *[F.avg(number(c, types[c])).alias(f"mean_{c}") for c in means],
         *[(F.avg(indicator(F.col(c) == v)) * 100).alias(f"pct_{c}") for c, v in flags.items()],
         (F.avg(indicator(F.col(label) == positive)) * 100).alias("response_rate"),
+        *[F.mode(F.col(c).cast("string"), True).alias(f"mode_{c}") for c in modes],
     )
-    total = df.agg(F.count("*")).scalar()
-    out = base.withColumn("pct", ratio(F.col("rows") * 100, total))
-    if modes:
-        levels = value_modes(df, modes, [cluster])
-        value = F.coalesce(F.col("txt"), F.col("num").cast("string"))
-        wide = levels.groupBy(F.col(cluster).alias("_c")).agg(
-            *[F.max(F.when(F.col("column") == c, value)).alias(f"mode_{c}") for c in modes]
-        )
-        out = out.join(wide, F.col(cluster).eqNullSafe(F.col("_c")), "left").drop("_c")
-    return label_clusters(out)
+    # A row per cluster.
+    share = ratio(F.col("rows") * 100, F.sum("rows").over(W.partitionBy())).alias("pct")
+    return label_clusters(base.select(*[c for c in base.columns if c not in named], share, *named))
 
 
 def cluster_vs_overall(

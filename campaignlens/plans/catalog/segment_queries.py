@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from campaignlens.operators import segments
+from campaignlens.operators import segments, silhouette
 from campaignlens.plans.catalog.common import CONTACTS, neat, on_contacts, query
 from campaignlens.plans.contacts import contacts
 from campaignlens.plans.segmentation import segment
@@ -144,12 +144,16 @@ def inertia_by_hand(model, vectors: DataFrame) -> DataFrame:
     return distances(model, vectors).agg(F.sum(F.array_min("_d")).alias("inertia_again"))
 
 
-@query("choose_k", "SELECT TRUE AS largest, TRUE AS among_ks")
+@query("choose_k", "SELECT measure, TRUE AS largest, TRUE AS among_ks FROM (VALUES ('silhouette'), ('euclidean')) AS t(measure)")
 def choose_k(spark: SparkSession, directory: str) -> DataFrame:
-    """No k of the sweep has a larger silhouette than the chosen one."""
-    sweep = written(segments.kmeans_sweep(embedding_vectors(spark, directory), KS), "sweep")
-    top = sweep.agg(F.max("silhouette")).scalar()
-    return segments.choose_k(sweep).select((F.col("silhouette") == top).alias("largest"), F.col("k").between(min(KS), max(KS)).alias("among_ks"))
+    """No k of the sweep has a larger silhouette than the chosen one, by squared and by plain distances."""
+    sweep = written(segments.kmeans_sweep(embedding_vectors(spark, directory), KS, key="vec_id"), "sweep")
+    chosen = []
+    for by in ("silhouette", "euclidean"):
+        top = sweep.agg(F.max(by)).scalar()
+        among = F.col("k").between(min(KS), max(KS)).alias("among_ks")
+        chosen.append(segments.choose_k(sweep, by).select(F.lit(by).alias("measure"), (F.col(by) == top).alias("largest"), among))
+    return reduce(DataFrame.unionByName, chosen)
 
 
 @query("segment_contacts", CONTACTS + f"SELECT count(*) AS n, {RATE} AS response_rate, round(avg(balance), 6) AS mean_balance FROM contacts")
@@ -176,3 +180,30 @@ def assign_clusters(spark: SparkSession, directory: str) -> DataFrame:
     model = segments.fit_kmeans(vectors, 10)
     found = distances(model, segments.assign_clusters(model, vectors))
     return found.select("vec_id", (F.get("_d", F.col("cluster")) <= F.array_min("_d") + 1e-9).alias("nearest"))
+
+
+# Distances of the rows that come first by draw to all rows, by cluster.
+DRAWN_ROWS = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY md5('42:' || vec_id)) AS seat FROM embeddings),
+  m AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS total, count(*) AS n
+    FROM v a JOIN v b ON a.seat <= {drawn} GROUP BY a.vec_id, a.label, b.label),
+  s AS (SELECT vec_id, label, max(total / (n - 1)) FILTER (label = other) AS inward, min(total / n) FILTER (label <> other) AS outward FROM m GROUP BY vec_id, label),
+  r AS (SELECT *, (outward - inward) / greatest(inward, outward) AS silhouette FROM s)
+"""
+
+
+@query("silhouettes", DRAWN_ROWS.format(drawn=300) + 'SELECT vec_id, label, round(inward, 6) AS "inner", round(outward, 6) AS "outer", round(silhouette, 6) AS silhouette FROM r')
+def silhouettes(spark: SparkSession, directory: str) -> DataFrame:
+    """Euclidean silhouettes of 300 drawn vectors against all vectors, clustered by their label."""
+    vectors = read_table(spark, directory, "embeddings")
+    return neat(silhouette.silhouettes(vectors, "vec_id", "embedding", "label", drawn=300))
+
+
+@query(
+    "euclidean_silhouette",
+    DRAWN_ROWS.format(drawn=300)
+    + """SELECT round(avg(silhouette), 6) AS silhouette,
+    round(sqrt(var_samp(silhouette) / count(*) * (1 - count(*)::DOUBLE / (SELECT count(*) FROM embeddings))), 6) AS error, count(*) AS n FROM r""",
+)
+def euclidean_silhouette(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = read_table(spark, directory, "embeddings")
+    return neat(silhouette.euclidean_silhouette(vectors, "vec_id", "embedding", "label", drawn=300).withColumnRenamed("rows", "n"))

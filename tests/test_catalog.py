@@ -16,7 +16,7 @@ from campaignlens.session import scratch
 
 DIRECTORY = "/root/testdata/sf0.001"
 # Neighbours and the kernel map run vector code in Python on purpose.
-PYTHON = {"nearest_neighbours", "nearest_hashed", "knn_classify", "train_neighbours", "train_rbf_svm", "smote"}
+PYTHON = {"nearest_neighbours", "nearest_hashed", "knn_classify", "train_neighbours", "train_rbf_svm", "smote", "silhouettes", "euclidean_silhouette"}
 
 
 @pytest.fixture(scope="module")

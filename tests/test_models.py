@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from campaignlens.operators import hashed, models, neighbors, oversample, pivots, segments
+from campaignlens.operators import hashed, models, neighbors, oversample, pivots, segments, silhouette
 from campaignlens.operators.prep import assemble
 from campaignlens.sources import sinks
 
@@ -247,3 +247,25 @@ def test_meeting_probability_by_simulation():
     for distance in (0.5, 2.0, 5.0):
         same = np.floor(shift / 2.0) == np.floor((lines * distance + shift) / 2.0)
         assert hashed.meet(np.array([distance]), 2.0, 1, 1)[0] == pytest.approx(same.mean(), abs=0.01)
+
+
+def test_euclidean_silhouette_by_hand(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 1.0, (30, 3)) for c in (0.0, 2.0)] + [np.full((1, 3), 9.0)])
+    of = np.array([0] * 30 + [1] * 30 + [7])
+    rows = [(f"r{i}", v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, of, strict=True))] + [("none", [0.0] * 3, None)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, c int").repartition(5)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = []
+    for i in range(61):
+        own = (of == of[i]) & (np.arange(61) != i)
+        near = min(d[i, of == c].mean() for c in set(of.tolist()) - {of[i]})
+        want.append((near - d[i, own].mean()) / max(near, d[i, own].mean()) if own.any() else 0.0)
+    got = {r["id"]: r["silhouette"] for r in silhouette.silhouettes(df, "id", "v", "c").collect()}
+    assert [got[f"r{i}"] for i in range(61)] == pytest.approx(want) and len(got) == 61
+    whole = silhouette.euclidean_silhouette(df, "id", "v", "c").head()
+    assert (whole["silhouette"], whole["error"], whole["rows"]) == (pytest.approx(np.mean(want)), 0.0, 61)
+    part = silhouette.euclidean_silhouette(df, "id", "v", "c", drawn=20).head()
+    assert part["rows"] == 20 and abs(part["silhouette"] - np.mean(want)) < 4 * part["error"]
+    assert silhouette.euclidean_silhouette(df.filter("c = 0"), "id", "v", "c").head()["silhouette"] is None
+    assert silhouette.euclidean_silhouette(df.limit(0), "id", "v", "c").head()["rows"] == 0

@@ -27,7 +27,8 @@ MARK = "▁"
 REAL_MARK = "\udc81"  # stands for the mark's own character in a text; no valid text has it
 UNKNOWN_PENALTY = 10.0
 RANKED_PIECE_COST = float(1 << 34)  # sums stay exact, and above all ranks, in words of up to 500,000 pieces
-CACHE = 300_000
+CACHE = 150_000
+IDS_AT_A_TIME = 1 << 18  # decoded between two batches given out
 CELLS = 1 << 19  # (word, end, length) triples probed at a time
 _BASE, _BY_LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -237,14 +238,22 @@ def decode_ids(table: DataFrame, model: PieceModel, ids_col: str = "ids", text_c
     name = free_name(table, text_col)
     schema = T.StructType([*table.schema.fields, T.StructField(name, T.StringType())])
 
+    def decoded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(ids_col)
+        values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        texts = [
+            model.decode(values[a:b].tolist()) if there else None
+            for a, b, there in zip(at[:-1], at[1:], column.is_valid().to_pylist(), strict=True)
+        ]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(ids_col)
-            values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [
-                model.decode(values[a:b].tolist()) if there else None
-                for a, b, there in zip(at[:-1], at[1:], column.is_valid().to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            ends = batch.column(ids_col).offsets.to_numpy()
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + IDS_AT_A_TIME, "right")) - 1)
+                yield decoded(batch.slice(start, stop - start))
+                start = stop
 
     return table.mapInArrow(run, schema)

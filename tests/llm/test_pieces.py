@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from campaignlens.llm import token_queries
+from campaignlens.llm import pieces, token_queries
 from campaignlens.llm.pieces import MARK, REAL_MARK, PieceModel, are_ranks, decode_ids, encode_texts
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -89,6 +90,31 @@ def test_tables(spark, model):
     assert encode_texts(docs.where("false"), model).count() == 0
 
 
+def test_decoding_in_runs(spark, model, monkeypatch):
+    """Rows, nulls among them, come back whole however few ids are decoded at a time."""
+    texts = ["a b c " * 50, "", None, "x", "y z " * 80, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(pieces, "IDS_AT_A_TIME", 7)
+    table = pa.Table.from_batches(list(_runs(encode_texts(docs, model), model)))
+    assert table["decoded"].to_pylist() == texts and table["doc_id"].to_pylist() == list(range(6))
+
+
+def _runs(table, model):
+    """What decode_ids does with batches, in this process, where a bound can be changed."""
+    caught = []
+
+    class Table:
+        columns, schema = table.columns, table.schema
+
+        def mapInArrow(self, run, schema):
+            caught.append(run)
+
+    decode_ids(Table(), model)
+    batches = list(caught[0](table.orderBy("doc_id").toArrow().combine_chunks().to_batches()))
+    assert len(batches) > 3
+    return batches
+
+
 def test_query(spark):
     found = token_queries.op5_sentencepiece(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -1,7 +1,9 @@
 """Classifiers on MLlib, scoring, importances, and the run loop.
 
-Encoded categories are plain numbers here, without nominal metadata, so trees
-split them by order.
+Encoded categories are plain numbers that trees split by order, unless ``nominal`` names
+them with their number of codes: then trees split them by sets of codes. With a ``key``
+the rows are placed by its draw first, and the same rows give the same forest however
+their files are laid out; boosted trees agree to within the rounding of sums.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from campaignlens.functions.draws import draw_unit
 from campaignlens.operators.evaluate import binary_metrics, roc_auc
 from campaignlens.operators.neighbors import knn_classify
-from campaignlens.operators.prep import assemble
+from campaignlens.operators.prep import assemble, placed
 from campaignlens.operators.running import running
 from campaignlens.session import written
 
 LABEL = "label"
+MAX_LEVELS = 4096  # codes of a nominal feature
 
 
 @dataclass
@@ -64,9 +67,18 @@ def _probability_scorer(model: Model, features: Sequence[str]) -> Callable[[Data
     return run
 
 
-def _finish(name: str, estimator, train: DataFrame, features: Sequence[str], params: dict) -> Fitted:
+def _finish(
+    name: str,
+    estimator,
+    train: DataFrame,
+    features: Sequence[str],
+    params: dict,
+    nominal: Mapping[str, int] | None = None,
+    key: str | None = None,
+) -> Fitted:
     start = time.time()
-    model = estimator.fit(assemble(train, features).select("features", *_extra(estimator)))
+    rows = assemble(train, features, nominal=nominal).select(*([key] if key else []), "features", *_extra(estimator))
+    model = estimator.fit(placed(rows, key).drop(key) if key else rows)
     return Fitted(name, list(features), _probability_scorer(model, features), model, time.time() - start, params)
 
 
@@ -96,12 +108,16 @@ def train_forest(
     depth: int = 10,
     seed: int = 42,
     bins: int = 64,
+    nominal: Mapping[str, int] | None = None,
+    key: str | None = None,
 ) -> Fitted:
+    """Bagged trees on a root of the features each; a nominal feature with more codes than ``bins`` raises the bins."""
+    bins = _bins(bins, features, nominal)
     estimator = RandomForestClassifier(
         labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, maxBins=bins, featureSubsetStrategy="sqrt"
     )
     params = {"n_estimators": trees, "max_depth": depth, "random_state": seed}
-    return _finish("Random Forest", estimator, train, features, params)
+    return _finish("Random Forest", estimator, train, features, params, nominal, key)
 
 
 def train_boosting(
@@ -112,11 +128,23 @@ def train_boosting(
     depth: int = 5,
     seed: int = 42,
     step: float = 0.1,
+    bins: int = 32,
+    nominal: Mapping[str, int] | None = None,
+    key: str | None = None,
 ) -> Fitted:
     """Boosted trees. Checkpoints every tenth round when the session has a checkpoint folder."""
-    estimator = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, stepSize=step)
+    bins = _bins(bins, features, nominal)
+    estimator = GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed, stepSize=step, maxBins=bins)
     params = {"n_estimators": rounds, "max_depth": depth, "random_state": seed}
-    return _finish("Gradient Boosting", estimator, train, features, params)
+    return _finish("Gradient Boosting", estimator, train, features, params, nominal, key)
+
+
+def _bins(bins: int, features: Sequence[str], nominal: Mapping[str, int] | None) -> int:
+    """Bins that hold every code of the nominal features; statistics per node grow with them."""
+    most = max([n for c, n in (nominal or {}).items() if c in features], default=0)
+    if most > MAX_LEVELS:
+        raise ValueError(f"a nominal feature has {most} levels, at most {MAX_LEVELS} are split by sets")
+    return max(bins, most)
 
 
 def train_neighbors(train: DataFrame, features: Sequence[str], key: str, label: str = LABEL, k: int = 5) -> Fitted:

@@ -22,12 +22,14 @@ def smote(
     k: int = 5,
     seed: int = 42,
     block: int = BLOCK,
+    parents: bool = False,
 ) -> DataFrame:
     """The rows of ``df`` and synthetic minority rows until that class has as many as the largest one.
 
     Every minority row gives the same number of synthetic rows, give or take one,
     each on the line to one of its k nearest minority rows. Synthetic rows have a
-    null key and ``synthetic`` set.
+    null key and ``synthetic`` set. With ``parents`` they carry the keys of the two rows that
+    they lie between, in ``parent`` and ``neighbour``, which are null in the rows of ``df``.
     """
     minor = df.filter(F.col(label) == minority)
     sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
@@ -36,7 +38,9 @@ def smote(
         F.coalesce(F.max("n"), F.lit(0)).alias("many"),
     ).head()
     own = [*features, label]
-    kept = df.select(key, *own, F.lit(False).alias("synthetic"))
+    types = dict(df.dtypes)
+    none = [F.lit(None).cast(types[key]).alias(c) for c in ("parent", "neighbour")] if parents else []
+    kept = df.select(key, *own, F.lit(False).alias("synthetic"), *none)
     need = counts["many"] - counts["few"]
     if need <= 0 or counts["few"] < 2:
         return kept
@@ -61,7 +65,6 @@ def smote(
     )
     there = vectors.select(F.col(key).alias("_nk"), F.col("_v").alias("_nv"))
     made = chosen.select(key, "neighbour", "_gap").join(vectors, key).join(there, F.col("neighbour") == F.col("_nk"))
-    types = dict(df.dtypes)
     mixed = [
         (F.col("_v")[i] + F.col("_gap") * (F.col("_nv")[i] - F.col("_v")[i])).alias(c) for i, c in enumerate(features)
     ]
@@ -70,6 +73,7 @@ def smote(
         *mixed,
         F.lit(minority).cast(types[label]).alias(label),
         F.lit(True).alias("synthetic"),
+        *([F.col(key).alias("parent"), "neighbour"] if parents else []),
     )
     kept = kept.withColumns({c: F.col(c).cast("double") for c in features})
     return kept.unionByName(synthetic)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row
@@ -298,8 +298,45 @@ def contacted_before(df: DataFrame, pdays: str = "pdays", never: int = -1) -> Da
     return df.withColumn("contacted_before", (F.col(pdays) != never).cast("long"))
 
 
-def assemble(df: DataFrame, features: Sequence[str], without: Sequence[str] = (), output: str = "features") -> DataFrame:
-    """Feature vector in the given column order; ``without`` leaves columns out (leakage)."""
+def assemble(
+    df: DataFrame,
+    features: Sequence[str],
+    without: Sequence[str] = (),
+    output: str = "features",
+    nominal: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """Feature vector in the given column order; ``without`` leaves columns out (leakage).
+
+    ``nominal`` names columns whose codes 0 to n - 1 have no order, with their n; the vector
+    says so, and trees split them by sets of codes.
+    """
     used = [c for c in features if c not in set(without)]
-    cast = df.withColumns({c: F.col(c).cast("double") for c in used})
+    levels = nominal or {}
+
+    def value(c: str) -> Column:
+        number = F.col(c).cast("double")
+        if c not in levels:
+            return number
+        return number.alias(c, metadata={"ml_attr": {"type": "nominal", "name": c, "num_vals": levels[c]}})
+
+    cast = df.select(*[value(c) if c in used else F.col(c) for c in df.columns])
     return VectorAssembler(inputCols=used, outputCol=output).transform(cast)
+
+
+def level_counts(dictionary: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Number of levels of each column in a dictionary, for ``nominal``; a column without levels has none."""
+    counts = dictionary.filter(F.col("column").isin(*cols)).groupBy("column").agg((F.max("code") + 1).cast("int").alias("n"))
+    found = {r["column"]: r["n"] for r in counts.collect()}  # a row per column
+    return {c: found[c] for c in cols if c in found}
+
+
+def placed(df: DataFrame, key: str, seed: int = 42, rows_per_part: int = 200_000) -> DataFrame:
+    """The same rows in partitions and an order that their keys decide, not the files they came from.
+
+    A fit that draws by partition, as forests and k-means do, then finds the same model
+    whatever the layout. The number of partitions follows from the number of rows; keys are
+    expected to be unique.
+    """
+    parts = max(1, -(-df.count() // rows_per_part))
+    drawn = df.withColumn("_draw", draw(key, seed))
+    return drawn.repartition(parts, "_draw").sortWithinPartitions("_draw").drop("_draw")

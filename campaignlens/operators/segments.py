@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.scalars import indicator, number, ratio
+from campaignlens.operators.prep import placed
 from campaignlens.operators.rates import best_worst
 from campaignlens.operators.silhouette import DRAWN, euclidean_silhouette
 
@@ -27,17 +28,26 @@ def fit_kmeans(
     seed: int = 42,
     max_iter: int = 300,
     parallelism: int = 8,
+    key: str | None = None,
 ) -> KMeansModel:
     """The best of several seeded starts by within-cluster squared distance.
 
-    The starts are independent; ``parallelism`` of them are submitted at a time.
+    The starts are independent; ``parallelism`` of them are submitted at a time. With a ``key``
+    rows are placed by its draw, so that every start draws the same centres whatever files the
+    rows come from; final centres agree to within the rounding of sums.
     """
+    if key:
+        df = placed(df.select(key, features), key, seed).select(features).persist()
 
     def start(i: int) -> KMeansModel:
         return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
 
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(start), range(starts))
+    try:
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(inheritable_thread_target(df.sparkSession)(start), range(starts))
+    finally:
+        if key:
+            df.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -47,9 +57,10 @@ def sweep_models(
     """Inertia and silhouette for each k, and the fitted models.
 
     The silhouette is of squared distances; with a ``key`` column there is also the Euclidean
-    one of drawn rows, in ``euclidean``, and its standard error, in ``error``.
+    one of drawn rows, in ``euclidean``, and its standard error, in ``error``, and the rows
+    are placed by it as in :func:`fit_kmeans`.
     """
-    held = df.select(*([key] if key else []), features).persist()
+    held = (placed(df.select(key, features), key, seed) if key else df.select(features)).persist()
     try:
         rows, found = [], {}
         judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campaignlens.operators import hashed, models, neighbors, prep
+from campaignlens.operators import hashed, models, neighbors, prep, segments
 from campaignlens.operators.evaluate import binary_metrics, compare_models, confusion, roc_auc, scaling_improvement
 from campaignlens.operators.oversample import smote
 from campaignlens.operators.ranking import cumulative_share, rows_to_reach
 from campaignlens.plans.catalog.common import CONTACTS, neat, query
 from campaignlens.plans.contacts import contacts
-from campaignlens.plans.modelling import Prepared, bake_off, prepare, scaled_vs_unscaled, winner
+from campaignlens.plans.modelling import Prepared, bake_off, prepare, scaled_runs, winner
 from campaignlens.session import shared_dir, written
 from campaignlens.sources.readers import read_table
 from campaignlens.sources.sinks import load_model, run_rows, run_table, save_model, write_runs, read_runs
@@ -170,24 +171,118 @@ def train_without_leakage(spark: SparkSession, directory: str) -> DataFrame:
     return scored_rows(models.train_forest(p.train, usable), p.test)
 
 
-def checked_metrics(metrics: DataFrame) -> DataFrame:
-    """Per run: all metrics are shares, F1 is the harmonic mean of the others, the training took time."""
-    shares = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")]
-    harmonic = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    return metrics.withColumns(
-        {
-            "in_range": reduce(and_, shares),
-            "f1_fits": F.abs(F.col("f1") - F.coalesce(harmonic, F.lit(0.0))) < 1e-9,
-            "timed": F.col("training_time_s") > 0,
-        }
+@query(
+    "train_forest_nominal",
+    """SELECT o_orderpriority AS level, count(*) AS n, count(*) FILTER (o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED')) AS positives,
+    0::BIGINT AS wrong_nominal, CASE WHEN o_orderpriority IN ('1-URGENT', '4-NOT SPECIFIED') THEN count(*) ELSE 0 END AS predicted_nominal,
+    TRUE AS order_fails FROM orders GROUP BY 1""",
+)
+def train_forest_nominal(spark: SparkSession, directory: str) -> DataFrame:
+    """One split separates two of five levels that no threshold on their codes parts: by sets it is exact.
+
+    Per level: rows, positives, wrong and positive predictions of trees of one split by sets, and
+    whether trees of one split by order are wrong somewhere.
+    """
+    orders = read_table(spark, directory, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("level"))
+    known = prep.fit_label_dictionary(orders, ["level"])
+    coded = prep.encode(orders.withColumn("code", F.col("level")), known.withColumn("column", F.lit("code")), ["code"])
+    rows = written(coded.withColumn("label", F.col("level").isin("1-URGENT", "4-NOT SPECIFIED").cast("int")), "nominal")
+    sizes = {"code": prep.level_counts(known, ["level"])["level"]}
+    by_sets = models.train_forest(rows, ["code"], trees=5, depth=1, nominal=sizes, key="id").score(rows)
+    by_order = models.train_forest(rows, ["code"], trees=5, depth=1, key="id").score(rows)
+    fails = by_order.agg(F.bool_or(F.col("prediction") != F.col("label"))).scalar()
+    wrong = F.count(F.when(F.col("prediction") != F.col("label"), 1))
+    return by_sets.groupBy("level").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("label").cast("long")).alias("positives"),
+        wrong.alias("wrong_nominal"),
+        F.sum(F.col("prediction").cast("long")).alias("predicted_nominal"),
+    ).withColumn("order_fails", fails)
+
+
+@query("same_fit_any_layout", EVEN + "SELECT id, CAST(label AS BIGINT) AS label, TRUE AS same_score, TRUE AS same_cluster FROM parts")
+def same_fit_any_layout(spark: SparkSession, directory: str) -> DataFrame:
+    """The balanced rows in one file and in thirteen, dealt otherwise: per row, whether forest score and cluster agree.
+
+    Clusters are those of the nearest of three centres; they agree if their centres do to nine digits.
+    """
+    p = prepared(spark, directory)
+    rows = p.train_scaled.unionByName(p.test_scaled)
+    one = written(rows.coalesce(1), "one-file")
+    many = written(rows.repartition(13, F.col("balance")), "thirteen-files")
+
+    def fit(table: DataFrame) -> DataFrame:
+        forest = models.train_forest(table, p.features, trees=20, depth=5, key="id")
+        means = segments.fit_kmeans(prep.assemble(table, p.features), 3, starts=2, max_iter=20, key="id")
+        centre = F.array(*[F.concat_ws(" ", F.array(*[F.lit(f"{round(v, 9) + 0.0:.9f}") for v in c])) for c in means.clusterCenters()])
+        scored = forest.score(one).select("id", "label", "score")
+        placed = means.transform(prep.assemble(one, p.features)).select("id", centre[F.col("cluster")].alias("centre"))
+        return scored.join(placed, "id")
+
+    first, second = fit(one), fit(many).select("id", F.col("score").alias("_score"), F.col("centre").alias("_centre"))
+    return first.join(second, "id").select(
+        "id",
+        F.col("label").cast("long").alias("label"),
+        (F.col("score") == F.col("_score")).alias("same_score"),
+        (F.col("centre") == F.col("_centre")).alias("same_cluster"),
+    )
+
+
+SHARES = ("accuracy", "precision", "recall", "f1")
+
+
+def recomputed(runs: dict[str, tuple[models.Fitted, DataFrame]]) -> DataFrame:
+    """Per run its test rows, positives and metrics, from rows scored anew, written and counted by plain sums.
+
+    The area under the curve is MLlib's, by thresholds; the library's own is by ranks.
+    """
+    scored = None
+    for name, (fitted, test) in runs.items():
+        one = fitted.score(test).select(F.lit(name).alias("run"), "label", "prediction", "score")
+        scored = one if scored is None else scored.unionByName(one)
+    scored = written(scored, "scored-again")
+
+    def rows(actual: int, guess: int) -> Column:
+        return F.sum(F.when((F.col("label") == actual) & (F.col("prediction") == guess), 1).otherwise(0))
+
+    tn, fp, fn, tp = (rows(a, g) for a in (0, 1) for g in (0, 1))
+    judge = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
+    areas = F.create_map(*[F.lit(v) for n in runs for v in (n, judge.evaluate(scored.filter(F.col("run") == n)))])
+    counted = scored.groupBy("run").agg(
+        F.count("*").alias("n_test"),
+        F.sum(F.col("label").cast("long")).alias("n_positive"),
+        ((tp + tn) / F.count("*")).alias("accuracy_again"),
+        F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision_again"),
+        F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall_again"),
+        F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_again"),
     )
+    return counted.withColumn("roc_auc_again", areas[F.col("run")])
 
 
-@query("bake_off", names(FIVE, "model", "TRUE AS in_range, TRUE AS f1_fits, TRUE AS timed"))
+def metrics_fit(metrics: Sequence[str]) -> Column:
+    return reduce(and_, [F.abs(F.col(m) - F.col(f"{m}_again")) < 1e-9 for m in metrics])
+
+
+def test_counts(runs: Iterable[str], name: str, columns: str) -> str:
+    """SQL with the test rows and positives per run."""
+    return EVEN + f"""SELECT {name}, count(*) AS n_test, CAST(sum(label) AS BIGINT) AS n_positive, {columns}
+  FROM parts, (VALUES {', '.join(f"('{r}')" for r in runs)}) AS t({name}) WHERE is_test GROUP BY {name}"""
+
+
+@query("bake_off", test_counts(FIVE, "model", "TRUE AS metrics_fit, TRUE AS area_fits, TRUE AS timed"))
 def run_bake_off(spark: SparkSession, directory: str) -> DataFrame:
+    """Per model: test rows, positives, and whether its metrics are those of its rows scored anew."""
     p = prepared(spark, directory)
-    metrics, _ = bake_off(p, "id")
-    return checked_metrics(compare_models([metrics])).select("model", "in_range", "f1_fits", "timed")
+    metrics, fitted = bake_off(p, "id")
+    again = recomputed({name: (f, p.test_scaled) for name, f in fitted.items()})
+    return compare_models([metrics]).join(again, F.col("model") == F.col("run")).select(
+        "model",
+        "n_test",
+        "n_positive",
+        metrics_fit(SHARES).alias("metrics_fit"),
+        metrics_fit(["roc_auc"]).alias("area_fits"),
+        (F.col("training_time_s") > 0).alias("timed"),
+    )
 
 
 @query(
@@ -214,34 +309,61 @@ def bake_off_best(spark: SparkSession, directory: str) -> DataFrame:
     return cells.join(both, "actual").select("cell", "n_actual", (F.lit(best["f1"]) >= top).alias("is_best"), logged.alias("logged"))
 
 
-@query("scaled_vs_unscaled", names(("Random Forest", "Logistic Regression"), "family", "TRUE AS precision_fits, TRUE AS recall_fits"))
+@query(
+    "scaled_vs_unscaled",
+    test_counts(("Random Forest", "Logistic Regression"), "family", "TRUE AS metrics_fit, TRUE AS precision_fits, TRUE AS recall_fits"),
+)
 def run_scaled_vs_unscaled(spark: SparkSession, directory: str) -> DataFrame:
-    """The relative changes of scaling_improvement against the four runs that they come from."""
-    runs = scaled_vs_unscaled(prepared(spark, directory))
+    """The four runs against their rows scored anew, and scaling_improvement's relative changes against the four runs."""
+    p = prepared(spark, directory)
+    runs, fitted = scaled_runs(p)
+    again = recomputed({f"{name}/{s}": (f, p.test_scaled if s else p.test) for (name, s), f in fitted.items()})
+    runs = runs.withColumn("run", F.concat_ws("/", "family", F.initcap(F.col("scaled").cast("string")))).join(again, "run")
+    checked = runs.groupBy("family").agg(
+        F.max("n_test").alias("n_test"),
+        F.min("n_positive").alias("n_positive"),
+        (F.bool_and(metrics_fit([*SHARES, "roc_auc"])) & (F.count("*") == 2)).alias("metrics_fit"),
+    )
     changes = scaling_improvement(runs)
     raw, scaled = (runs.filter(F.col("scaled") == s).select("family", *[F.col(m).alias(f"{m}_{s}") for m in ("precision", "recall")]) for s in (False, True))
-    both = changes.join(raw, "family").join(scaled, "family")
+    both = changes.join(raw, "family").join(scaled, "family").join(checked, "family")
 
     def fits(m: str) -> Column:
         before, after, change = F.col(f"{m}_False"), F.col(f"{m}_True"), F.col(f"{m}_change_pct")
         return F.when(before > 0, F.abs(before * (1 + change / 100) - after) < 1e-9).otherwise(change.isNull() | (change == 0)).alias(f"{m}_fits")
 
-    return both.select("family", fits("precision"), fits("recall"))
+    return both.select("family", "n_test", "n_positive", "metrics_fit", fits("precision"), fits("recall"))
 
 
 FEATURE_NAMES = [*NUMERIC, *CATEGORICAL]
 
 
-def checked_importance(table: DataFrame) -> DataFrame:
-    """Per feature: its share is not negative, all shares sum to one."""
-    total = table.agg(F.round(F.sum("importance"), 6)).scalar()
-    return table.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
-
+def importance_from_nodes(spark: SparkSession, fitted: models.Fitted) -> DataFrame:
+    """Importance per feature position from the nodes of the written forest.
 
-@query("feature_importance", names(FEATURE_NAMES, "feature", "TRUE AS not_negative, 1.0::DOUBLE AS total"))
+    A split counts its gain times its rows, as a share of its tree's; trees count alike.
+    """
+    path = shared_dir(spark, "forest")
+    fitted.model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").filter(F.col("leftChild") >= 0)
+    rows = F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x)
+    splits = nodes.groupBy("treeID", F.col("split.featureIndex").alias("position")).agg(F.sum(F.col("gain") * rows).alias("gain"))
+    trees = splits.groupBy("treeID").agg(F.sum("gain").alias("all_gain"))
+    shares = splits.join(trees.filter(F.col("all_gain") > 0), "treeID")
+    per = shares.groupBy("position").agg(F.sum(F.col("gain") / F.col("all_gain")).alias("share"))
+    return per.select("position", (F.col("share") / per.agg(F.sum("share")).scalar()).alias("again"))
+
+
+@query("feature_importance", names(FEATURE_NAMES, "feature", "TRUE AS from_nodes, 1.0::DOUBLE AS total, 100::BIGINT AS trees"))
 def feature_importance(spark: SparkSession, directory: str) -> DataFrame:
+    """Per feature whether its importance is that of the written nodes; the sum of all; the trees that were written."""
     p = prepared(spark, directory)
-    return checked_importance(models.feature_importance(models.train_forest(p.train, p.features), p.train))
+    fitted = models.train_forest(p.train, p.features)
+    table = models.feature_importance(fitted, p.train).join(importance_from_nodes(spark, fitted), "position", "left")
+    total = table.agg(F.round(F.sum("importance"), 6)).scalar()
+    agrees = F.abs(F.col("importance") - F.coalesce("again", F.lit(0.0))) < 1e-9
+    trees = F.lit(len(fitted.model.trees)).cast("long")
+    return table.select("feature", agrees.alias("from_nodes"), total.alias("total"), trees.alias("trees"))
 
 
 @query("features_to_reach", "SELECT threshold, TRUE AS reached, TRUE AS needed FROM (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) AS t(threshold)")
@@ -317,23 +439,38 @@ def permutation_importance(spark: SparkSession, directory: str) -> DataFrame:
     "smote",
     CONTACTS
     + """, n AS (SELECT count(*) FILTER (y = 'yes') AS few, count(*) FILTER (y = 'no') AS many FROM contacts)
-  SELECT label, synthetic, n::BIGINT AS n, TRUE AS inside FROM (
-    SELECT 0 AS label, FALSE AS synthetic, many AS n FROM n UNION ALL SELECT 1, FALSE, few FROM n
-    UNION ALL SELECT 1, TRUE, many - few FROM n)""",
+  SELECT label, synthetic, n::BIGINT AS n, parents::BIGINT AS parents, TRUE AS on_segment FROM (
+    SELECT 0 AS label, FALSE AS synthetic, many AS n, 0 AS parents FROM n UNION ALL SELECT 1, FALSE, few, 0 FROM n
+    UNION ALL SELECT 1, TRUE, many - few, least(few, many - few) FROM n)""",
 )
 def run_smote(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows per class and kind, and whether made rows lie within the range of the minority they come from."""
+    """Rows and parents per class and kind, and whether each made row lies between its two minority parents."""
     cols = ["balance", "duration", "campaign"]
     df = contacts(spark, directory, ["id", *cols, "y"])
     coded = df.withColumn("label", F.when(F.col("y") == "yes", 1).otherwise(0)).drop("y")
-    scaled = prep.standardize(coded, [], cols)[0]
-    made = smote(scaled, cols, "id", "label")
-    ranges = F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in cols])
-    inside = [F.col(c).between(F.col(f"_in.{c}.lo") - 1e-9, F.col(f"_in.{c}.hi") + 1e-9) for c in cols]
-    return (
-        made.withColumn("_in", scaled.filter("label = 1").agg(ranges).scalar())
-        .groupBy("label", "synthetic")
-        .agg(F.count("*").alias("n"), F.bool_and(~F.col("synthetic") | reduce(and_, inside)).alias("inside"))
+    scaled = written(prep.standardize(coded, [], cols)[0], "smote-rows")
+    made = smote(scaled, cols, "id", "label", parents=True)
+    vector = F.array(*[F.col(c) for c in cols])
+    minor = scaled.filter("label = 1")
+    one, two = (minor.select(F.col("id").alias(k), vector.alias(v)) for k, v in (("parent", "_p"), ("neighbour", "_o")))
+    both = made.withColumn("_m", vector).join(one, "parent", "left").join(two, "neighbour", "left")
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def minus(a: str, b: str) -> Column:
+        return F.zip_with(a, b, lambda x, y: x - y)
+
+    # The place on the segment by projection, and the distance of the row from that place.
+    step, way = minus("_o", "_p"), minus("_m", "_p")
+    place = F.when(dot(step, step) > 0, dot(way, step) / dot(step, step)).otherwise(0.0)
+    off = F.zip_with(way, step, lambda w, s: w - F.col("_place") * s)
+    fits = F.col("_place").between(-1e-9, 1 + 1e-9) & (dot(F.col("_off"), F.col("_off")) < 1e-18)
+    judged = both.withColumn("_place", place).withColumn("_off", off)
+    return judged.groupBy("label", "synthetic").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("parent").alias("parents"),
+        F.bool_and(~F.col("synthetic") | F.coalesce(fits, F.lit(False))).alias("on_segment"),
     )
 
 

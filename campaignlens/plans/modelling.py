@@ -67,8 +67,8 @@ def five_models(
     """The compared classifiers with their settings."""
     return {
         "Logistic Regression": lambda t: models.train_logistic(t, features),
-        "Random Forest": lambda t: models.train_forest(t, features, trees=trees, depth=15, seed=seed),
-        "Gradient Boosting": lambda t: models.train_boosting(t, features, rounds=rounds, depth=5, seed=seed),
+        "Random Forest": lambda t: models.train_forest(t, features, trees=trees, depth=15, seed=seed, key=key),
+        "Gradient Boosting": lambda t: models.train_boosting(t, features, rounds=rounds, depth=5, seed=seed, key=key),
         "K-Nearest Neighbors": lambda t: models.train_neighbors(t, features, key),
         "Support Vector Machine": lambda t: models.train_rbf_svm(t, features, key, seed=seed),
     }
@@ -112,14 +112,23 @@ def winner(
     return best, written(scored, "winner")
 
 
-def scaled_vs_unscaled(prepared: Prepared, trees: int = 100, depth: int = 10) -> DataFrame:
-    """Forest and logistic regression on raw and on scaled rows: four metric rows."""
+def scaled_runs(
+    prepared: Prepared, trees: int = 100, depth: int = 10
+) -> tuple[DataFrame, dict[tuple[str, bool], models.Fitted]]:
+    """Forest and logistic regression on raw and on scaled rows: four metric rows, and the models by family and scaling."""
     fits = {
         "Random Forest": lambda t: models.train_forest(t, prepared.features, trees=trees, depth=depth),
         "Logistic Regression": lambda t: models.train_logistic(t, prepared.features),
     }
-    raw, _ = models.train_all(fits, prepared.train, prepared.test)
-    scaled, _ = models.train_all(fits, prepared.train_scaled, prepared.test_scaled)
-    return raw.withColumn("scaled", F.lit(False)).unionByName(
+    raw, plain = models.train_all(fits, prepared.train, prepared.test)
+    scaled, changed = models.train_all(fits, prepared.train_scaled, prepared.test_scaled)
+    table = raw.withColumn("scaled", F.lit(False)).unionByName(
         scaled.withColumn("scaled", F.lit(True)).withColumn("position", F.col("position") + 2)
     ).withColumnRenamed("model", "family")
+    fitted = {(name, s): model for s, found in ((False, plain), (True, changed)) for name, model in found.items()}
+    return table, fitted
+
+
+def scaled_vs_unscaled(prepared: Prepared, trees: int = 100, depth: int = 10) -> DataFrame:
+    """The metric rows of :func:`scaled_runs`."""
+    return scaled_runs(prepared, trees, depth)[0]

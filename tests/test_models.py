@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from campaignlens.operators import hashed, models, neighbors, oversample, pivots, segments, silhouette
-from campaignlens.operators.prep import assemble
+from campaignlens.operators.prep import assemble, placed
 from campaignlens.sources import sinks
 
 
@@ -147,6 +147,60 @@ def test_smote_evens_the_classes_between_neighbours(spark):
     assert oversample.smote(df.filter("label = 0"), ["a", "b"], "id", "label").count() == 70
 
 
+def test_smote_names_the_parents(spark):
+    rows = [(i, float(i % 7), float(i * i % 11), int(i < 9)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    out = oversample.smote(df, ["a", "b"], "id", "label", parents=True).toPandas()
+    assert out[~out["synthetic"]][["parent", "neighbour"]].isna().all().all() and out["synthetic"].sum() == 12
+    at = {i: np.array([a, b]) for i, a, b, _ in rows}
+    for r in out[out["synthetic"]].itertuples():
+        p, o, m = at[int(r.parent)], at[int(r.neighbour)], np.array([r.a, r.b])
+        assert r.parent < 9 and r.neighbour < 9 and r.parent != r.neighbour
+        assert abs(np.linalg.norm(m - p) + np.linalg.norm(m - o) - np.linalg.norm(p - o)) < 1e-9
+    balanced = oversample.smote(df.filter("label = 0"), ["a", "b"], "id", "label", parents=True)
+    assert balanced.columns == ["id", "a", "b", "label", "synthetic", "parent", "neighbour"]
+
+
+def test_nominal_codes_are_split_by_sets(spark):
+    rows = [(i, i % 6, float(i % 5), int(i % 6 in (0, 2, 5))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, code long, noise double, label int")
+    fitted = models.train_forest(df, ["code"], trees=3, depth=1, nominal={"code": 6})
+    assert fitted.score(df).filter("prediction != label").count() == 0
+    boosted = models.train_boosting(df, ["code"], rounds=3, depth=1, nominal={"code": 6})
+    assert boosted.score(df).filter("prediction != label").count() == 0
+    by_order = models.train_forest(df, ["code"], trees=3, depth=1)
+    assert by_order.score(df).filter("prediction != label").count() > 0
+    # More codes than bins raise the bins, too many are refused; a feature left out does not count.
+    assert models.train_forest(df, ["code"], trees=1, depth=1, bins=2, nominal={"code": 6, "noise": 9999}).score(df).count() == 300
+    with pytest.raises(ValueError, match="9999 levels"):
+        models.train_forest(df, ["code", "noise"], nominal={"noise": 9999})
+    meta = assemble(df, ["noise", "code"], nominal={"code": 6}).schema["features"].metadata["ml_attr"]["attrs"]
+    assert [a["num_vals"] for a in meta["nominal"]] == [6] and [a["name"] for a in meta["numeric"]] == ["noise"]
+
+
+def test_placed_rows_give_the_same_model(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, *rng.normal(size=3).tolist(), int(rng.random() < 0.4)) for i in range(600)]
+    schema = "id long, a double, b double, c double, label int"
+    one = spark.createDataFrame(rows, schema).coalesce(1)
+    many = spark.createDataFrame(rows[::-1], schema).repartition(13, "a")
+
+    def parts(df):
+        return [[r["id"] for r in p] for p in placed(df, "id", rows_per_part=100).rdd.glom().collect()]
+
+    assert parts(one) == parts(many) and len(parts(one)) == 6 and placed(one.limit(0), "id").count() == 0
+    names = ["a", "b", "c"]
+
+    def scores(df, key):
+        fitted = models.train_forest(df, names, trees=5, depth=4, key=key)
+        return [r["score"] for r in fitted.score(one).orderBy("id").collect()]
+
+    assert scores(one, "id") == scores(many, "id")
+    assert scores(one, None) != scores(many, None)
+    centres = [segments.fit_kmeans(assemble(df, names), 4, starts=2, max_iter=30, key="id").clusterCenters() for df in (one, many)]
+    assert np.allclose(centres[0], centres[1], atol=1e-9)
+
+
 def test_sweep_finds_planted_clusters(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 0.2, (40, 2)) for c in (0.0, 4.0, 8.0)])

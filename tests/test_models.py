@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from campaignlens.operators import hashed, models, neighbors, oversample, pivots, segments, silhouette
+from campaignlens.operators import boxes, hashed, models, neighbors, oversample, pivots, segments, silhouette
 from campaignlens.operators.prep import assemble, placed
 from campaignlens.sources import sinks
 
@@ -115,6 +115,38 @@ def test_fewer_training_rows_than_neighbours(spark):
     assert neighbors.nearest(df.limit(0), df, 5, "id", "v").count() == 0
 
 
+def test_vectors_without_a_place_hide_no_others(spark):
+    train = spark.createDataFrame([(1, [0.0]), (2, [float("nan")]), (3, [1.0]), (4, [None]), (5, None)], "id long, v array<double>")
+    asked = spark.createDataFrame([(7, [0.1]), (8, [float("nan")])], "id long, v array<double>")
+    got = neighbors.nearest(train, asked, 2, "id", "v").orderBy("rank").collect()
+    assert [(r["query"], r["neighbour"]) for r in got] == [(7, 1), (7, 3)]
+
+
+def test_boxes_open_few_cells_and_find_all():
+    rng = np.random.default_rng(12)
+    train, queries, k = rng.uniform(size=(20_000, 3)).round(3), rng.uniform(size=(300, 3)).round(3), 5
+    keys = rng.permutation(len(train))
+    away = np.sqrt(((queries[:, None] - train[None]) ** 2).sum(axis=2))
+    want = np.array([np.lexsort((keys, d))[:k] for d in away])
+    who, where, dist = boxes.nearest_rows(queries, np.full(len(queries), np.inf), train, keys, k)
+    assert (where.reshape(-1, k) == want).all() and (who == np.repeat(np.arange(300), k)).all()
+    kth = dist.reshape(-1, k)[:, -1]
+    again = boxes.nearest_rows(queries, kth, train, keys, k)
+    assert (again[1] == where).all()
+    assert len(boxes.nearest_rows(queries, kth / 1e6, train, keys, k)[0]) == (away <= (kth / 1e6)[:, None]).sum()
+
+    cuts = boxes.Cuts(train[::20], 64)
+    cell = cuts.cell(train)
+    sizes = np.bincount(cell, minlength=64)
+    assert cuts.cells == 64 and sizes.min() > 150 and sizes.max() < 800
+    low, high = (np.array([f(train[cell == c], axis=0) for c in range(64)]) for f in (np.min, np.max))
+    rows, at = (np.concatenate(x) for x in zip(*boxes.opened(queries, kth, low, high)))
+    # Every cell of a neighbour is opened, and few others.
+    assert {(int(a), int(cell[b])) for a, b in zip(who, where)} <= set(zip(rows.tolist(), at.tolist()))
+    assert len(rows) < 300 * 10
+    assert boxes.Cuts(np.ones((50, 2)), 8).cells == 1
+
+
 def test_votes(spark):
     train = spark.createDataFrame([(1, [0.0], 1), (2, [0.1], 0), (3, [0.2], 1), (4, [9.0], 0)], "id long, v array<double>, label int")
     got = neighbors.knn_classify(train, train.filter("id = 1"), "id", "v", "label", 2).head()

@@ -3,23 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+from uuid import uuid4
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import vector_to_array
+from pyspark.mllib.common import _py2java
+from pyspark.mllib.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from campaignlens.functions.scalars import indicator, number, ratio
-from campaignlens.operators.prep import placed
+from campaignlens.operators.means import Means, fit_many
+from campaignlens.operators.passes import Blocks
+from campaignlens.operators.prep import placed, spread
 from campaignlens.operators.rates import best_worst
 from campaignlens.operators.silhouette import DRAWN, euclidean_silhouette
 
 HIGH, MODERATE, LOW = "HIGH-VALUE PROSPECTS", "MODERATE PROSPECTS", "LOW ENGAGEMENT"
 
 
+def _model(df: DataFrame, features: str, found: Means) -> KMeansModel:
+    """MLlib's model with the fitted centres and a summary."""
+    context = df.sparkSession.sparkContext
+    ml = context._jvm.org.apache.spark.ml.clustering
+    centres = _py2java(context, [Vectors.dense(c) for c in found.centres])
+    model = ml.KMeansModel(f"KMeans_{uuid4().hex[:12]}", context._jvm.org.apache.spark.mllib.clustering.KMeansModel(centres))
+    model.setFeaturesCol(features)
+    model.setPredictionCol("cluster")
+    model.set(model.k(), len(found.centres))
+    summary = ml.KMeansSummary(model.transform(df._jdf), "cluster", features, len(found.centres), found.iterations, found.cost)
+    model.setSummary(context._jvm.scala.Option.apply(summary))
+    fitted = KMeansModel(model)
+    fitted._transfer_params_from_java()
+    return fitted
+
+
+def _fit(df: DataFrame, features: str, ks: Sequence[int], starts: int, seed: int, max_iter: int) -> dict[int, KMeansModel]:
+    """For each k the best of its starts by within-cluster squared distance; every pass over the rows serves all of them."""
+    kind = dict(df.dtypes)[features]
+    blocks = Blocks(df.select(vector_to_array(features).alias("x") if kind == "vector" else F.col(features).cast("array<double>").alias("x")), "x")
+    try:
+        wanted = [(k, seed + i) for k in ks for i in range(starts)]
+        fitted = fit_many(blocks, wanted, max_iter, seed)
+    finally:
+        blocks.drop()
+    best: dict[int, Means] = {}
+    for (k, _), found in zip(wanted, fitted):
+        if k not in best or found.cost < best[k].cost:
+            best[k] = found
+    return {k: _model(df, features, found) for k, found in best.items()}
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(spread(df.count()))
+
+
 def fit_kmeans(
     df: DataFrame,
     k: int,
@@ -27,28 +67,16 @@ def fit_kmeans(
     starts: int = 10,
     seed: int = 42,
     max_iter: int = 300,
-    parallelism: int = 8,
     key: str | None = None,
 ) -> KMeansModel:
     """The best of several seeded starts by within-cluster squared distance.
 
-    The starts are independent; ``parallelism`` of them are submitted at a time. With a ``key``
-    rows are placed by its draw, so that every start draws the same centres whatever files the
-    rows come from; final centres agree to within the rounding of sums.
+    A pass over the rows serves all starts. With a ``key`` rows are placed by its draw, so that
+    every start draws the same centres whatever files the rows come from; final centres agree to
+    within the rounding of sums.
     """
-    if key:
-        df = placed(df.select(key, features), key, seed).select(features).persist()
-
-    def start(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(inheritable_thread_target(df.sparkSession)(start), range(starts))
-    finally:
-        if key:
-            df.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+    rows = placed(df.select(key, features), key, seed).select(features) if key else _spread(df.select(features))
+    return _fit(rows, features, [k], starts, seed, max_iter)[k]
 
 
 def sweep_models(
@@ -60,12 +88,11 @@ def sweep_models(
     one of drawn rows, in ``euclidean``, and its standard error, in ``error``, and the rows
     are placed by it as in :func:`fit_kmeans`.
     """
-    held = (placed(df.select(key, features), key, seed) if key else df.select(features)).persist()
+    held = (placed(df.select(key, features), key, seed) if key else _spread(df.select(features))).persist()
     try:
-        rows, found = [], {}
+        rows, found = [], _fit(held, features, ks, starts, seed, max_iter)
         judge = ClusteringEvaluator(featuresCol=features, predictionCol="cluster")
         for k in ks:
-            found[k] = fit_kmeans(held.select(features), k, features, starts, seed, max_iter)
             assigned = found[k].transform(held)
             silhouette = judge.evaluate(assigned)
             true = euclidean_silhouette(assigned, key, features, drawn=drawn, seed=seed).head() if key else (None, None)

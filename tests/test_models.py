@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from campaignlens.operators import boxes, hashed, models, neighbors, oversample, pivots, segments, silhouette
+from campaignlens.operators import boxes, hashed, means, models, neighbors, oversample, passes, pivots, segments, silhouette
 from campaignlens.operators.prep import assemble, placed
 from campaignlens.sources import sinks
 
@@ -193,6 +193,37 @@ def test_smote_names_the_parents(spark):
     assert balanced.columns == ["id", "a", "b", "label", "synthetic", "parent", "neighbour"]
 
 
+def test_all_starts_share_their_passes(spark):
+    """A sweep makes as many passes over the rows as its longest start needs, and its centres are fixed points."""
+    rng = np.random.default_rng(8)
+    rows = [(rng.normal(size=2) + 6 * np.array([i % 2, i % 3 == 0])).tolist() for i in range(3000)]
+    df = spark.createDataFrame([(r,) for r in rows], "x array<double>").repartition(3).persist()
+    made = passes.Blocks(df, "x")
+    seen, total = [], made.total
+    made.total = lambda *a: seen.append(1) or total(*a)
+    found = means.fit_many(made, [(k, s) for k in (1, 2, 4) for s in range(5)], 100)
+    assert len(seen) == max(m.iterations for m in found) + means.ROUNDS + 3 < sum(m.iterations for m in found)
+    points = np.array(rows)
+    for m in found:
+        away = ((points[:, None] - m.centres[None]) ** 2).sum(axis=2)
+        assert m.cost == pytest.approx(away.min(axis=1).sum())
+        again = np.array([points[away.argmin(axis=1) == c].mean(axis=0) for c in range(len(m.centres))])
+        assert np.abs(again - m.centres).max() < 0.02
+    assert min(m.cost for m in found[10:]) < 6500 and found[0].centres[0] == pytest.approx(points.mean(axis=0))
+    made.drop()
+    # Fewer distinct rows than clusters; rows that are no vectors.
+    few = passes.Blocks(spark.createDataFrame([([1.0],), ([1.0],), ([2.0],)], "x array<double>"), "x")
+    assert means.fit_many(few, [(3, 1)], 10)[0].cost == 0
+    few.drop()
+
+
+def test_kmeans_model_has_its_summary(spark):
+    df = assemble(spark.createDataFrame([(float(i % 2), float(i + 20 * (i > 4))) for i in range(10)], "a double, b double"), ["a", "b"])
+    model = segments.fit_kmeans(df, 2, starts=3)
+    assert model.summary.trainingCost == pytest.approx(2 * 10 + 2 * 6 / 5) and model.getK() == model.summary.k == 2
+    assert sorted(r["count"] for r in model.transform(df).groupBy("cluster").count().collect()) == model.summary.clusterSizes == [5, 5]
+
+
 def test_nominal_codes_are_split_by_sets(spark):
     rows = [(i, i % 6, float(i % 5), int(i % 6 in (0, 2, 5))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, code long, noise double, label int")

@@ -11,8 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from campaignlens.plans.catalog import ORACLES, QUERIES
-from campaignlens.session import scratch
+from campaignlens.plans.catalog import ORACLES, QUERIES, model_queries
+from campaignlens.session import scratch, written
 
 DIRECTORY = "/root/testdata/sf0.001"
 # Neighbours and the kernel map run vector code in Python on purpose.
@@ -58,6 +58,22 @@ def test_every_oracle_has_its_query():
     assert set(QUERIES) <= set(entry_points.queries())
 
 
+def test_layouts_have_more_files_as_the_rows_grow(spark, monkeypatch):
+    files = {}
+
+    def noted(df, name):
+        files[name] = df.rdd.getNumPartitions()
+        return written(df, name)
+
+    monkeypatch.setattr(model_queries, "written", noted)
+    monkeypatch.setattr(model_queries, "FILE_ROWS", 300)
+    with scratch(spark):
+        rows = model_queries.same_fit_any_layout(spark, DIRECTORY).collect()
+    few = -(-len(rows) // 300)
+    assert few > 1 and files == {"one-file": few, "thirteen-files": 13 * few}
+    assert all(r["same_score"] and r["same_cluster"] for r in rows)
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["dimension", "level", "rows", "rate", "overall", "lift"]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from campaignlens.operators import prep
+from campaignlens.plans import modelling
 
 
 def draws(ids, seed=42):
@@ -152,3 +153,16 @@ def test_smote_reaches_the_largest_class(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
     counts = {r["y"]: r["count"] for r in smote(df, ["a", "b"], "id", "y", minority=1).groupBy("y").count().collect()}
     assert counts == {0: 40, 1: 50, 2: 50}
+
+
+def test_fits_get_partitions_by_their_rows(spark):
+    assert [prep.spread(n) for n in (0, 1, 25_001, 288_000, 2_880_000, 17_300_000, 54_000_000)] == [1, 1, 2, 12, 96, 96, 270]
+    rows = prep.placed(spark.range(60_000), "id")
+    assert rows.rdd.getNumPartitions() == 3 and rows.count() == 60_000
+
+
+def test_prepared_rows_lie_in_as_many_files_as_a_fit_has_partitions(spark, monkeypatch):
+    monkeypatch.setattr(prep, "spread", lambda rows: 5)
+    df = spark.createDataFrame([(i, float(i), "ab"[i % 2], "yes" if i % 3 else "no") for i in range(300)], "id long, x double, c string, y string")
+    p = modelling.prepare(df.coalesce(1), "id", ["x"], ["c"])
+    assert len(p.train.inputFiles()) == 5 and (p.train.count(), p.test.count()) == (160, 40)

@@ -5,9 +5,12 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LinearSVC
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from campaignlens.operators import boxes, hashed, means, models, neighbors, oversample, passes, pivots, segments, silhouette
+from campaignlens.functions.draws import draw_unit
+from campaignlens.operators import boxes, hashed, margins, means, models, neighbors, oversample, passes, pivots, segments, silhouette
 from campaignlens.operators.prep import assemble, placed
 from campaignlens.sources import sinks
 
@@ -46,6 +49,42 @@ def test_kernel_model_learns_a_ring(spark):
     assert models.evaluate(models.train_logistic(df, ["a", "b"]), other)["roc_auc"] < 0.75
 
 
+def test_kernel_fits_share_their_passes_over_the_raw_rows(spark, monkeypatch):
+    """Nothing lifted is kept, a pass serves the fits of all folds and of all rows, and each is as good as MLlib's."""
+    df, kept, fits = toy(spark, ring=True), [], []
+    total, fit_many = passes.Blocks.total, margins.fit_many
+    monkeypatch.setattr(passes.Blocks, "total", lambda self, *a: kept.append(self.width) or total(self, *a))
+    monkeypatch.setattr(margins, "fit_many", lambda *a: fits.extend([a, fit_many(*a)]) or fits[1])
+    models.train_rbf_svm(df.withColumn("id", F.when(F.col("id") >= 10, F.col("id"))), ["a", "b"], "id", dims=32)
+    (_, waves, left_out, penalty, *_), found = fits
+    assert set(kept) == {4} and left_out == [0, 1, 2, None]
+    assert len(kept) == 1 + max(m.passes for m in found) < sum(m.passes for m in found)
+    rows = df.withColumn("fold", F.floor(draw_unit("id", 43) * 3)).toPandas()
+    z = np.vstack([part.copy() for _, part in waves.lifted(rows[["a", "b"]].to_numpy())])
+    by_cosine = np.sqrt(2 / 32) * np.cos(2 * np.pi * (rows[["a", "b"]].to_numpy() @ waves.weights + waves.shift))
+    assert np.abs(z - by_cosine).max() < 1e-14
+    side = 2 * rows["label"].to_numpy() - 1
+    # The ten rows without a key are in no fold.
+    for machine, out in zip(found, left_out):
+        seen = np.ones(240, bool) if out is None else ((rows["fold"] != out) & (rows["id"] >= 10)).to_numpy()
+
+        def objective(weights, intercept):
+            return np.maximum(1 - side * (z @ weights + intercept), 0)[seen].mean() + penalty / 2 * (weights @ weights)
+
+        lifted = spark.createDataFrame(pd.DataFrame({"label": rows["label"][seen], "z": list(map(list, z[seen]))}))
+        svc = LinearSVC(maxIter=100, tol=1e-3, regParam=penalty, standardization=False, featuresCol="v")
+        other = svc.fit(lifted.select("label", array_to_vector("z").alias("v")))
+        assert machine.value == pytest.approx(objective(machine.weights, machine.intercept))
+        assert machine.value < objective(other.coefficients.toArray(), other.intercept) + 2e-3
+
+
+@pytest.mark.parametrize("label", [None, 2, 0])
+def test_kernel_fits_refuse_other_labels(spark, label):
+    df = spark.createDataFrame([(i, float(i), float(-i), label if label is None or i else 0) for i in range(9)], "id long, a double, b double, label int")
+    with pytest.raises(Exception, match="null|neither 0 nor 1|no row of label 1"):
+        models.train_rbf_svm(df, ["a", "b"], "id", dims=8)
+
+
 def test_same_seed_same_predictions_and_importances(spark):
     df = toy(spark)
     one, two = (models.train_forest(df, ["a", "b"], trees=5, depth=4) for _ in range(2))

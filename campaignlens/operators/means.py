@@ -18,6 +18,8 @@ TOLERANCE = 1e-4
 ROUNDS = 2
 FIRST = 20  # rows drawn per start for its first centre
 LOCAL_STEPS = 30
+FEW = 256  # rows whose distances are taken at a time
+LARGE = 1e30
 
 
 @dataclass
@@ -88,43 +90,83 @@ def first_centres(blocks: Blocks, starts: Sequence[tuple[int, int]], rows: int,
     return [s if len(s) <= k else _local(s, weights[a:b], k, own) for s, (a, b), (k, own) in zip(sets, spans, starts)]
 
 
+def _runs(sets: Sequence[np.ndarray]) -> list[tuple[int, int, int]]:
+    """First centre, end and size of every run of sets of one size."""
+    out: list[tuple[int, int, int]] = []
+    for (a, b), c in zip(_spans(sets), sets):
+        if out and out[-1][2] == len(c):
+            out[-1] = (out[-1][0], b, len(c))
+        else:
+            out.append((a, b, len(c)))
+    return out
+
+
+def _step(x: np.ndarray, sets: Sequence[np.ndarray], kind: type) -> np.ndarray:
+    """Per centre the sum of the rows that are nearest to it in its set, then their number; distances are of this kind of float.
+
+    A few rows at a time, so that their distances stay in a core's cache; each few are added up in doubles.
+    """
+    centres, runs = np.vstack(sets), _runs(sets)
+    shares = np.column_stack([-2.0 * centres, (centres**2).sum(axis=1)]).astype(kind)
+    with_one = np.column_stack([x, np.ones(len(x))]).astype(kind)
+    out, spans = np.zeros(shares.shape), _spans(sets)
+    firsts = [a for a, _ in spans]
+    for i in range(0, len(x), FEW):
+        rows = with_one[i : i + FEW]
+        member = shares @ rows.T
+        for a, b, k in runs:
+            away = member[a:b].reshape(-1, k, len(rows))
+            np.less_equal(away, away.min(axis=1, keepdims=True), out=away, casting="unsafe")
+        found = member @ rows
+        # A row between equally near centres belongs to the first of them alone.
+        for j in np.flatnonzero(np.add.reduceat(found[:, -1], firsts) != len(rows)):
+            a, b = spans[j]
+            member[a:b] = member[a:b].cumsum(axis=0).cumsum(axis=0) == 1
+            found[a:b] = member[a:b] @ rows
+        out += found
+    return out
+
+
 def fit_many(blocks: Blocks, starts: Sequence[tuple[int, int]], max_iter: int, seed: int = 42) -> list[Means]:
-    """The fitted centres of each start ``(k, seed)``, with the sum of squared distances to them."""
-    rows = int(blocks.total(lambda x: np.array([float(len(x))]), 1)[0])
+    """The fitted centres of each start ``(k, seed)``, with the sum of squared distances to them.
+
+    A start's steps are first taken with distances of single precision, about the mean of the rows; when those settle,
+    or the last step is left, steps with distances of doubles follow until these settle too.
+    """
+    width = blocks.width
+    found = blocks.total(lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]), 1 + 2 * width)
+    rows = int(found[0])
     if not rows:
         raise ValueError("k-means needs rows")
+    mean = found[1 : 1 + width] / rows
     sets = first_centres(blocks, starts, rows, seed)
-    steps, going, width = [0] * len(sets), list(range(len(sets))) if max_iter > 0 else [], blocks.width
+    # Squares of larger numbers are none in single precision.
+    rough = [bool((found[1 + width :] < LARGE).all()) and max_iter > 1] * len(sets)
+    steps, going = [0] * len(sets), list(range(len(sets))) if max_iter > 0 else []
     while going:
-        centres, spans = np.vstack([sets[i] for i in going]), _spans([sets[i] for i in going])
-
-        firsts = [a for a, _ in spans]
+        going.sort(key=lambda i: (not rough[i], len(sets[i]), i))
+        quick, fine = ([sets[i] - mean for i in going if rough[i] == r] for r in (True, False))
 
         def sums(x: np.ndarray) -> np.ndarray:
-            member = centres @ (-2.0 * x.T) + (centres**2).sum(axis=1)[:, None]
-            for a, b in spans:
-                np.less_equal(member[a:b], member[a:b].min(axis=0), out=member[a:b], casting="unsafe")
-            with_one = np.column_stack([x, np.ones(len(x))])
-            out = member @ with_one
-            # A row between equally near centres belongs to the first of them alone.
-            for i in np.flatnonzero(np.add.reduceat(out[:, -1], firsts) != len(x)):
-                a, b = spans[i]
-                member[a:b] = member[a:b].cumsum(axis=0).cumsum(axis=0) == 1
-                out[a:b] = member[a:b] @ with_one
-            return out.ravel()
-
-        total = blocks.total(sums, len(centres) * (width + 1)).reshape(-1, width + 1)
-        moved = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
+            x = x - mean
+            return np.concatenate([_step(x, c, kind).ravel() for c, kind in ((quick, np.float32), (fine, np.float64)) if c])
+
+        spans = _spans([*quick, *fine])
+        total = blocks.total(sums, spans[-1][1] * (width + 1)).reshape(-1, width + 1)
+        centres = np.vstack([sets[i] for i in going])
+        moved = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1) + mean, centres)
         far = ((moved - centres) ** 2).sum(axis=1) > TOLERANCE**2
         still = []
         for i, (a, b) in zip(going, spans):
             sets[i], steps[i] = moved[a:b], steps[i] + 1
-            if far[a:b].any() and steps[i] < max_iter:
+            if (rough[i] or far[a:b].any()) and steps[i] < max_iter:
                 still.append(i)
+            rough[i] = rough[i] and bool(far[a:b].any()) and steps[i] < max_iter - 1
         going = still
-    centres, spans = np.vstack(sets), _spans(sets)
+    centres, spans = np.vstack(sets) - mean, _spans(sets)
 
     def costs(x: np.ndarray) -> np.ndarray:
+        x = x - mean
         return np.array([((x - centres[at]) ** 2).sum() for at, _ in _nearest(x, centres, spans)])
 
     found = blocks.total(costs, len(sets))
